@@ -2,14 +2,35 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FALLBACK_SHARED = "/tmp/tidemark-shared"
 
 
+def ship(spark: SparkSession) -> None:
+    """Let the executors' Python import this package, wherever the driver found it."""
+    context = spark.sparkContext
+    if getattr(context, "_tidemark_shipped", False):
+        return
+    here = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp()) / "tidemark_llm.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        out.write(here.parent / "__init__.py", "tidemark/__init__.py")
+        for source in sorted(here.glob("*.py")):
+            out.write(source, f"tidemark/llm/{source.name}")
+    context.addPyFile(str(archive))
+    context._tidemark_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; a local one only where the session names none (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -23,6 +44,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session's settings for the time of a block."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: the lineage ends there."""
     spark = df.sparkSession
@@ -44,3 +78,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def with_locator(df: DataFrame, *cols) -> DataFrame:
+    """The columns, and file and row, which name a row for good; rows not in files are written to some first."""
+    try:
+        found = df.select(*cols, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+        found.schema
+        return found
+    except AnalysisException:
+        plain = materialize(df.select(*cols), "content")
+        return with_locator(plain, *plain.columns)

@@ -21,10 +21,16 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize
+from .common import fresh_path, materialize, settings, with_locator
 
 BLANKS = "[\\x20\\x09-\\x0D]+"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Each store would lay out megabytes of log ahead, however few keys it holds.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
+# Texts without a copy are kept out of the exchange by a Bloom filter of the hits (of bounded size).
+HIT_SETTINGS = {"spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}
 FILES_A_TRIGGER = 4096
 
 
@@ -33,18 +39,8 @@ def normalised(text: Column) -> Column:
 
 
 def located(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text and the content locator of each row; rows not in files are written to some first."""
-    try:
-        found = df.select(
-            F.col(id_col).cast("long").alias("doc_id"),
-            F.col(text_col).alias("text"),
-            F.col("_metadata.file_path").alias("file"),
-            F.col("_metadata.row_index").alias("row"),
-        )
-        found.schema
-        return found
-    except AnalysisException:
-        return located(materialize(df.select(id_col, text_col), "dedup-content"), id_col, text_col)
+    """doc_id, text and the content locator of each row."""
+    return with_locator(df, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def _order() -> Column:
@@ -67,9 +63,7 @@ class ExactDedup:
         """Run the stream over new rows; the registry: text_sha256, keep (id and locator), group_size."""
         spark = self.spark
         schema = "doc_id long, file string, row long, text_sha256 string"
-        set_before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-        try:
+        with settings(spark, STATE_SETTINGS):
             state = (
                 spark.readStream.schema(schema)
                 .option("maxFilesPerTrigger", FILES_A_TRIGGER)
@@ -86,11 +80,6 @@ class ExactDedup:
                 .start()
             )
             query.awaitTermination()
-        finally:
-            if set_before is None:
-                spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-            else:
-                spark.conf.set("spark.sql.streaming.stateStore.providerClass", set_before)
         fields = (
             "text_sha256 string, keep struct<no_id: boolean, doc_id: long, file: string, row: long>, "
             "group_size long, batch long"
@@ -105,13 +94,23 @@ class ExactDedup:
         )
 
 
+def _is_kept() -> Column:
+    return (F.col("file") == F.col("keep.file")) & (F.col("row") == F.col("keep.row"))
+
+
+def _with_text(content: DataFrame, hits: DataFrame) -> DataFrame:
+    """The hits with their normalised text, found by locator."""
+    texts = content.select("file", "row", F.col("text"))
+    joined = texts.join(hits.where("group_size > 1"), ["row", "file"])
+    return joined.withColumn("norm", normalised(F.col("text"))).drop("text")
+
+
 def _outcome(rows: DataFrame) -> DataFrame:
-    same_row = (F.col("file") == F.col("keep.file")) & (F.col("row") == F.col("keep.row"))
     return rows.select(
         "doc_id",
         F.col("keep.doc_id").alias("keep_id"),
         "group_size",
-        same_row.alias("kept"),
+        _is_kept().alias("kept"),
         "text_sha256",
         "file",
         "row",
@@ -129,20 +128,17 @@ def exact_dedup(
     registry = materialize(dedup.feed(), "dedup-registry")
 
     # Hits: bytes against bytes of the retained row, which the locator names.
-    shared = registry.where("group_size > 1")
-    texts = content.select(
-        "doc_id", "file", "row", normalised(F.col("text")).alias("norm")
-    ).withColumn("text_sha256", F.sha2("norm", 256))
-    hits = texts.join(shared, "text_sha256")
-    is_kept = (F.col("file") == F.col("keep.file")) & (F.col("row") == F.col("keep.row"))
-    retained = hits.where(is_kept).select("text_sha256", F.col("norm").alias("kept_norm"))
-    unequal = hits.where(~is_kept).join(retained, "text_sha256").where(F.col("norm") != F.col("kept_norm"))
-    broken = materialize(unequal.select("text_sha256").distinct(), "dedup-unequal")
+    shared = materialize(rows.join(registry.where("group_size > 1"), "text_sha256"), "dedup-hits")
+    hits = _with_text(content, shared)
+    retained = hits.where(_is_kept()).select("text_sha256", F.col("norm").alias("kept_norm"))
+    unequal = hits.where(~_is_kept()).join(retained, "text_sha256").where(F.col("norm") != F.col("kept_norm"))
+    with settings(spark, HIT_SETTINGS):
+        broken = materialize(unequal.select("text_sha256").distinct(), "dedup-unequal")
 
     if broken.isEmpty():
         return _outcome(rows.join(registry, "text_sha256"))
     sound = rows.join(broken, "text_sha256", "left_anti").join(registry, "text_sha256")
-    split = texts.join(broken, "text_sha256", "left_semi")
+    split = _with_text(content, shared.join(broken, "text_sha256", "left_semi")).drop("keep", "group_size")
     by_bytes = split.groupBy("text_sha256", "norm").agg(
         F.min(_order()).alias("keep"), F.count(F.lit(1)).alias("group_size")
     )
