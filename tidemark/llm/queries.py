@@ -7,7 +7,42 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .html_extract import extract_pages
+from .language_id import identify
+from .packing import pack_documents
 from .sharding import histogram_shards
+from .warc import archive_round_trip
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+OP2_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS owner FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + CAST(((('0x' || substr(h, CAST(1 + (i // 4) * 5 AS INT), 5))::BIGINT >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) AS INT), 1)), '')
+         AS payload_digest,
+       CASE WHEN page_id = owner THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> owner THEN owner END AS refers_to
+FROM r
+"""
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +61,10 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op9_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = histogram_shards(table(spark, sf_dir, "documents"), shards=8)
     return out.select(
@@ -41,10 +80,14 @@ def op9_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_html_extract": op1_html_extract,
+        "op2_warc": op2_warc,
+        "op4_packing": op4_packing,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_language_id": op7_language_id,
         "op9_histogram_sort": op9_histogram_sort,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL}
+    return {"op2_warc": OP2_SQL, "op6_exact_dedup": OP6_SQL}
