@@ -13,6 +13,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Rows without a partner are kept out of an exchange by a Bloom filter of the smaller side; its size is bounded.
+HIT_SETTINGS = {
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g",
+}
 FALLBACK_SHARED = "/tmp/tidemark-shared"
 
 

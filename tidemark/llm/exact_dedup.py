@@ -21,7 +21,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize, settings, with_locator
+from .common import HIT_SETTINGS, fresh_path, materialize, settings, with_locator
 
 BLANKS = "[\\x20\\x09-\\x0D]+"
 STATE_SETTINGS = {
@@ -29,8 +29,6 @@ STATE_SETTINGS = {
     # Each store would lay out megabytes of log ahead, however few keys it holds.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
-# Texts without a copy are kept out of the exchange by a Bloom filter of the hits (of bounded size).
-HIT_SETTINGS = {"spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}
 FILES_A_TRIGGER = 4096
 
 
