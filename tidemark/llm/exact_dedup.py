@@ -142,3 +142,17 @@ def exact_dedup(
     )
     apart = split.join(by_bytes, ["text_sha256", "norm"]).drop("norm")
     return _outcome(sound.select(*apart.columns).unionByName(apart))
+
+
+def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df with one row of each group of equal texts."""
+    try:
+        named = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+        named.schema
+    except AnalysisException:
+        return drop_copies(materialize(df, "dedup-input"), id_col, text_col)
+    dropped = materialize(
+        exact_dedup(df, id_col, text_col).where(~F.col("kept")).select(F.col("row").alias("__row"), F.col("file").alias("__file")),
+        "dedup-dropped",
+    )
+    return named.join(dropped, ["__row", "__file"], "left_anti").select(*df.columns)

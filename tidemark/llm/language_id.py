@@ -201,3 +201,29 @@ def identify(df: DataFrame, model: Model | None = None) -> DataFrame:
             )
 
     return rows.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+LEAST_SCORE = 0.25
+
+
+def accept_languages(df: DataFrame, model: Model | None = None, least_score: float = LEAST_SCORE) -> DataFrame:
+    """df without documents whose language can't be told: no letters, or a score below ``least_score``."""
+    ship(df.sparkSession)
+    model = model or fit(df)
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    at = df.columns.index("text")
+
+    def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, BATCH):
+                part = batch.slice(start, BATCH)
+                found = [presence(t.as_py()) if model else None for t in part.column(at)]
+                some = [i for i, f in enumerate(found) if f is not None]
+                keep = np.zeros(len(found), bool)
+                if some:
+                    _, scores = model.predict([found[i] for i in some])
+                    keep[some] = scores >= least_score
+                yield part.filter(pa.array(keep))
+
+    return df.mapInArrow(accept, df.schema)

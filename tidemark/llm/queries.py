@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .curve_search import nearest
 from .exact_dedup import exact_dedup
 from .html_extract import extract_pages
 from .language_id import identify
+from .ngram_jaccard import jaccard_components
 from .packing import pack_documents
+from .sampling import sample_segmentations
 from .sharding import histogram_shards
+from .substring_dedup import passages
 from .warc import archive_round_trip
 
 
@@ -41,10 +45,18 @@ FROM r
 """
 
 
+def op3_segmentation_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sample_segmentations(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -65,6 +77,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages(table(spark, sf_dir, "documents"))
+
+
 def op9_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = histogram_shards(table(spark, sf_dir, "documents"), shards=8)
     return out.select(
@@ -78,14 +94,22 @@ def op9_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_curve_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), k=20, query_step=20)
+
+
 def queries() -> dict:
     return {
         "op1_html_extract": op1_html_extract,
         "op2_warc": op2_warc,
+        "op3_segmentation_sampling": op3_segmentation_sampling,
         "op4_packing": op4_packing,
+        "op5_ngram_jaccard": op5_ngram_jaccard,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_language_id": op7_language_id,
+        "op8_substring_dedup": op8_substring_dedup,
         "op9_histogram_sort": op9_histogram_sort,
+        "op10_curve_search": op10_curve_search,
     }
 
 
