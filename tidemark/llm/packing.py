@@ -15,6 +15,8 @@ their names.
 
 from __future__ import annotations
 
+import os
+import string
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator, Sequence
@@ -31,7 +33,8 @@ TIERS = (2048, 1024, 512, 256)
 END_ID = 1
 WINDOW_TOKENS = 1 << 20
 STEP_TOKENS = 1 << 15
-WORDS_HELD = 500_000
+WORDS_HELD = 800_000
+PUNCTUATION = string.punctuation
 SEQUENCES_A_PARTITION = 1 << 40
 
 
@@ -43,9 +46,12 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, words_held: int = WORDS_HELD):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # executors' cores are Spark's to share out
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.ends_word = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.words_held = words_held
         self.clear()
 
@@ -55,35 +61,75 @@ class WordEncoder:
         self.length = np.zeros(1 << 16, np.int64)
         self.flat = np.zeros(1 << 18, np.uint32)
         self.used = 0
-        self._append("\n", [END_ID])  # no word: it stands for the end of a document
+        self._append(["\n"], np.array([END_ID]), np.array([1]))  # no word: it stands for the end of a document
 
-    def _append(self, word: str, ids: Sequence[int]) -> None:
-        k, end = len(self.number), self.used + len(ids)
-        if k == len(self.first):
+    def _append(self, words: list[str], ids: np.ndarray, length: np.ndarray) -> None:
+        k, n, end = len(self.number), len(words), self.used + len(ids)
+        while k + n > len(self.first):
             self.first, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.length))
         while end > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : end] = ids
-        self.first[k], self.length[k] = self.used, len(ids)
-        self.number[word] = k
+        self.length[k : k + n] = length
+        self.first[k : k + n] = self.used + np.cumsum(length) - length
+        self.number.update(zip(words, range(k, k + n), strict=True))
         self.used = end
 
+    def _learn_each(self, words: list[str]) -> None:
+        for at in range(0, len(words), 4096):
+            some = words[at : at + 4096]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            length = np.fromiter(map(len, ids), np.int64, len(ids))
+            self._append(some, np.fromiter(chain.from_iterable(ids), np.uint32, int(length.sum())), length)
+
+    def _learn(self, words: list[str]) -> None:
+        """Words of letters only end in the only piece that ends a word: many are encoded as one text."""
+        ended: list[tuple[str, str, str]] = []
+        plain: set[str] = set()
+        odd: list[str] = []
+        for w in words:
+            if w.isalpha():
+                plain.add(w)
+            elif (core := w.rstrip(PUNCTUATION)).isalpha():
+                tail = w[len(core) :]
+                ended.append((w, core, tail))
+                if core not in self.number:
+                    plain.add(core)
+            else:
+                odd.append(w)
+        todo = list(plain)
+        for at in range(0, len(todo), 64 * 64):
+            parts = [todo[k : k + 64] for k in range(at, min(len(todo), at + 64 * 64), 64)]
+            texts = self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)
+            for part, e in zip(parts, texts, strict=True):
+                ids = np.array(e.ids, np.uint32)
+                stops = np.flatnonzero(self.ends_word[ids]) + 1
+                if len(stops) == len(part) and stops[-1] == len(ids):
+                    self._append(part, ids, np.diff(np.r_[0, stops]))
+                else:  # letters that normalise to more than letters
+                    self._learn_each(part)
+        known = self.number
+        self._learn_each([w for w in {*odd, *(t for *_, t in ended)} if w not in known])
+        if ended:
+            pair = np.array([(known[c], known[t]) for _, c, t in ended]).ravel()
+            length = self.length[pair]
+            self._append([w for w, *_ in ended], self._gather(pair, length), length.reshape(-1, 2).sum(axis=1))
+
+    def _gather(self, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+        stop = np.cumsum(length)
+        return self.flat[np.repeat(self.first[at] - (stop - length), length) + np.arange(stop[-1] if len(stop) else 0)]
+
     def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
         """The ids of each text, followed by the end id."""
         if len(self.number) > self.words_held:
             self.clear()
         words = [t.split() if not _ODD & set(t) else _split_odd(t) for t in texts]
-        new = list(set().union(*words).difference(self.number))
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self._append(w, e.ids)
+        self._learn(list(set().union(*words).difference(self.number)))
         total = sum(map(len, words)) + len(texts)
         ends = ([*w, "\n"] for w in words)
         at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(ends)), np.int64, total)
         length = self.length[at]
-        stop = np.cumsum(length)
-        ids = self.flat[np.repeat(self.first[at] - (stop - length), length) + np.arange(stop[-1] if total else 0)]
+        ids, stop = self._gather(at, length), np.cumsum(length)
         last = np.cumsum([len(w) + 1 for w in words]) - 1
         return np.split(ids, stop[last][:-1]) if texts else []
 
@@ -269,7 +315,7 @@ def pack_documents(
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for part in slices(texts):
+            for part in slices(texts, 2 << 20):
                 encoded = encoder.encode([t or "" for t in texts[part].to_pylist()])
                 for doc_id, e in zip(ids[part], encoded, strict=True):
                     packer.add((doc_id, len(e)), e)
