@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
-from pathlib import Path
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import ship  # noqa: F401  (for the operators)
+
 # Rows without a partner are kept out of an exchange by a Bloom filter of the smaller side; its size is bounded.
 HIT_SETTINGS = {
     "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
@@ -21,21 +20,6 @@ HIT_SETTINGS = {
 FALLBACK_SHARED = "/tmp/tidemark-shared"
 
 
-def ship(spark: SparkSession) -> None:
-    """Let the executors' Python import this package, wherever the driver found it."""
-    context = spark.sparkContext
-    if getattr(context, "_tidemark_shipped", False):
-        return
-    here = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp()) / "tidemark_llm.zip"
-    with zipfile.ZipFile(archive, "w") as out:
-        out.write(here.parent / "__init__.py", "tidemark/__init__.py")
-        for source in sorted(here.glob("*.py")):
-            out.write(source, f"tidemark/llm/{source.name}")
-    context.addPyFile(str(archive))
-    context._tidemark_shipped = True
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share; a local one only where the session names none (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
