@@ -8,13 +8,13 @@ import pytest
 from tidemark.llm import ngram_jaccard as nj
 from tidemark.llm.components import connected_components
 from tidemark.llm.curve_search import hilbert_keys, nearest
-from tidemark.llm.substring_dedup import chains, common_length, cut_words, passages, without_passages
+from tidemark.llm.substring_dedup import WORD, chains, common_length, cut_words, passages, without_passages
 
 
 def brute_components(rows, width, num, den):
     sets = {}
     for d, text, *_ in rows:
-        w = nj.WORD.findall((text or "").translate(nj.UPPER))
+        w = WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
         sets[d] = {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set()
     up = {d: d for d in sets}
 

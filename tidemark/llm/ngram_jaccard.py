@@ -27,84 +27,52 @@ whatever their names.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import HIT_SETTINGS, materialize, settings, ship
 from .components import connected_components
 from .packing import slices
+from .word_hash import hashed_words, mix
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DIMENSIONS = 32
 FANOUT = 32
 LEVEL_RATIO = 1.5
 SPLIT, SPLIT_SHINGLES = 20_000, 8_000_000
 SMALL_BUCKET = 4
-WORDS_HELD = 500_000
-UPPER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-ODD_BLANKS = re.compile(r"[^\S\x20\x09-\x0D]")
 
 U = np.uint64
 MULT = U(0x9E3779B97F4A7C15)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A finalizer: every bit of the input reaches every bit of the output."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
-class WordHashes:
-    """64-bit hashes of words, remembered; the table is emptied when it grows too large."""
-
-    def __init__(self):
-        self.known: dict[str, int] = {}
-
-    def of(self, words: list[list[str]]) -> np.ndarray:
-        if len(self.known) > WORDS_HELD:
-            self.known.clear()
-        known = self.known
-        for w in set().union(*words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-        return np.fromiter(map(known.__getitem__, chain.from_iterable(words)), U, sum(map(len, words)))
-
-
-_hashes = WordHashes()
-
-
-def words_of(text: str | None) -> list[str]:
-    """Words of the text with A-Z lower-cased, blanks being those six only."""
-    if not text:
-        return []
-    text = text.translate(UPPER)
-    return WORD.findall(text) if ODD_BLANKS.search(text) else text.split()
-
-
-def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
+def shingle_sets(texts: pa.Array | list, width: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
-    words = [words_of(t) for t in texts]
-    flat = _hashes.of(words)
-    out, at = [], 0
-    for w in words:
-        h = flat[at : at + len(w)]
-        at += len(w)
-        n = max(1, len(h) - width + 1) if len(h) else 0
-        if not n:
+    words = hashed_words(texts)
+    sizes = np.array([len(w) for w in words], np.int64)
+    if not sizes.sum():
+        return [np.zeros(0, U)] * len(words)
+    flat = np.concatenate(words)
+    # Shingles of all texts at once; those that would run over a text's end are passed over.
+    out_of = np.cumsum(sizes)
+    long = flat
+    grams = mix(np.full(max(0, len(long) - width + 1), U(width)))
+    for k in range(width):
+        grams = mix(grams * MULT + long[k : k + len(grams)])
+    out = []
+    for start, n in zip((out_of - sizes).tolist(), sizes.tolist(), strict=True):
+        if n >= width:
+            out.append(np.unique(grams[start : start + n - width + 1]))
+        elif n:
+            s = np.full(1, U(n))
+            for k in range(n):
+                s = mix(s * MULT + flat[start + k : start + k + 1])
+            out.append(s)
+        else:
             out.append(np.zeros(0, U))
-            continue
-        last = min(width, len(h))
-        s = np.full(n, U(last))
-        for k in range(last):
-            s = mix(s * MULT + h[k : k + n])
-        out.append(np.unique(s))
     return out
 
 
@@ -284,8 +252,8 @@ def set_rows(df: DataFrame, width: int) -> DataFrame:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch.column(1)):
-                sets = shingle_sets(batch.column(1)[part].to_pylist(), width)
+            for part in slices(batch.column(1), 2 << 20):
+                sets = shingle_sets(batch.column(1)[part], width)
                 sums = [(int(s.sum()), int(mix(s).sum()) if len(s) else 0) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -310,7 +278,7 @@ def key_rows(df: DataFrame, width: int, similarity: Similarity) -> DataFrame:
         for batch in batches:
             for part in slices(batch.column(1), 2 << 20):
                 keys, owners = [], []
-                for s in shingle_sets(batch.column(1)[part].to_pylist(), width):
+                for s in shingle_sets(batch.column(1)[part], width):
                     s1 = int(mix(np.array([s.sum()], U))[0]) if len(s) else None
                     if s1 is None or s1 in met:
                         continue
@@ -408,7 +376,7 @@ def verified_links(members: DataFrame, width: int, similarity: Similarity) -> Da
         texts = table.column("text").combine_chunks()
         texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
         for part in slices(texts):
-            sets += shingle_sets(texts[part].to_pylist(), width)
+            sets += shingle_sets(texts[part], width)
         counts = np.stack([count_vector(s) for s in sets])
 
         def similar(i: int, j: int) -> bool:

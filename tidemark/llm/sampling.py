@@ -35,8 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import ship
-from .ngram_jaccard import mix
 from .packing import slices
+from .word_hash import mix
 
 SAMPLES = 3
 SHARPNESS = 1.0

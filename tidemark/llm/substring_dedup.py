@@ -20,6 +20,7 @@ empty result; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import HIT_SETTINGS, materialize, settings, ship
-from .ngram_jaccard import MULT, WORD, U, _hashes, _id_text, _signed, mix, words_of
+from .ngram_jaccard import MULT, U, _id_text, _signed
 from .packing import slices
+from .word_hash import hashed_words, mix
 
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 K, WINDOW = 8, 12
 MIN_WORDS = 50
 MIN_SPAN = 16
@@ -67,11 +70,7 @@ def seed_rows(docs: DataFrame, k: int, window: int) -> DataFrame:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch.column(1), 2 << 20):
-                words = [words_of(t) for t in batch.column(1)[part].to_pylist()]
-                flat, at, rows = _hashes.of(words), 0, []
-                for w in words:
-                    rows.append(minimizers(flat[at : at + len(w)], k, window))
-                    at += len(w)
+                rows = [minimizers(h, k, window) for h in hashed_words(batch.column(1)[part])]
                 ids = batch.column(0)[part].to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -259,8 +258,9 @@ def word_slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch.column(1), 2 << 20):
                 ids, lows, highs, blobs = [], [], [], []
-                for d, t, cuts in zip(*(batch.column(c)[part].to_pylist() for c in range(3)), strict=True):
-                    h = _hashes.of([words_of(t)]).astype(np.uint32)
+                hashed = hashed_words(batch.column(1)[part])
+                for d, h, cuts in zip(batch.column(0)[part].to_pylist(), hashed, batch.column(2)[part].to_pylist(), strict=True):
+                    h = h.astype(np.uint32)
                     for c in cuts:
                         ids.append(d)
                         lows.append(c["low"])
