@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import labels, sampling
 from ..runtime import ship
 from ..sources.bars import bars
-from . import labelling, prices  # noqa: F401  (they register their queries)
+from . import labelling, learning, prices  # noqa: F401  (they register their queries)
 from .base import QUERIES, SQL
 
 
