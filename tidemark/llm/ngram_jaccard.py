@@ -39,7 +39,7 @@ from .components import connected_components
 from .packing import slices
 from .word_hash import hashed_words, mix
 
-DIMENSIONS = 32
+DIMENSIONS = 128
 FANOUT = 32
 LEVEL_RATIO = 1.5
 SPLIT, SPLIT_SHINGLES = 20_000, 8_000_000
