@@ -126,8 +126,8 @@ def test_folds(spark):
 
 def test_order_of_input_does_not_matter(spark):
     b = series(spark, wave(60))
-    one = sampling.cusum_events(b, 0.05).collect()
-    assert sorted(one) == sorted(sampling.cusum_events(b.repartition(7), 0.05).collect()) and one
+    one = sampling.cusum_events(b, 0.02).collect()
+    assert sorted(one) == sorted(sampling.cusum_events(b.repartition(7), 0.02).collect()) and one
 
 
 def test_empty_series(spark):
@@ -142,9 +142,9 @@ def test_cusum_stream(spark, tmp_path):
     b = series(spark, wave(80)).select("symbol", "ts", F.col("adj_close").alias("price"))
     b.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(b.schema).parquet(str(tmp_path / "in"))
-    q = cusum_stream(stream, 0.05).writeStream.format("memory").queryName("hits").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
+    q = cusum_stream(stream, 0.02).writeStream.format("memory").queryName("hits").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).start()
     q.processAllAvailable()
     q.stop()
     got = [r["t0"] for r in spark.sql("select * from hits order by t0").collect()]
-    assert got == [r["t0"] for r in sampling.cusum_events(b.withColumnRenamed("price", "adj_close"), 0.05).orderBy("t0").collect()]
+    assert got == [r["t0"] for r in sampling.cusum_events(b.withColumnRenamed("price", "adj_close"), 0.02).orderBy("t0").collect()]
     assert "direction" in OUT

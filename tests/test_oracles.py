@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
 
 def value(v):
     if isinstance(v, float):
-        return round(v, 5) + 0.0
+        return float(f"{round(v, 5):.9g}") + 0.0
     return v.replace(tzinfo=None) if hasattr(v, "tzinfo") else v
 
 
