@@ -41,6 +41,7 @@ from .word_hash import hashed_words, mix
 
 DIMENSIONS = 128
 FANOUT = 32
+LEAF_ONLY = 160
 LEVEL_RATIO = 1.5
 SPLIT, SPLIT_SHINGLES = 20_000, 8_000_000
 SMALL_BUCKET = 4
@@ -213,6 +214,8 @@ class CountRTree:
 def linked(counts: np.ndarray, similarity: Similarity, verify=None) -> list[tuple[int, int]]:
     """A spanning forest of the pairs that the bound, and ``verify`` if given, let pass."""
     n = len(counts)
+    if n <= LEAF_ONLY:
+        return _linked_leaf(counts, similarity, verify)
     tree, forest, out = CountRTree(counts), Forest(n), []
     comp, uniform = forest.roots(), None
     stale = 0
@@ -231,6 +234,20 @@ def linked(counts: np.ndarray, similarity: Similarity, verify=None) -> list[tupl
     return out
 
 
+def _linked_leaf(counts: np.ndarray, similarity: Similarity, verify) -> list[tuple[int, int]]:
+    """The same where all points fit a leaf: the bound of all of them against each other at once."""
+    counts = counts.astype(np.int32)
+    size = counts.sum(axis=1, dtype=np.int64)
+    bound = np.stack([np.minimum(counts, c).sum(axis=1, dtype=np.int64) for c in counts])
+    a, b = np.nonzero(np.tril(bound >= similarity.needed(size[:, None], size[None, :]), -1))
+    forest, out = Forest(len(counts)), []
+    for i, j in zip(a.tolist(), b.tolist(), strict=True):
+        if forest.find(i) != forest.find(j) and (verify is None or verify(i, j)):
+            forest.join(i, j)
+            out.append((i, j))
+    return out
+
+
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
     if len(a) > len(b):
         a, b = b, a
@@ -294,7 +311,7 @@ def key_rows(df: DataFrame, width: int, similarity: Similarity) -> DataFrame:
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
-    """(key, s1, n): the sets of every key that several have, n being their number.
+    """(key, s1, n): the sets of every key that several have, n being their number; key names the bucket.
 
     Keys were made distinct per task, so a key has at most one row per set and task; rows come to a
     partition as two numbers each, and the sort here is over arrays of them.
@@ -316,6 +333,17 @@ def shared_keys(keys: DataFrame) -> DataFrame:
         each = np.repeat(count, count)
         keep = each > 1
         key, s1, each = key[keep], s1[keep], each[keep]
+        if not len(key):
+            return
+        # Copies share many keys: buckets of the same sets are one bucket, named by the sum over its sets.
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        bucket = np.add.reduceat(mix(s1.view(U)), first)
+        size = np.diff(np.r_[first, len(key)])
+        _, chosen = np.unique(bucket, return_index=True)
+        only = np.zeros(len(first), bool)
+        only[chosen] = True
+        keep = np.repeat(only, size)
+        key, s1, each = np.repeat(bucket, size)[keep].view(np.int64), s1[keep], each[keep]
         for at in range(0, len(key), 100_000):
             cut = slice(at, at + 100_000)
             yield pa.RecordBatch.from_arrays(
@@ -360,7 +388,7 @@ def bound_links(shared: DataFrame, vectors: DataFrame, similarity: Similarity) -
         a, b = (np.array([s1[f[k]] for f in found], np.int64) for k in (0, 1))
         return pa.table({"a": a, "b": b})
 
-    large = in_parts(shared.where(F.col("n") > SMALL_BUCKET), "key", F.ceil(F.col("n") / SPLIT), "s1")
+    large = in_parts(shared.where(F.col("n") > SMALL_BUCKET).distinct(), "key", F.ceil(F.col("n") / SPLIT), "s1")
     from_large = (
         large.select("key", "i", "j", "s1").join(vectors, "s1").groupBy("key", "i", "j").applyInArrow(tree, "a long, b long")
     )
