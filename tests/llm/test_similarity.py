@@ -112,6 +112,21 @@ def test_passages(spark):
     assert passages(df.limit(0)).collect() == []
 
 
+def test_passages_apart_in_the_same_order(spark):
+    rng = random.Random(11)
+    some = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    rows, want = [], {}
+    for case, (a, gap, b) in enumerate([(51, 40, 51), (55, 40, 55), (60, 40, 60), (51, 30, 51)] * 5):
+        one, two = some(a), some(b)
+        rows.append((2 * case, " ".join([*some(9), *one, *some(gap), *two, *some(9)])))
+        rows.append((2 * case + 1, " ".join([*some(30), *one, *some(gap), *two, *some(30)])))
+        want[2 * case + 1] = {*range(30, 30 + a), *range(30 + a + gap, 30 + a + gap + b)}
+    got = defaultdict(set)
+    for r in passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r["doc_id"]] |= set(range(r["passage_start"], r["passage_end"]))
+    assert got == want
+
+
 def test_chain_kernels():
     assert sorted(map(sorted, chains(np.array([1, 5, 9, 12]), np.array([3, 7, 900, 13])))) == [[0, 1, 3], [2]]
     rng = random.Random(1)

@@ -7,7 +7,8 @@
    dynamic programming; the score of a chain is its seeds less a cost linear in the gaps, and the best
    predecessor is a prefix maximum in a Fenwick tree over the source's places.
 3. Alignment: the words around each chain come from both texts; runs between seeds are aligned by
-   bit-parallel longest common subsequences, ends are extended by x-drop over nearby diagonals.
+   bit-parallel longest common subsequences, ends are extended by x-drop over nearby diagonals. A chain
+   that isn't similar enough as a whole gives every longest stretch of its alignment that is.
 4. Aligned pieces that touch, whatever their source, form a passage; passages of at least
    ``min_words`` words are the result. The first occurrence of a passage is never part of it.
 
@@ -202,8 +203,9 @@ def common_length(a: list[int], b: list[int]) -> int:
     return len(a) - row.bit_count()
 
 
-def extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
-    """How far both run on from their starts: words of a, of b, and words in common."""
+def extend(a: np.ndarray, b: np.ndarray, steps: list | None = None) -> tuple[int, int, int]:
+    """How far both run on from their starts: words of a, of b, and words in common. ``steps`` takes the
+    same three numbers of each run of equal or of different words on the way."""
     used_a = used_b = common = 0
     while True:
         best = (0, 0, 0, 0)
@@ -221,8 +223,15 @@ def extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
             gain = int(value[top]) - 2 * abs(shift)
             if gain > best[0] and (shift == 0 or gain >= 4):
                 best = (gain, i + top + 1, j + top + 1, int(same[: top + 1].sum()))
+                path = same[: top + 1]
         if not best[0]:
             return used_a, used_b, common
+        if steps is not None:
+            n = len(path)
+            if best[1] - n > used_a or best[2] - n > used_b:
+                steps.append((best[1] - n - used_a, best[2] - n - used_b, 0))
+            cuts = [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1).tolist(), n]
+            steps.extend((q - p, q - p, (q - p) * int(path[p])) for p, q in zip(cuts, cuts[1:]))
         _, used_a, used_b, more = best
         common += more
 
@@ -243,6 +252,51 @@ def align(a: np.ndarray, b: np.ndarray, x: list[int], y: list[int], k: int) -> t
     return x[0] - less_a, ex + more_a, y[0] - less_b, ey + more_b, common + left + right
 
 
+def steps_of(a: np.ndarray, b: np.ndarray, x: list[int], y: list[int], k: int) -> tuple[int, int, list[tuple[int, int, int]]]:
+    """The alignment in steps (words of a, of b, in common) from its first places on: seeds, and between
+    them what runs on from either side and the rest."""
+    left: list[tuple[int, int, int]] = []
+    less_a, less_b, _ = extend(a[: x[0]][::-1], b[: y[0]][::-1], left)
+    steps = [*left[::-1], (k, k, k)]
+    ex, ey = x[0] + k, y[0] + k
+    for p, q in zip(x[1:], y[1:], strict=True):
+        if p >= ex and q >= ey:
+            on_a, on_b, _ = extend(a[ex:p], b[ey:q], steps)
+            back: list[tuple[int, int, int]] = []
+            back_a, back_b, _ = extend(a[ex + on_a : p][::-1], b[ey + on_b : q][::-1], back)
+            rest_a, rest_b = a[ex + on_a : p - back_a].tolist(), b[ey + on_b : q - back_b].tolist()
+            if rest_a or rest_b:
+                steps.append((len(rest_a), len(rest_b), common_length(rest_a, rest_b)))
+            steps += [*back[::-1], (k, k, k)]
+        else:
+            steps.append((p + k - ex, q + k - ey, max(0, min(p + k - ex, q + k - ey))))
+        ex, ey = p + k, q + k
+    extend(a[ex:], b[ey:], steps)
+    return x[0] - less_a, y[0] - less_b, steps
+
+
+def similar_parts(a: np.ndarray, b: np.ndarray, x: list[int], y: list[int], k: int) -> list[tuple[int, int, int, int, int]]:
+    """The alignment where it is similar enough, else its stretches that are and lie in no longer one."""
+    whole = align(a, b, x, y, k)
+    if whole[4] >= IDENTITY * max(whole[1] - whole[0], whole[3] - whole[2]):
+        return [whole]
+    start_a, start_b, steps = steps_of(a, b, x, y, k)
+    own = np.array(steps)
+    at = np.vstack([np.zeros((1, 3), np.int64), np.cumsum(own, axis=0)])
+    gain = own[:, 2] - IDENTITY * own[:, :2].max(axis=1)
+    total = np.r_[0.0, np.cumsum(gain)]
+    ends = np.flatnonzero(gain > 0) + 1  # stretches begin and end with words in common
+    highest = np.maximum.accumulate(total[ends][::-1])[::-1]
+    out, reached = [], 0
+    for i in (ends - 1).tolist():
+        last = int(np.searchsorted(-highest, -(total[i] - 1e-9), side="right")) - 1
+        if last >= 0 and (end := int(ends[last])) > max(i, reached):
+            (a0, b0, n0), (a1, b1, n1) = at[i].tolist(), at[end].tolist()
+            out.append((start_a + a0, start_a + a1, start_b + b0, start_b + b1, n1 - n0))
+            reached = end
+    return out
+
+
 def _reach(places: str, step: int):
     low = F.greatest(F.lit(0), F.element_at(places, 1) - PAD)
     high = F.element_at(places, -1) + PAD + step
@@ -278,7 +332,7 @@ def word_slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def aligned(chain_table: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """The aligned piece of each chain that is similar enough."""
+    """The aligned pieces of each chain that are similar enough."""
     low, high = _reach("xs", k)
     source_low, source_high = _reach("ys", k)
     placed = chain_table.select("*", low.alias("low"), high.alias("high"), source_low.alias("s_low"), source_high.alias("s_high"))
@@ -294,11 +348,10 @@ def aligned(chain_table: DataFrame, docs: DataFrame, k: int) -> DataFrame:
             for r in batch.to_pylist():
                 a, b = np.frombuffer(r["words"], np.uint32), np.frombuffer(r["s_words"], np.uint32)
                 x, y = [v - r["low"] for v in r["xs"]], [v - r["s_low"] for v in r["ys"]]
-                x0, x1, y0, y1, n = align(a, b, x, y, k)
-                if n >= IDENTITY * max(x1 - x0, y1 - y0):
-                    out.append(
-                        (r["doc_id"], x0 + r["low"], x1 + r["low"], r["source"], y0 + r["s_low"], y1 + r["s_low"], n)
-                    )
+                out.extend(
+                    (r["doc_id"], x0 + r["low"], x1 + r["low"], r["source"], y0 + r["s_low"], y1 + r["s_low"], n)
+                    for x0, x1, y0, y1, n in similar_parts(a, b, x, y, k)
+                )
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
             cols = list(zip(*out)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=PIECE_NAMES)
