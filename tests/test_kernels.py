@@ -148,3 +148,12 @@ def test_cusum_stream(spark, tmp_path):
     got = [r["t0"] for r in spark.sql("select * from hits order by t0").collect()]
     assert got == [r["t0"] for r in sampling.cusum_events(b.withColumnRenamed("price", "adj_close"), 0.02).orderBy("t0").collect()]
     assert "direction" in OUT
+
+
+def test_differencing_queries_keep_the_long_memory(spark, monkeypatch):
+    from tidemark.plans import learning
+
+    assert len(fracdiff.ffd_weights(learning.ORDER, learning.THRESHOLD)) == 1458
+    walk = series(spark, wave(5000)).select("symbol", "ts", F.ln("adj_close").alias("x"))
+    monkeypatch.setattr(learning, "_logs", lambda spark, sf: walk)
+    assert sorted(r["d"] for r in learning._sweep(spark, None).collect()) == [round(i / 20, 2) for i in range(21)]

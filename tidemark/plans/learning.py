@@ -13,7 +13,7 @@ from ..operators import bets, features, fracdiff, labels, models, sampling, vali
 from ..sources import bars as src
 from .base import BARS, labelled, query, rounded
 
-THRESHOLD = 1e-2
+THRESHOLD = 1e-5
 ORDER = 0.4
 
 
@@ -64,7 +64,7 @@ def _(spark, sf):
 
 
 def _sweep(spark, sf):
-    return fracdiff.sweep(_logs(spark, sf), "x", [i / 10 for i in range(11)], THRESHOLD)
+    return fracdiff.sweep(_logs(spark, sf), "x", [i / 20 for i in range(21)], THRESHOLD)
 
 
 @query("ffd_sweep")
