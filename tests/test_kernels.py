@@ -157,3 +157,27 @@ def test_differencing_queries_keep_the_long_memory(spark, monkeypatch):
     walk = series(spark, wave(5000)).select("symbol", "ts", F.ln("adj_close").alias("x"))
     monkeypatch.setattr(learning, "_logs", lambda spark, sf: walk)
     assert sorted(r["d"] for r in learning._sweep(spark, None).collect()) == [round(i / 20, 2) for i in range(21)]
+
+
+def test_model_queries_take_the_whole_job(monkeypatch):
+    from tidemark.plans import base, learning
+
+    class Seen(Exception):
+        pass
+
+    def seen(*args, **named):
+        raise Seen(args)
+
+    monkeypatch.setattr(base, "ship", lambda spark: None)
+    monkeypatch.setattr(learning, "_matrix", lambda spark, sf: None)
+    monkeypatch.setattr(learning.models, "dataset", lambda matrix, columns, label="label": tuple(columns))
+    for f in ("sfi", "mda", "search", "out_of_sample"):
+        monkeypatch.setattr(learning.models, f, seen)
+    args = {}
+    for name in ("sfi", "mda", "random_search", "oos_predictions"):
+        with pytest.raises(Seen) as e:
+            base.QUERIES[name](None, None)
+        args[name] = e.value.args[0]
+    assert args["sfi"][2:] == args["mda"][2:] == (features.CORE, 5) and len(features.CORE) == 15
+    assert args["mda"][1] == args["oos_predictions"][1] == args["random_search"][1] == features.CORE
+    assert args["oos_predictions"][2] == args["random_search"][3] == 5 and len(args["random_search"][2]) == 25

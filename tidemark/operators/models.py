@@ -83,9 +83,9 @@ def out_of_sample(make: Callable, rows: DataFrame, k: int = 5, weighted: bool =
     return out
 
 
-def cv_score(make: Callable, rows: DataFrame, k: int = 5, fit_weights: bool = True, score_weights: bool = True) -> DataFrame:
+def cv_score(make: Callable, rows: DataFrame, k: int = 5, fit_weights: bool = True, score_weights: bool = True, balanced: bool = False) -> DataFrame:
     """Scores per fold."""
-    found = out_of_sample(make, rows, k, fit_weights)
+    found = out_of_sample(make, rows, k, fit_weights, balanced)
     found = found if score_weights else found.withColumn("weight", F.lit(1.0))
     return scores(found, ("fold",))
 
@@ -105,12 +105,13 @@ def train_and_evaluate(make: Callable, rows: DataFrame, k: int = 5):
 
 
 def search(family: Callable, rows: DataFrame, grid: Sequence[dict], k: int = 5) -> DataFrame:
-    """trial, params, fold, score of each parameter set."""
+    """trial, params, fold, score of each parameter set; ``balanced`` in a set goes to the fit."""
     spark = rows.sparkSession
     out = None
     for trial, params in enumerate(grid):
         named = spark.createDataFrame([(trial, {a: str(b) for a, b in params.items()})], "trial int, params map<string,string>")
-        part = cv_score(family(**params), rows, k).select("fold", F.col("accuracy").alias("score")).crossJoin(F.broadcast(named))  # one row
+        own = {a: b for a, b in params.items() if a != "balanced"}
+        part = cv_score(family(**own), rows, k, balanced=params.get("balanced", False)).select("fold", F.col("accuracy").alias("score")).crossJoin(F.broadcast(named))  # one row
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -124,48 +124,54 @@ def _(spark, sf):
     return m.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_columns", F.lit(len(m.columns)))
 
 
-SMALL = ("ret_5d", "vol_20d", "volume_ratio", "rsi_14")
+FOLDS = 5
+SEEDS = (42, 123, 456, 789, 2024)
 
 
-def _data(spark, sf, columns=SMALL):
+def _data(spark, sf, columns=features.CORE):
     return models.dataset(_matrix(spark, sf), columns)
 
 
-def _forest(trees=10, depth=3, leaf=5):
-    return models.forest(trees, depth, leaf)
+def _forest(seed=42):
+    """The tuned forest."""
+    return models.forest(100, 7, 20, seed=seed)
+
+
+def _meta_forest(seed=42):
+    return models.forest(100, 3, 20, seed=seed)
 
 
 @query("cv_score")
 def _(spark, sf):
-    return models.cv_score(_forest(), _data(spark, sf), 3)
+    return models.cv_score(_forest(), _data(spark, sf), FOLDS)
 
 
 @query("four_way_weights")
 def _(spark, sf):
-    return models.four_ways(_forest(5), _data(spark, sf), 3)
+    return models.four_ways(_forest(), _data(spark, sf), FOLDS)
 
 
 @query("train_and_evaluate")
 def _(spark, sf):
-    return models.train_and_evaluate(_forest(), _data(spark, sf), 3)[1]
+    return models.train_and_evaluate(_forest(), _data(spark, sf), FOLDS)[1]
 
 
 @query("rf_baseline")
 def _(spark, sf):
-    return models.cv_score(models.forest(50, 5, 10), _data(spark, sf), 3).agg(F.avg("accuracy").alias("mean_score"), F.stddev_samp("accuracy").alias("std_score"))
+    return models.cv_score(models.forest(), _data(spark, sf), FOLDS).agg(F.avg("accuracy").alias("mean_score"), F.stddev_samp("accuracy").alias("std_score"))
 
 
 @query("xgb_baseline")
 def _(spark, sf):
-    return models.cv_score(models.boosted(10, 3, 0.1), _data(spark, sf), 3).agg(F.avg("accuracy").alias("mean_score"), F.stddev_samp("accuracy").alias("std_score"))
+    return models.cv_score(models.boosted(), _data(spark, sf), FOLDS).agg(F.avg("accuracy").alias("mean_score"), F.stddev_samp("accuracy").alias("std_score"))
 
 
 @query("model_comparison")
 def _(spark, sf):
     d = _data(spark, sf)
     out = None
-    for name, make in (("forest", _forest()), ("boosted", models.boosted(5, 2, 0.1))):
-        part = models.cv_score(make, d, 3).agg(F.lit(name).alias("model"), F.avg("accuracy").alias("mean_score"), F.stddev_samp("accuracy").alias("std_score"))
+    for name, make in (("forest", _forest()), ("boosted", models.boosted())):
+        part = models.cv_score(make, d, FOLDS).agg(F.lit(name).alias("model"), F.avg("accuracy").alias("mean_score"), F.stddev_samp("accuracy").alias("std_score"))
         out = part if out is None else out.unionByName(part)
     base = d.groupBy("class").count().agg((F.max("count") / F.sum("count")).alias("baseline"))
     return out.crossJoin(F.broadcast(base)).withColumn("beats_baseline", F.col("mean_score") > F.col("baseline"))  # one row
@@ -184,17 +190,17 @@ def _(spark, sf):
 
 @query("mdi")
 def _(spark, sf):
-    return models.mdi(models.fit(_forest(), _data(spark, sf)), SMALL, spark)
+    return models.mdi(models.fit(_forest(), _data(spark, sf)), features.CORE, spark)
 
 
 @query("mda")
 def _(spark, sf):
-    return models.mda(_forest(), _data(spark, sf), SMALL, 3)
+    return models.mda(_forest(), _data(spark, sf), features.CORE, FOLDS)
 
 
 @query("sfi")
 def _(spark, sf):
-    return models.sfi(_forest(5), _matrix(spark, sf), SMALL[:2], 3)
+    return models.sfi(_forest(), _matrix(spark, sf), features.CORE, FOLDS)
 
 
 FAKE = [("a", 0.4, 0.1, 0.3), ("b", 0.3, 0.1, 0.1), ("c", 0.2, 0.3, 0.1), ("d", 0.1, 0.0, 0.0), ("e", 0.05, 0.2, 0.2)]
@@ -220,20 +226,20 @@ def _(spark, sf):
 @query("importance_table")
 def _(spark, sf):
     d = _data(spark, sf)
-    return models.importance_table(mdi=models.mdi(models.fit(_forest(), d), SMALL, spark), mda=models.mda(_forest(), d, SMALL, 3))
+    return models.importance_table(mdi=models.mdi(models.fit(_forest(), d), features.CORE, spark), mda=models.mda(_forest(), d, features.CORE, FOLDS))
 
 
-SPACE = {"trees": (5, 10), "depth": (2, 3), "leaf": (5, 10)}
+SPACE = {"trees": (100, 200, 500), "depth": (3, 5, 7, 10), "leaf": (5, 10, 20, 30), "features": ("sqrt", "0.5", "1.0"), "balanced": (True, False)}
 
 
 @query("grid_search")
 def _(spark, sf):
-    return models.search(models.forest, _data(spark, sf), models.grid_of({"trees": (5,), "depth": (2, 3)}), 3)
+    return models.search(models.forest, _data(spark, sf), models.grid_of(SPACE), FOLDS)
 
 
 @query("random_search")
 def _(spark, sf):
-    return models.search(models.forest, _data(spark, sf), models.random_grid(SPACE, 2), 3)
+    return models.search(models.forest, _data(spark, sf), models.random_grid(SPACE, 25), FOLDS)
 
 
 # A log of trials by rule: score of trial i in fold j.
@@ -308,12 +314,12 @@ def _(spark, sf):
 def _(spark, sf):
     d = _data(spark, sf)
     base = d.groupBy("class").count().agg(F.lit("majority").alias("stage"), (F.max("count") / F.sum("count")).alias("score"))
-    rf = models.cv_score(_forest(), d, 3).agg(F.lit("forest").alias("stage"), F.avg("accuracy").alias("score"))
+    rf = models.cv_score(_forest(), d, FOLDS).agg(F.lit("forest").alias("stage"), F.avg("accuracy").alias("score"))
     return base.unionByName(rf)
 
 
-def _oos(spark, sf, columns=SMALL):
-    return models.out_of_sample(_forest(), _data(spark, sf, columns), 3)
+def _oos(spark, sf):
+    return models.out_of_sample(_forest(), _data(spark, sf), FOLDS)
 
 
 @query("oos_predictions")
@@ -322,41 +328,44 @@ def _(spark, sf):
 
 
 def _meta(spark, sf):
-    oos = _oos(spark, sf)
-    _, lab = labelled(spark, sf)
+    return _meta_rows(_oos(spark, sf), labelled(spark, sf)[1])
+
+
+def _meta_rows(oos, lab):
     meta = bets.meta_labels(oos.select("symbol", "t0", "side", "p"), lab).select("symbol", "t0", "meta_label")
-    kept = oos.select("symbol", "t0", "t1", "weight", "side", *SMALL)
-    return models.dataset(kept.join(meta, ["symbol", "t0"]), [*SMALL, "side"], "meta_label")
+    kept = oos.select("symbol", "t0", "t1", "weight", "side", *features.CORE)
+    return models.dataset(kept.join(meta, ["symbol", "t0"]), [*features.CORE, "side"], "meta_label")
 
 
 @query("meta_features")
 def _(spark, sf):
-    return _meta(spark, sf).select("symbol", "t0", *SMALL, "side", "meta_label", "weight", "t1")
+    return _meta(spark, sf).select("symbol", "t0", *features.CORE, "side", "meta_label", "weight", "t1")
 
 
 @query("oos_meta_predictions")
 def _(spark, sf):
     rows = _meta(spark, sf).withColumnRenamed("side", "primary_side")
-    return models.out_of_sample(models.forest(10, 3, 5), rows, 3, balanced=True).select("symbol", "t0", "fold", "p", "meta_label", "primary_side")
+    return models.out_of_sample(_meta_forest(), rows, FOLDS, balanced=True).select("symbol", "t0", "fold", "p", "meta_label", "primary_side")
 
 
 @query("cpcv_predictions")
 def _(spark, sf):
-    """Every combination of two test groups of four; the last split that tests a row gives its prediction."""
+    """Every combination of two test groups of six; the last split that tests a row gives its prediction."""
     d = _data(spark, sf)
-    splits = validation.combinatorial_splits(d.select("symbol", "t0", "t1"), 4, 2).withColumnRenamed("split", "fold")
-    found = models.out_of_sample(_forest(5, 2), d, 6, folds=splits)
+    splits = validation.combinatorial_splits(d.select("symbol", "t0", "t1"), 6, 2).withColumnRenamed("split", "fold")
+    found = models.out_of_sample(_forest(), d, 15, folds=splits)
     return found.groupBy("symbol", "t0").agg(F.max_by("p", "fold").alias("p"), F.count(F.lit(1)).alias("n_splits"))
 
 
 @query("cpcv_paths")
 def _(spark, sf):
-    """Sharpe ratio of the chain from predictions to backtest for each of several forest seeds."""
-    d, b = _data(spark, sf), src.bars(spark, sf)
+    """Sharpe ratio of the chain from predictions over meta-model to backtest for each of several forest seeds."""
+    d, (b, lab) = _data(spark, sf), labelled(spark, sf)
     out = None
-    for seed in (1, 2):
-        oos = models.out_of_sample(models.forest(5, 2, 5, seed=seed), d, 3)
-        signals = bets.bet_signal(oos.select("symbol", "t0", "t1", "side", F.greatest("p", 1 - F.col("p")).alias("p")))
+    for seed in SEEDS:
+        rows = _meta_rows(models.out_of_sample(_forest(seed), d, 6), lab).withColumnRenamed("side", "primary_side")
+        meta = models.out_of_sample(_meta_forest(seed), rows, FOLDS, balanced=True)
+        signals = bets.bet_signal(meta.select("symbol", "t0", "t1", F.col("primary_side").alias("side"), "p"))
         run = bt.backtest(bets.daily_positions(bets.average_active(signals), b, 0.2), b)
         part = bt.sharpe(run).withColumn("seed", F.lit(seed))
         out = part if out is None else out.unionByName(part)
@@ -374,6 +383,6 @@ def _(spark, sf):
     feats = features.volatility(features.momentum(b.withColumn("volume", F.lit(1.0)))).select("symbol", F.col("ts").alias("t0"), "ret_5d", "ret_20d", "vol_20d")
     rows = models.dataset(lab.join(feats, ["symbol", "t0"]).na.drop(subset=["ret_5d", "ret_20d", "vol_20d"]).withColumn("weight", F.lit(1.0)), ["ret_5d", "ret_20d", "vol_20d"], "bin")
     parts = validation.numbered(rows).withColumn("train", F.col("pos") < F.floor(0.8 * F.col("n")))
-    out = models.predict(models.fit(_forest(), parts.where("train")), parts.where("not train"))
+    out = models.predict(models.fit(models.forest(100, 3, 1), parts.where("train")), parts.where("not train"))
     signal = out.select("symbol", F.col("t0").alias("ts"), F.signum(2 * F.col("p") - 1).alias("signal"))
     return bt.sharpe(bt.backtest(bets.daily_positions(signal, b), b))
