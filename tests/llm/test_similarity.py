@@ -127,6 +127,18 @@ def test_passages_apart_in_the_same_order(spark):
     assert got == want
 
 
+def test_fuzzy_passages(spark):
+    rng = random.Random(12)
+    some = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for case in range(40):
+        text, step = some(60), (10, 12)[case % 2]
+        fuzzy = [w if i % step != step // 2 else "other" for i, w in enumerate(text)]
+        rows += [(2 * case, " ".join([*some(20), *text, *some(20)])), (2 * case + 1, " ".join([*some(9), *fuzzy, *some(9)]))]
+    found = {r["doc_id"] for r in passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == set(range(1, 80, 2))
+
+
 def test_chain_kernels():
     assert sorted(map(sorted, chains(np.array([1, 5, 9, 12]), np.array([3, 7, 900, 13])))) == [[0, 1, 3], [2]]
     rng = random.Random(1)

@@ -1,11 +1,11 @@
 """Repeated passages by collinear chaining of shared k-mer seeds.
 
-1. Seeds: the minimizers of the k-word shingles of every whole text (any exact run of
-   ``k + window - 1`` words holds one). Each seed that several documents share is tied to its first
+1. Seeds: all k-word shingles of every whole text (with a window over 1 its minimizers, of which any
+   exact run of ``k + window - 1`` words holds one). Each seed that several documents share is tied to its first
    occurrence (smallest doc_id, then place): one match per occurrence, however many documents share it.
 2. Chains: per document and source document, matches in rising order of both places are chained by
    dynamic programming; the score of a chain is its seeds less a cost linear in the gaps, and the best
-   predecessor is a prefix maximum in a Fenwick tree over the source's places.
+   predecessor is a prefix maximum in a Fenwick tree over the source's places. A single seed is a chain.
 3. Alignment: the words around each chain come from both texts; runs between seeds are aligned by
    bit-parallel longest common subsequences, ends are extended by x-drop over nearby diagonals. A chain
    that isn't similar enough as a whole gives every longest stretch of its alignment that is.
@@ -35,9 +35,8 @@ from .packing import slices
 from .word_hash import hashed_words, mix
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-K, WINDOW = 8, 12
+K, WINDOW = 8, 1
 MIN_WORDS = 50
-MIN_SPAN = 16
 MAX_GAP, MAX_SHIFT = 60, 20
 GAP_COST = 0.01
 IDENTITY = 0.8
@@ -161,6 +160,10 @@ def chain_rows(matches: DataFrame, k: int) -> DataFrame:
         doc, at, source, source_at = (np.concatenate(p) for p in zip(*parts, strict=True))
         order = np.lexsort((source_at, at, source, doc))
         doc, at, source, source_at = doc[order], at[order], source[order], source_at[order]
+        # Inside a run of words equal in both texts a match every k places is enough.
+        on = (np.diff(doc) == 0) & (np.diff(source) == 0) & (np.diff(at) == 1) & (np.diff(source_at) == 1)
+        inside = np.r_[False, on] & np.r_[on, False] & (at % k != 0)
+        doc, at, source, source_at = doc[~inside], at[~inside], source[~inside], source_at[~inside]
         first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (source[1:] != source[:-1])])
         last = np.r_[first[1:], len(doc)]
         rows: list[tuple] = []
@@ -174,12 +177,9 @@ def chain_rows(matches: DataFrame, k: int) -> DataFrame:
             return batch
 
         for a, b in zip(first.tolist(), last.tolist(), strict=True):
-            if at[b - 1] - at[a] + k < MIN_SPAN:
-                continue
             x, y = at[a:b], source_at[a:b]
             for c in chains(x, y):
-                if x[c[-1]] - x[c[0]] + k >= MIN_SPAN:
-                    rows.append((doc[a], source[a], x[c], y[c]))
+                rows.append((doc[a], source[a], x[c], y[c]))
             if len(rows) >= 5000:
                 yield flush()
         if rows:
