@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions.numeric import log_return
 from ..operators import backtest as bt
 from ..operators import bets, features, fracdiff, labels, models, sampling, validation, weights
+from ..runtime import fresh_path, materialize
 from ..sources import bars as src
 from .base import BARS, labelled, query, rounded
 
@@ -82,10 +80,7 @@ def _matrix(spark, sf):
     b, lab = labelled(spark, sf)
     fd = fracdiff.frac_diff(_logs(spark, sf), "x", ORDER, THRESHOLD)
     out = features.feature_matrix(features.features(b), fd, lab, weights.sample_weights(lab, b))
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{shared.rstrip('/')}/tidemark-matrix-{uuid.uuid4().hex}"
-    out.write.parquet(path)
-    return spark.read.schema(out.schema).parquet(path)
+    return materialize(out, "matrix")
 
 
 @query("feature_matrix")
@@ -182,8 +177,7 @@ def _(spark, sf):
     from pyspark.ml.classification import RandomForestClassificationModel
 
     d = _data(spark, sf)
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{shared.rstrip('/')}/tidemark-model-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "model")
     models.fit(_forest(), d).write().overwrite().save(path)
     return models.predict(RandomForestClassificationModel.load(path), d).select("symbol", "t0", "pred", "p")
 

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import full, trailing
 from ..operators import features as ft
 from ..operators import sampling as sm
+from ..runtime import fresh_path
 from ..sources import bars as src
 from .base import BARS, QUERIES, events, query, rounded
 
@@ -24,11 +23,6 @@ def _bar_rows(df):
     return df.withColumns({c: F.round(c, 9) for c in prices} | {"adj_close": F.round("adj_close", 6)})
 
 
-def _scratch(spark, name):
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{shared.rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
-
-
 @query("bars", BAR_ROWS)
 def _(spark, sf):
     return _bar_rows(src.bars(spark, sf))
@@ -36,21 +30,21 @@ def _(spark, sf):
 
 @query("scan_csv", BAR_ROWS)
 def _(spark, sf):
-    path = _scratch(spark, "csv")
+    path = fresh_path(spark, "csv")
     src.write_bars(src.bars(spark, sf), path, "csv")
     return _bar_rows(src.read_bars_csv(spark, path))
 
 
 @query("scan_parquet", BAR_ROWS)
 def _(spark, sf):
-    path = _scratch(spark, "parquet")
+    path = fresh_path(spark, "parquet")
     src.write_bars(src.bars(spark, sf), path)
     return _bar_rows(src.read_bars_parquet(spark, path))
 
 
 @query("scan_json", BAR_ROWS)
 def _(spark, sf):
-    path = _scratch(spark, "json")
+    path = fresh_path(spark, "json")
     src.write_bars(src.bars(spark, sf), path, "json")
     return _bar_rows(spark.read.schema(src.BAR_SCHEMA).json(path))
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "tidemark", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -24,6 +25,28 @@ def session(name: str = "tidemark", cores: str = "*", shuffle_partitions: int =
     )
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see. A local one serves only where there is one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        named = f"{tempfile.gettempdir()}/tidemark-shared"
+    return named.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: the lineage ends there."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Let the executors' Python import this package, wherever the driver found it."""
     context = spark.sparkContext
