@@ -2,35 +2,24 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import ship  # noqa: F401  (for the operators)
+from ..runtime import fresh_path, materialize, ship  # noqa: F401  (for the operators)
 
 # Rows without a partner are kept out of an exchange by a Bloom filter of the smaller side; its size is bounded.
 HIT_SETTINGS = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
     "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g",
 }
-FALLBACK_SHARED = "/tmp/tidemark-shared"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = FALLBACK_SHARED
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+HOT_ROWS = MOST_HOT = 10_000
 
 
 @contextmanager
@@ -46,19 +35,33 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: the lineage ends there."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a table in the shared folder, on whatever file system it is."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    system, where = _file_system(spark, path)
+    system.delete(where, True)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    system, where = _file_system(spark, path)
+    return system.exists(where)
+
+
+def write_once(df: DataFrame, path: str) -> DataFrame:
+    """Write df at the path unless a whole table is there already; what a failed try left is never seen."""
+    spark = df.sparkSession
+    if not path_exists(spark, path):
+        staged = fresh_path(spark, "staged")
+        df.write.parquet(staged)
+        system, where = _file_system(spark, path)
+        system.mkdirs(where.getParent())
+        if not system.rename(_file_system(spark, staged)[1], where):
+            raise OSError(f"{staged} could not be moved to {path}")
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,12 +72,32 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def with_locator(df: DataFrame, *cols) -> DataFrame:
+def with_locator(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
     """The columns, and file and row, which name a row for good; rows not in files are written to some first."""
-    try:
-        found = df.select(*cols, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-        found.schema
-        return found
-    except AnalysisException:
-        plain = materialize(df.select(*cols), "content")
-        return with_locator(plain, *plain.columns)
+    named = [c.alias(n) for n, c in cols.items()]
+    locator = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    if "_metadata" not in {c.lower() for c in df.columns}:
+        try:
+            found = df.select(*named, *locator)
+            found.schema
+            return found
+        except AnalysisException:  # not read from files
+            pass
+    return materialize(df.select(*named), "content").select(*cols, *locator)
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
+    """rows joined to a table of one row a key, whose column ``count`` says how many rows have it.
+
+    A key of more than a ten-thousandth of all that is counted (and of ten thousand rows) would make one
+    long task. There are fewer than ten thousand of those, whatever the data, so they are broadcast and
+    their rows stay where they are; all others go through an exchange.
+    """
+    total = counted.agg(F.sum(count)).first()[0] or 0
+    many = max(HOT_ROWS, total // MOST_HOT)
+    heavy = materialize(counted.where(F.col(count) > many), "hot-keys")
+    if heavy.isEmpty():
+        return rows.join(counted, key, how)
+    at_home = rows.join(F.broadcast(heavy), key)
+    moved = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(counted.where(F.col(count) <= many), key, how)
+    return at_home.unionByName(moved)

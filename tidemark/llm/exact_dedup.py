@@ -3,12 +3,13 @@
 A row is (digest of the normalised text, doc_id, content locator = file and row in it). The rows run
 through a Structured Streaming aggregation whose keyed state lies in RocksDB, without watermark or
 expiry: for every digest it retains the smallest doc_id with its locator and the group's size. Rows
-whose digest was met before (hits) are then compared with the retained row by full bytes, found
-through the digest; rows whose bytes differ in spite of equal digests are grouped by their bytes.
-Only DataFrame functions run on the executors.
+whose digest others have (hits) are compared by full bytes: their texts are found through the locators,
+equal ones of a task are one row before they are exchanged, and a digest with more than one text is
+grouped by its bytes instead. Only DataFrame functions run on the executors.
 
-``ExactDedup(spark, home)`` keeps its state and registry under ``home`` and can be fed again: later
-batches meet all earlier digests.
+With a ``home`` the state, the digests and the texts fed are kept there, and every call is one more
+feed of rows: its hits are compared with the texts of earlier feeds too. A feed has a name; one that is
+repeated under its name (a retry) is taken once.
 
 Edge cases: a null text counts as empty; a null doc_id is larger than any other; of rows equal in
 text and doc_id the one with the smallest locator stays; an empty table gives an empty result; other
@@ -17,11 +18,14 @@ columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HIT_SETTINGS, fresh_path, materialize, settings, with_locator
+from .common import HIT_SETTINGS, fresh_path, join_counted, materialize, settings, with_locator, write_once
 
 BLANKS = "[\\x20\\x09-\\x0D]+"
 STATE_SETTINGS = {
@@ -36,9 +40,13 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), BLANKS, " ")
 
 
+def sha256(norm: Column) -> Column:
+    return F.sha2(norm, 256)
+
+
 def located(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text and the content locator of each row."""
-    return with_locator(df, F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return with_locator(df, {"doc_id": F.col(id_col).cast("long"), "text": F.col(text_col).cast("string")})
 
 
 def _order() -> Column:
@@ -46,27 +54,36 @@ def _order() -> Column:
 
 
 class ExactDedup:
-    """Keyed state under ``home``; ``feed`` streams what is new in ``home/incoming`` through it."""
+    """Keyed state under ``home``; ``feed`` streams the digests put there since."""
+
+    def __init__(self, spark: SparkSession, home: str | None = None, digest: Callable[[Column], Column] = sha256):
+        self.spark, self.home, self.digest = spark, home or fresh_path(spark, "dedup"), digest
 
-    def __init__(self, spark: SparkSession, home: str | None = None):
-        self.spark, self.home = spark, home or fresh_path(spark, "dedup")
+    def put(self, rows: DataFrame, name: str) -> DataFrame:
+        """Write the digests of (doc_id, text, file, row) as the feed of that name, unless it is there."""
+        norm = normalised(F.col("text"))
+        digests = rows.select("doc_id", "file", "row", self.digest(norm).alias("digest"), sha256(norm).alias("text_sha256"))
+        return write_once(digests, f"{self.home}/incoming/{name}")
 
-    def put(self, rows: DataFrame) -> DataFrame:
-        """Append the digest rows of (doc_id, text, file, row) to the incoming table; all that is there."""
-        digest = rows.select("doc_id", "file", "row", F.sha2(normalised(F.col("text")), 256).alias("text_sha256"))
-        digest.write.mode("append").parquet(f"{self.home}/incoming")
-        return self.spark.read.schema(digest.schema).parquet(f"{self.home}/incoming")
+    def all_rows(self) -> DataFrame:
+        return self.spark.read.schema(ROW_SCHEMA).parquet(f"{self.home}/incoming/*")
+
+    def keep_content(self, df: DataFrame, name: str) -> DataFrame:
+        """The feed's texts under ``home``, with their locators."""
+        return located(write_once(df, f"{self.home}/content/{name}"))
+
+    def all_content(self) -> DataFrame:
+        return located(self.spark.read.schema("doc_id long, text string").parquet(f"{self.home}/content/*"))
 
     def feed(self) -> DataFrame:
-        """Run the stream over new rows; the registry: text_sha256, keep (id and locator), group_size."""
+        """Run the stream over new rows; the registry: digest, keep (id and locator), group_size."""
         spark = self.spark
-        schema = "doc_id long, file string, row long, text_sha256 string"
         with settings(spark, STATE_SETTINGS):
             state = (
-                spark.readStream.schema(schema)
+                spark.readStream.schema(ROW_SCHEMA)
                 .option("maxFilesPerTrigger", FILES_A_TRIGGER)
-                .parquet(f"{self.home}/incoming")
-                .groupBy("text_sha256")
+                .parquet(f"{self.home}/incoming/*")
+                .groupBy("digest")
                 .agg(F.min(_order()).alias("keep"), F.count(F.lit(1)).alias("group_size"))
             )
             registry = f"{self.home}/registry"
@@ -79,7 +96,7 @@ class ExactDedup:
             )
             query.awaitTermination()
         fields = (
-            "text_sha256 string, keep struct<no_id: boolean, doc_id: long, file: string, row: long>, "
+            "digest string, keep struct<no_id: boolean, doc_id: long, file: string, row: long>, "
             "group_size long, batch long"
         )
         try:
@@ -87,20 +104,24 @@ class ExactDedup:
         except AnalysisException:  # no batch ran: there were no rows
             written = spark.createDataFrame([], fields)
         # Every batch writes the state of the digests it met; the state only grows and its minimum only falls.
-        return written.groupBy("text_sha256").agg(
-            F.min("keep").alias("keep"), F.max("group_size").alias("group_size")
-        )
+        return written.groupBy("digest").agg(F.min("keep").alias("keep"), F.max("group_size").alias("group_size"))
+
+
+ROW_SCHEMA = "doc_id long, file string, row long, digest string, text_sha256 string"
 
 
 def _is_kept() -> Column:
     return (F.col("file") == F.col("keep.file")) & (F.col("row") == F.col("keep.row"))
 
 
-def _with_text(content: DataFrame, hits: DataFrame) -> DataFrame:
-    """The hits with their normalised text, found by locator."""
-    texts = content.select("file", "row", F.col("text"))
-    joined = texts.join(hits.where("group_size > 1"), ["row", "file"])
-    return joined.withColumn("norm", normalised(F.col("text"))).drop("text")
+def _locator(file: Column, row: Column) -> Column:
+    return F.concat_ws(":", row.cast("string"), file)
+
+
+def _with_text(content: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The wanted rows (with a column ``at``, their locator) with their normalised texts."""
+    texts = content.select(_locator(F.col("file"), F.col("row")).alias("at"), "text")
+    return texts.join(wanted, "at").withColumn("norm", normalised(F.col("text"))).drop("text")
 
 
 def _outcome(rows: DataFrame) -> DataFrame:
@@ -116,43 +137,66 @@ def _outcome(rows: DataFrame) -> DataFrame:
 
 
 def exact_dedup(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", home: str | None = None
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    home: str | None = None,
+    feed: str | None = None,
+    digest: Callable[[Column], Column] = sha256,
 ) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256 and the locator (file, row)."""
-    spark = df.sparkSession
-    content = located(df, id_col, text_col)
-    dedup = ExactDedup(spark, home)
-    rows = dedup.put(content)
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256 and the locator (file, row).
+
+    With a ``home`` keep_id and group_size speak of all rows fed so far.
+    """
+    dedup = ExactDedup(df.sparkSession, home, digest)
+    name = feed or uuid.uuid4().hex
+    if home:
+        plain = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        rows, content = dedup.put(dedup.keep_content(plain, name), name), dedup.all_content()
+    else:
+        content = located(df, id_col, text_col)
+        rows = dedup.put(content, name)
+    return _resolved(dedup, rows, content, home is not None)
+
+
+def _resolved(dedup: ExactDedup, rows: DataFrame, content: DataFrame, fed_before: bool = False) -> DataFrame:
+    """What becomes of the rows just put, whose texts and those of earlier feeds are in content."""
     registry = materialize(dedup.feed(), "dedup-registry")
+    tagged = materialize(
+        join_counted(rows, registry, "digest", "group_size").withColumn("at", _locator(F.col("file"), F.col("row"))),
+        "dedup-tagged",
+    )
 
-    # Hits: bytes against bytes of the retained row, which the locator names.
-    shared = materialize(rows.join(registry.where("group_size > 1"), "text_sha256"), "dedup-hits")
-    hits = _with_text(content, shared)
-    retained = hits.where(_is_kept()).select("text_sha256", F.col("norm").alias("kept_norm"))
-    unequal = hits.where(~_is_kept()).join(retained, "text_sha256").where(F.col("norm") != F.col("kept_norm"))
-    with settings(spark, HIT_SETTINGS):
-        broken = materialize(unequal.select("text_sha256").distinct(), "dedup-unequal")
-
+    # Hits: one text a digest, byte for byte, or it is several groups.
+    hits = tagged.where("group_size > 1").select("at", "digest", "group_size")
+    if fed_before:  # retained rows of earlier feeds
+        kept = registry.where("group_size > 1").select(_locator(F.col("keep.file"), F.col("keep.row")).alias("at"), "digest", "group_size")
+        hits = kept.join(hits.select("digest").distinct(), "digest", "left_semi").select(*hits.columns).union(hits).distinct()
+        hits = materialize(hits, "dedup-hits")
+    with settings(rows.sparkSession, HIT_SETTINGS):
+        forms = _with_text(content, hits.where("group_size > 1")).select("digest", "norm").distinct()
+        broken = materialize(forms.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "dedup-unequal")
     if broken.isEmpty():
-        return _outcome(rows.join(registry, "text_sha256"))
-    sound = rows.join(broken, "text_sha256", "left_anti").join(registry, "text_sha256")
-    split = _with_text(content, shared.join(broken, "text_sha256", "left_semi")).drop("keep", "group_size")
-    by_bytes = split.groupBy("text_sha256", "norm").agg(
-        F.min(_order()).alias("keep"), F.count(F.lit(1)).alias("group_size")
-    )
-    apart = split.join(by_bytes, ["text_sha256", "norm"]).drop("norm")
-    return _outcome(sound.select(*apart.columns).unionByName(apart))
+        return _outcome(tagged)
+
+    every = dedup.all_rows().join(broken.select("digest"), "digest", "left_semi")
+    every = every.withColumn("at", _locator(F.col("file"), F.col("row")))
+    split = materialize(_with_text(content, every), "dedup-split")
+    by_bytes = split.groupBy("digest", "norm").agg(F.min(_order()).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    apart = split.join(by_bytes, ["digest", "norm"]).join(rows.select("file", "row"), ["file", "row"], "left_semi")
+    sound = tagged.join(broken, "digest", "left_anti")
+    return _outcome(sound).unionByName(_outcome(apart))
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with one row of each group of equal texts."""
-    try:
-        named = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-        named.schema
-    except AnalysisException:
-        return drop_copies(materialize(df, "dedup-input"), id_col, text_col)
-    dropped = materialize(
-        exact_dedup(df, id_col, text_col).where(~F.col("kept")).select(F.col("row").alias("__row"), F.col("file").alias("__file")),
-        "dedup-dropped",
-    )
-    return named.join(dropped, ["__row", "__file"], "left_anti").select(*df.columns)
+    # Columns go by number, so that no name can clash.
+    numbered = {f"c{i}": F.col(f"`{c}`") for i, c in enumerate(df.columns)}
+    whole = with_locator(df, numbered)
+    text = f"c{df.columns.index(text_col)}"
+    rows = whole.select(F.col(f"c{df.columns.index(id_col)}").alias("doc_id"), F.col(text).alias("text"), "file", "row")
+    dedup = ExactDedup(df.sparkSession)
+    found = _resolved(dedup, dedup.put(rows, "all"), rows)
+    dropped = materialize(found.where(~F.col("kept")).select(_locator(F.col("file"), F.col("row")).alias("at")), "dedup-dropped")
+    placed = whole.withColumn("at", _locator(F.col("file"), F.col("row")))
+    return placed.join(dropped, "at", "left_anti").select(*numbered).toDF(*df.columns)

@@ -77,7 +77,7 @@ def _uri(url: Column) -> Column:
 
 def capture_records(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", least_bytes: int = 0) -> DataFrame:
     """The records of (page_id, url, html), as text in column ``value``."""
-    source = with_locator(pages, "page_id", "url", "html").withColumn("html", F.coalesce("html", F.lit("")))
+    source = with_locator(pages, {c: F.col(c) for c in ("page_id", "url", "html")}).withColumn("html", F.coalesce("html", F.lit("")))
     source = source.withColumn("sha1", F.sha1("html")).withColumn("n", F.octet_length("html").cast("long"))
     owner = F.max(F.struct("page_id", "file", "row", "url")).alias("owner")
     owners = source.groupBy("sha1", "n").agg(owner)
