@@ -69,6 +69,52 @@ def test_join_in_parts_and_empty(spark, monkeypatch):
     assert nj.jaccard_components(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_long_documents_and_colliding_words(spark):
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(3000)]
+    rows = []
+    for _ in range(6):
+        base = rng.choices(vocab, k=5000)
+        for changed in (0, 20, 60, 120, 200, 1500):
+            text = list(base)
+            for at in rng.sample(range(5000), changed):
+                text[at] = rng.choice(vocab)
+            rows.append((len(rows), " ".join(text)))
+    a, b = "a", "b"
+    for n in range(12):  # words that collide under polynomials modulo 2**64
+        a, b = a + b, b + a
+        if n >= 9:
+            rows += [(100 + 2 * n, a), (101 + 2 * n, b)]
+    out = nj.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, 100).collect()
+    want = brute_components(rows, 5, 80, 100)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == want
+    assert 6 < len({c for _, c in want.values()}) < 36
+
+
+def test_repeated_ids_have_the_links_of_all_their_texts(spark):
+    rng = random.Random(6)
+    one, two = (rng.choices([f"w{i}" for i in range(500)], k=60) for _ in range(2))
+    near = lambda t: " ".join([*t[:59], "other"])
+    rows = [(5, " ".join(one)), (5, " ".join(two)), (2, near(two)), (8, " ".join(two)), (9, near(one)), (11, "x y z"), (12, None)]
+    df = spark.createDataFrame(rows * 2, "doc_id long, text string")
+    got = defaultdict(set)
+    for r in nj.jaccard_components(df, 3, 90, 100).collect():
+        got[r["doc_id"]].add(r["component_id"])
+    assert got == {5: {2}, 2: {2}, 8: {2}, 9: {2}, 11: {11}, 12: {12}}
+
+
+def test_folded_bounds_hold():
+    rng = np.random.default_rng(2)
+    for n in (1, 3, 20, 90, 700, 5000):
+        base = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        other = np.r_[base[: n * 9 // 10], rng.integers(0, 1 << 63, n // 5, dtype=np.uint64)]
+        points = nj.Points([nj.unpacked(nj.packed(nj.count_vector(np.unique(x)))) for x in (base, other)], nj.Similarity(80, 100))
+        common = len(np.intersect1d(base, other))
+        points.folds = True
+        if common >= points.similarity.needed(*points.size):
+            assert points.may_link(0, 1)
+
+
 def test_rtree_loses_nothing():
     rng = np.random.default_rng(7)
     base = rng.poisson(12, (60, nj.DIMENSIONS))

@@ -86,7 +86,7 @@ def with_locator(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
     return materialize(df.select(*named), "content").select(*cols, *locator)
 
 
-def join_counted(rows: DataFrame, counted: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
+def join_counted(rows: DataFrame, counted: DataFrame, key: list[str], count: str, how: str = "inner") -> DataFrame:
     """rows joined to a table of one row a key, whose column ``count`` says how many rows have it.
 
     A key of more than a ten-thousandth of all that is counted (and of ten thousand rows) would make one
@@ -99,5 +99,5 @@ def join_counted(rows: DataFrame, counted: DataFrame, key: str, count: str, how:
     if heavy.isEmpty():
         return rows.join(counted, key, how)
     at_home = rows.join(F.broadcast(heavy), key)
-    moved = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(counted.where(F.col(count) <= many), key, how)
+    moved = rows.join(F.broadcast(heavy.select(*key)), key, "left_anti").join(counted.where(F.col(count) <= many), key, how)
     return at_home.unionByName(moved)

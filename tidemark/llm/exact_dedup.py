@@ -163,7 +163,7 @@ def _resolved(dedup: ExactDedup, rows: DataFrame, content: DataFrame, fed_before
     """What becomes of the rows just put, whose texts and those of earlier feeds are in content."""
     registry = materialize(dedup.feed(), "dedup-registry")
     tagged = materialize(
-        join_counted(rows, registry, "digest", "group_size").withColumn("at", _locator(F.col("file"), F.col("row"))),
+        join_counted(rows, registry, ["digest"], "group_size").withColumn("at", _locator(F.col("file"), F.col("row"))),
         "dedup-tagged",
     )
 

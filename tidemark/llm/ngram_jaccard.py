@@ -8,21 +8,27 @@ differ in at most D = 2 U (den - num) / (den + num) shingles, U being the larger
    share a key meet in one bucket. Empty groups would bring strangers together: a set with at most E
    of them leaves them out, as one of the groups agreed on isn't empty then. Sets equal in all
    shingles are one point from here on.
-2. *R-tree.* In a bucket every set is a point, the counts of its shingles in ``DIMENSIONS`` hash
-   groups. An R-tree over the points finds the pairs whose overlap can be large enough: it is bounded
-   by the sum over coordinates of the minima, for a node with the node's upper corner. Points already
-   connected need no comparing, so a bucket gives a forest of links, not its pairs.
-3. *Verification.* Sets connected by such links come together as a block; the R-tree proposes pairs
-   again and exact intersections decide, pairs of one component being skipped.
+2. *R-tree.* In a bucket every set is a point, the counts of its shingles in hash groups, of which a set
+   has one for four shingles or so (a power of two; vectors of unequal lengths are folded onto the
+   shorter). An R-tree over the points, folded to ``DIMENSIONS`` at most, finds the pairs whose overlap
+   can be large enough: it is bounded by the sum over coordinates of the minima, for a node with the
+   node's upper corner; the bound of whole vectors decides. With so many groups, sets that share less
+   than about 0.6 of their shingles don't pass, whatever their length. Points already connected need no
+   comparing, so a bucket gives a forest of links, not its pairs.
+3. *Verification.* Sets connected by such links come together as a block, as arrays of shingles; the
+   R-tree proposes pairs again and exact intersections decide, pairs of one component being skipped.
 4. Components of verified links are those of the join, and each document gets the smallest doc_id.
 
 Buckets and blocks of more than ``SPLIT`` points or ``SPLIT_SHINGLES`` shingles are divided by hash
 and joined part against part, so no task holds more than two parts, and nothing is left out.
 
+Shingles are 64-bit hashes (of words hashed without structure, see ``word_hash``): two documents of n
+shingles share one by accident with a chance of n * n / 2**64.
+
 Edge cases: null and blank texts have the empty set, linked with nothing; a text of fewer words than
 a shingle is one shingle; a null doc_id is linked with nothing and keeps a null component; rows of
-one doc_id are one document; an empty table gives an empty result; other columns are ignored,
-whatever their names.
+one doc_id are one document, which has the links of all its texts; an empty table gives an empty
+result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,16 +40,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HIT_SETTINGS, materialize, settings, ship
+from .common import HIT_SETTINGS, join_counted, materialize, settings, ship
 from .components import connected_components
 from .packing import slices
 from .word_hash import hashed_words, mix
 
-DIMENSIONS = 128
+DIMENSIONS = 512
+SHINGLES_A_GROUP, MOST_BITS = 4, 20
 FANOUT = 32
 LEAF_ONLY = 160
 LEVEL_RATIO = 1.5
-SPLIT, SPLIT_SHINGLES = 20_000, 8_000_000
+SPLIT, SPLIT_SHINGLES = 20_000, 2_000_000
 SMALL_BUCKET = 4
 
 U = np.uint64
@@ -125,7 +132,42 @@ def keys_of(shingles: np.ndarray, similarity: Similarity) -> np.ndarray:
 
 
 def count_vector(shingles: np.ndarray) -> np.ndarray:
-    return np.bincount((shingles >> U(40)).astype(np.int64) % DIMENSIONS, minlength=DIMENSIONS).astype(np.uint32)
+    """Counts in hash groups, a power of two of them, of the least type that holds them."""
+    bits = min(MOST_BITS, max(4, (len(shingles) // SHINGLES_A_GROUP).bit_length()))
+    counts = np.bincount(((shingles >> U(40)) & U((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.min_scalar_type(int(counts.max())))
+
+
+def packed(counts: np.ndarray) -> bytes:
+    return bytes([counts.itemsize]) + counts.tobytes()
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, f"u{blob[0]}", offset=1)
+
+
+def folded(counts: np.ndarray, n: int) -> np.ndarray:
+    return counts if len(counts) == n else counts.reshape(-1, n).sum(axis=0, dtype=np.uint32)
+
+
+class Points:
+    """Count vectors, and their common folding for the R-tree."""
+
+    def __init__(self, vectors: list[np.ndarray], similarity: Similarity):
+        self.vectors, self.similarity = vectors, similarity
+        self.size = [int(v.sum(dtype=np.int64)) for v in vectors]
+        n = min([DIMENSIONS, *(len(v) for v in vectors)])
+        self.common = np.stack([folded(v, n) for v in vectors]).astype(np.uint32)
+        self.folds = any(len(v) != n for v in vectors)
+
+    def may_link(self, i: int, j: int) -> bool:
+        """Whether the bound of the whole vectors lets the pair pass."""
+        if not self.folds:
+            return True  # the tree has looked at them
+        a, b = self.vectors[i], self.vectors[j]
+        n = min(len(a), len(b))
+        bound = int(np.minimum(folded(a, n), folded(b, n)).sum(dtype=np.int64))
+        return bound >= self.similarity.needed(self.size[i], self.size[j])
 
 
 class Forest:
@@ -160,9 +202,9 @@ class CountRTree:
     """Points (count vectors) packed by size and then by coordinates, under levels of boxes."""
 
     def __init__(self, counts: np.ndarray):
-        self.counts = counts.astype(np.int64)
-        self.size = self.counts.sum(axis=1)
-        spread = self.counts.std(axis=0) if len(counts) else np.zeros(DIMENSIONS)
+        self.counts = counts
+        self.size = self.counts.sum(axis=1, dtype=np.int64)
+        spread = self.counts.std(axis=0)
         main = np.argsort(-spread)[:2]
         slab = self.size if len(counts) < FANOUT * FANOUT else np.argsort(np.argsort(self.size)) // (FANOUT * FANOUT)
         self.order = np.lexsort((self.counts[:, main[1]], self.counts[:, main[0]] // 4, slab))
@@ -188,7 +230,7 @@ class CountRTree:
             if uniform is not None:
                 nodes = nodes[uniform[k][nodes] != comp[i]]
             nodes = nodes[(high[nodes] >= least) & (low[nodes] <= most)]
-            bound = np.minimum(top[nodes], q).sum(axis=1)
+            bound = np.minimum(top[nodes], q).sum(axis=1, dtype=np.int64)
             nodes = nodes[bound >= s.needed(n, np.maximum(low[nodes], least))]
             if not len(nodes):
                 return nodes
@@ -197,7 +239,7 @@ class CountRTree:
             nodes = nodes[nodes < len(self.order)]
         points = self.order[nodes]
         points = points[(self.size[points] >= least) & (self.size[points] <= most)]
-        bound = np.minimum(self.counts[points], q).sum(axis=1)
+        bound = np.minimum(self.counts[points], q).sum(axis=1, dtype=np.int64)
         return points[bound >= s.needed(n, self.size[points])]
 
     def uniform(self, comp: np.ndarray) -> list[np.ndarray]:
@@ -236,7 +278,6 @@ def linked(counts: np.ndarray, similarity: Similarity, verify=None) -> list[tupl
 
 def _linked_leaf(counts: np.ndarray, similarity: Similarity, verify) -> list[tuple[int, int]]:
     """The same where all points fit a leaf: the bound of all of them against each other at once."""
-    counts = counts.astype(np.int32)
     size = counts.sum(axis=1, dtype=np.int64)
     bound = np.stack([np.minimum(counts, c).sum(axis=1, dtype=np.int64) for c in counts])
     a, b = np.nonzero(np.tril(bound >= similarity.needed(size[:, None], size[None, :]), -1))
@@ -264,6 +305,12 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
+def set_names(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each set, which name it."""
+    sums = [(int(s.sum()), int(mix(s).sum()) if len(s) else 0) for s in sets]
+    return mix(np.array([a for a, _ in sums], U)), mix(np.array([b for _, b in sums], U))
+
+
 def set_rows(df: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, two hashes of the set, and its count vector."""
 
@@ -271,15 +318,11 @@ def set_rows(df: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch.column(1), 2 << 20):
                 sets = shingle_sets(batch.column(1)[part], width)
-                sums = [(int(s.sum()), int(mix(s).sum()) if len(s) else 0) for s in sets]
+                s1, s2 = set_names(sets)
+                vectors = pa.array([packed(count_vector(s)) for s in sets], pa.binary())
+                sizes = pa.array([len(s) for s in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0)[part],
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        _signed(mix(np.array([a for a, _ in sums], U))),
-                        _signed(mix(np.array([b for _, b in sums], U))),
-                        pa.array([count_vector(s).tobytes() for s in sets], pa.binary()),
-                    ],
+                    [batch.column(0)[part], sizes, _signed(s1), _signed(s2), vectors],
                     names=["doc_id", "n_shingles", "s1", "s2", "vec"],
                 )
 
@@ -374,17 +417,20 @@ def bound_links(shared: DataFrame, vectors: DataFrame, similarity: Similarity) -
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.stack([np.frombuffer(v, np.uint32) for v in batch.column(k).to_pylist()]).astype(np.int64) if batch.num_rows else np.zeros((0, DIMENSIONS), np.int64) for k in (2, 3))
-            keep = np.minimum(a, b).sum(axis=1) >= similarity.needed(a.sum(axis=1), b.sum(axis=1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+            keep = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                two = Points([unpacked(a), unpacked(b)], similarity)
+                two.folds = True
+                keep.append(two.may_link(0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     va, vb = (vectors.select(F.col("s1").alias(x), F.col("vec").alias(f"v{x}")) for x in "ab")
     from_small = small.join(va, "a").join(vb, "b").select("a", "b", "va", "vb").mapInArrow(pairs, "a long, b long")
 
     def tree(table: pa.Table) -> pa.Table:
         s1 = table.column("s1").to_numpy()
-        counts = np.stack([np.frombuffer(v, np.uint32) for v in table.column("vec").to_pylist()])
-        found = linked(counts, similarity)
+        points = Points([unpacked(v) for v in table.column("vec").to_pylist()], similarity)
+        found = linked(points.common, similarity, points.may_link)
         a, b = (np.array([s1[f[k]] for f in found], np.int64) for k in (0, 1))
         return pa.table({"a": a, "b": b})
 
@@ -395,24 +441,46 @@ def bound_links(shared: DataFrame, vectors: DataFrame, similarity: Similarity) -
     return from_small.union(from_large)
 
 
-def verified_links(members: DataFrame, width: int, similarity: Similarity) -> DataFrame:
-    """Links of documents whose sets are similar enough, out of (block, i, j, doc_id, text)."""
+def member_sets(members: DataFrame, width: int) -> DataFrame:
+    """block, i, j, doc_id, s1, s2 and shingles of the rows (text and the same) whose text is the set meant."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch.column(0), 2 << 20):
+                sets = shingle_sets(batch.column(0)[part], width)
+                rows = batch[part].select(MEMBER)
+                keep = np.ones(rows.num_rows, bool)
+                for own, name in zip(set_names(sets), ("s1", "s2"), strict=True):
+                    keep &= own.view(np.int64) == rows.column(name).to_numpy()
+                arrays = pa.array([s.tobytes() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([*rows.columns, arrays], names=[*MEMBER, "shingles"]).filter(pa.array(keep))
+
+    schema = "block long, i int, j int, doc_id long, s1 long, s2 long, shingles binary"
+    return members.select("text", *MEMBER).mapInArrow(build, schema)
+
+
+MEMBER = ["block", "i", "j", "doc_id", "s1", "s2"]
+
+
+def verified_links(members: DataFrame, similarity: Similarity) -> DataFrame:
+    """Links of documents whose sets are similar enough, out of (block, i, j, doc_id, s1, s2, shingles)."""
 
     def verify(table: pa.Table) -> pa.Table:
-        ids = table.column("doc_id").to_numpy()
-        sets: list[np.ndarray] = []
-        texts = table.column("text").combine_chunks()
-        texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
-        for part in slices(texts):
-            sets += shingle_sets(texts[part], width)
-        counts = np.stack([count_vector(s) for s in sets])
+        rows = {}
+        for *key, s in zip(*(table.column(c).to_pylist() for c in ("doc_id", "s1", "s2", "shingles")), strict=True):
+            rows.setdefault(tuple(key), s)
+        ids = [key[0] for key in rows]
+        sets = [np.frombuffer(s, U) for s in rows.values()]
+        points = Points([count_vector(s) for s in sets], similarity)
 
         def similar(i: int, j: int) -> bool:
+            if not points.may_link(i, j):
+                return False
             a, b = sets[i], sets[j]
             common = overlap(a, b)
             return similarity.den * common >= similarity.num * (len(a) + len(b) - common)
 
-        found = linked(counts, similarity, similar)
+        found = linked(points.common, similarity, similar)
         a, b = (np.array([ids[f[k]] for f in found], np.int64) for k in (0, 1))
         return pa.table({"a": a, "b": b})
 
@@ -428,33 +496,39 @@ def jaccard_components(
     sets = materialize(set_rows(docs, width), "jaccard-sets")
     some = sets.where("n_shingles > 0 and doc_id is not null")
     classes = materialize(
-        some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("vec").alias("vec")),
+        some.groupBy("s1", "s2").agg(
+            F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("vec").alias("vec"), F.count(F.lit(1)).alias("rows")
+        ),
         "jaccard-classes",
     )
     shared = materialize(shared_keys(key_rows(docs.where("doc_id is not null"), width, similarity)), "jaccard-shared")
-    vectors = classes.select("s1", "vec").dropDuplicates(["s1"])
-    near = materialize(bound_links(shared, vectors, similarity), "jaccard-bound")
+    near = materialize(bound_links(shared, classes.select("s1", "vec"), similarity), "jaccard-bound")
     blocks = materialize(connected_components(near), "jaccard-blocks")
 
     # Sets whose first hashes agree by chance are both members of the block.
-    members = classes.select("s1", "rep", "n").join(blocks.withColumnRenamed("node", "s1"), "s1")
+    members = classes.select("s1", "s2", "rep", "n").join(blocks.withColumnRenamed("node", "s1"), "s1")
     weight = members.groupBy("component").agg(
         F.ceil(F.greatest(F.count(F.lit(1)) / SPLIT, F.sum("n") / SPLIT_SHINGLES)).alias("parts")
     )
-    placed = in_parts(members.join(weight, "component"), "component", F.col("parts"), "rep")
+    placed = in_parts(members.join(weight, "component"), "component", F.col("parts"), "s2")
     placed = materialize(
-        placed.select(F.col("component").alias("block"), "i", "j", F.col("rep").alias("doc_id")), "jaccard-members"
+        placed.select(F.col("component").alias("block"), "i", "j", F.col("rep").alias("doc_id"), "s1", "s2"), "jaccard-members"
     )
-    whole = docs.groupBy("doc_id").agg(F.first("text").alias("text")) if _repeats(sets) else docs
     # The condition holds for all rows; it lets Spark filter the texts by a Bloom filter before the exchange.
-    chosen = whole.join(placed.where(F.col("i") >= 0), "doc_id")
+    chosen = docs.join(placed.where(F.col("i") >= 0), "doc_id")
     with settings(df.sparkSession, HIT_SETTINGS):
-        links = materialize(verified_links(chosen, width, similarity), "jaccard-links")
+        links = materialize(verified_links(member_sets(chosen, width), similarity), "jaccard-links")
+
+    reps = classes.select("s1", "s2", "rep", "rows")
+    several = some.select("doc_id", "s1", "s2").distinct().groupBy("doc_id").count().where("count > 1")
+    if _repeats(sets):  # the texts of one document are linked
+        own = some.join(several.select("doc_id"), "doc_id", "left_semi").join(reps, ["s1", "s2"])
+        links = links.union(own.select("doc_id", "rep"))
     components = materialize(connected_components(links), "jaccard-components")
 
-    named = classes.select("s1", "s2", "rep").join(components.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("s1", "s2", F.coalesce("component", "rep").alias("component"))
-    out = sets.join(named, ["s1", "s2"], "left")
+    named = reps.join(components.withColumnRenamed("node", "rep"), "rep", "left")
+    named = named.select("s1", "s2", F.coalesce("component", "rep").alias("component"), "rows")
+    out = join_counted(sets.select("doc_id", "n_shingles", "s1", "s2"), named, ["s1", "s2"], "rows", "left")
     own = F.when((F.col("n_shingles") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"))
 

@@ -1,7 +1,8 @@
 """64-bit hashes of the words of whole batches of texts, by array operations on their bytes.
 
-Words are runs of bytes other than the six ASCII blanks; A-Z count as a-z. The hash of a word is a
-polynomial over 2**64 in its bytes' random values, finalized by a mixer.
+Words are runs of bytes other than the six ASCII blanks; A-Z count as a-z. The hash of a word is the sum
+of a random number for each byte at its place, finalized by a mixer: there is no algebra between places
+that words could be built on, so any two words collide with a chance of 2**-64.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import pyarrow as pa
 
 U = np.uint64
 BLANKS = (0x20, *range(0x09, 0x0E))
-BASE = 0xD1342543DE82EF95
+PLACES = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -21,9 +22,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_VALUES = mix(mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15)))
-_VALUES[ord("A") : ord("Z") + 1] = _VALUES[ord("a") : ord("z") + 1]
-_VALUES[list(BLANKS)] = 0
+def _value(place: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    return mix(mix(((place.astype(U) << U(8)) | byte) * U(0x9E3779B97F4A7C15) + U(0xD1342543DE82EF95)))
+
+
+_FOLDED = np.arange(256, dtype=U)
+_FOLDED[ord("A") : ord("Z") + 1] += U(32)
+_VALUES = _value(np.arange(PLACES, dtype=U)[:, None], _FOLDED[None, :])
+_VALUES[:, list(BLANKS)] = 0
+_VALUES = _VALUES.ravel()
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[list(BLANKS)] = False
 
@@ -53,7 +60,11 @@ def hashed_words(texts: pa.Array | list) -> list[np.ndarray]:
         return [np.zeros(0, U)] * n
     length = np.diff(np.r_[at, len(data)])
     place = np.arange(at[0], len(data)) - np.repeat(at, length)
-    powers = np.cumprod(np.r_[U(1), np.full(int(length.max()), U(BASE))])
-    values = _VALUES[data[at[0] :]] * powers[place]
+    body = data[at[0] :]
+    values = _VALUES[(np.minimum(place, PLACES - 1) << 8) | body]
+    if length.max() > PLACES:
+        far = np.flatnonzero((place >= PLACES) & _IS_WORD[body])
+        values[place >= PLACES] = 0
+        values[far] = _value(place[far], _FOLDED[body[far]])
     hashes = mix(np.add.reduceat(values, at - at[0]))
     return [hashes[a:b] for a, b in zip(per_text[:-1].tolist(), per_text[1:].tolist(), strict=True)]
