@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from tidemark.llm.language_id import fit, identify, presence, vectors
+from tidemark.llm.language_id import RIDGE, accept_languages, fit, identify, presence, train, vectors
 from tidemark.llm.packing import HierarchicalPacker, WordEncoder, balanced_groups, pack_documents
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -99,3 +99,53 @@ def test_kernel_is_mean_cosine_of_presence():
         x, y = grams(" abc abc ", n), grams(" abc abd ", n)
         want += len(x & y) / (len(x) * len(y)) ** 0.5 / 4
     assert abs(k - want) < 1e-6
+
+
+def toy_rows(n, seed=2):
+    rng = random.Random(seed)
+    words = {"aa": "ka la ma na pa".split(), "bb": "io eu ai ou ei".split(), "cc": "strk brt krn ptt".split()}
+    return [(" ".join(rng.choices(words[lang], k=rng.randint(3, 30))), lang) for lang in words for _ in range(n)]
+
+
+def test_ridge_matches_a_direct_solution():
+    """With every row a landmark the features span the kernel: the same least squares by another way."""
+    rows = toy_rows(30)
+    found = [presence(t) for t, _ in rows]
+    model = train(found, [lang for _, lang in rows])
+    x = vectors(found).astype(float)
+    k = x @ x.T
+    values, axes = np.linalg.eigh(k)
+    root = axes * np.sqrt(np.maximum(values, 0))  # k = root root'
+    y = np.array([[1.0 if lang == c else -1.0 for c in ("aa", "bb", "cc")] for _, lang in rows])
+    w = np.sqrt(np.full(len(rows), 1 / 30))[:, None]
+    upper = np.hstack([w * root, w])
+    lower = np.hstack([np.sqrt(RIDGE) * np.eye(len(rows)), np.zeros((len(rows), 1))])
+    solved, *_ = np.linalg.lstsq(np.vstack([upper, lower]), np.vstack([w * y, np.zeros((len(rows), 3))]), rcond=None)
+    direct = root @ solved[:-1] + solved[-1]
+    got = x @ model.weights.astype(float) + model.bias
+    assert np.abs(direct - got).max() < 1e-2
+
+
+def test_foreign_texts_are_rejected(spark):
+    rows = [(i, t, lang, "m") for i, (t, lang) in enumerate(toy_rows(60))]
+    foreign = ["\u05e9\u05dc\u05d5\u05dd \u05e2\u05d5\u05dc\u05dd \u05d6\u05d4 \u05d8\u05e7\u05e1\u05d8", "qxz vwj hgf dcy xqw zvj", "\u3053\u308c\u306f\u65e5\u672c\u8a9e\u306e\u6587\u3067\u3059"]
+    extra = [(1000 + i, t, None, None) for i, t in enumerate(foreign)] + [(1, None, None, None), (2, "", "", ""), (3, "123", "aa", ""), (None, rows[0][1], None, None)]
+    df = spark.createDataFrame(rows + extra, "doc_id long, text string, lang string, score string")
+    left = accept_languages(df).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in left if r["doc_id"] is not None) == [(False, i) for i in range(180)]
+    assert sum(r["doc_id"] is None for r in left) == 1
+    assert accept_languages(df.limit(0)).collect() == [] and accept_languages(df).columns == df.columns
+
+
+def test_ties_go_to_the_first_language():
+    model = train([presence("abc"), presence("abc")], ["y", "x"])
+    assert model.predict([presence("abc")])[0] == ["x"]
+
+
+def test_held_out_accuracy_by_length(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    true = {r["doc_id"]: (r["lang"], r["n"]) for r in table.selectExpr("doc_id", "lang", "length(text) n").collect()}
+    out = [r for r in identify(table).collect() if r["held_out"] and true[r["doc_id"]][0] and r["lang_pred"] != "und"]
+    for low, high, least in ((0, 100, 0.7), (100, 2000, 0.97), (2000, 10**9, 0.97)):
+        own = [r["lang_pred"] == true[r["doc_id"]][0] for r in out if low <= true[r["doc_id"]][1] < high]
+        assert len(own) < 3 or np.mean(own) >= least, (low, len(own), np.mean(own))

@@ -94,3 +94,38 @@ def test_pipeline_stages(spark):
     assert kept[3] == want
     packed = cp.STAGES[-1][1](spark, stage, "").collect()
     assert {r["doc_id"] for r in packed} == set(want)
+
+
+def test_pipeline_stages_with_odd_tables(spark):
+    """Repeated rows, ids with several texts, clashing names, empty tables: a defined result, no crash."""
+    import random
+
+    import corpus_pipeline as cp
+
+    rng = random.Random(9)
+    words = [a + b for a in "bdkmnprst" for b in ("an", "er", "is", "ol")]
+    text = lambda n: " ".join(rng.choices(words, k=n))
+    shared = text(90)
+    docs = [(i, text(100)) for i in range(30)]
+    docs += [(40, text(30) + " " + shared), (41, shared + " " + text(40)), (41, "zz short"), (41, shared + " " + text(40)), (None, text(20)), (None, None)]
+    docs += [docs[3], docs[3], (50, ""), (51, None), (52, text(20_000))]
+    schema = "doc_id long, text string, lang string, row long, file string, c1 string, ranges string, at string, component_id long, _metadata string"
+    rows = [(i, t, "aa", 1, "f", "c", None, "a", 7, "m") for i, t in docs]
+    df = spark.createDataFrame(rows, schema).repartition(3)
+    for name, f in cp.STAGES[:-1]:
+        assert f(spark, df.limit(0), "").collect() == [], name
+        out = f(spark, df, "")
+        assert out.columns == df.columns, name
+        got = out.collect()
+        assert all(r["row"] == 1 and r["_metadata"] == "m" and r["component_id"] == 7 for r in got)
+        texts = {(r["doc_id"], r["text"]) for r in got}
+        if name == "substring_dedup":
+            least = min(t for i, t in docs if i == 41)  # of several texts of an id only the least is looked at
+            assert {t for i, t in texts if i == 41} == {least if not least.startswith(shared) else least[len(shared) + 1 :]} | {t for i, t in docs if i == 41 and t != least}
+            assert len(got) == len(docs)
+        if name == "exact_dedup":
+            assert len(got) == len(docs) - 2 - 2  # a row met again, and null texts are empty
+        if name == "language_id":
+            assert len(got) == sum(bool(t) and t != "zz short" for _, t in docs)  # its pairs of letters are new
+    assert cp.STAGES[-1][1](spark, df.limit(0), "").collect() == []
+    assert {r["doc_id"] for r in cp.STAGES[-1][1](spark, df, "").collect()} == {i for i, _ in docs}

@@ -8,7 +8,12 @@ whitening and ridge weights fold into one matrix; texts are scored by products o
 vectors with it. Whole texts are read.
 
 The sample: at most ``ROWS_A_LANGUAGE`` documents of each label, those of the smallest id hashes, among
-documents outside the held-out fold; this bound is a parameter.
+documents outside the held-out fold, for the ``LANGUAGES`` labels of most documents (ties: the smaller
+label); these bounds are parameters.
+
+``accept_languages`` drops texts of no learned language: those without a letter, and those of whose
+character pairs too few are known in the language predicted. What is too few is fitted on the sample,
+one half against the other.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 1; a null doc_id is never
 trained on nor held out; without any training row all texts are ``und``; an empty table gives an
@@ -90,6 +95,14 @@ class Model:
     languages: list[str]
     weights: np.ndarray
     bias: np.ndarray
+    known: np.ndarray  # pairs that the sample has, by language
+    least_known: float  # the share of a text's pairs that texts of the language have
+
+    def familiar(self, found: np.ndarray, language: int) -> bool:
+        """Whether a text's pairs are those of the language; a few may always be new."""
+        pairs = _pairs(found)
+        new = len(pairs) - int(self.known[language][pairs].sum())
+        return new < FEW or new <= (1 - self.least_known) * len(pairs)
 
     def predict(self, found: list[np.ndarray]) -> tuple[list[str], np.ndarray]:
         values = vectors(found) @ self.weights + self.bias
@@ -98,6 +111,33 @@ class Model:
         return [self.languages[b] for b in best], np.clip((top + 1) / 2, 0, 1).astype(float)
 
 
+PAIRS = slice(ORDERS.index(2) << RANGE_BITS, (ORDERS.index(2) + 1) << RANGE_BITS)
+FEW = 4
+
+
+def _pairs(found: np.ndarray) -> np.ndarray:
+    return found[(found >= PAIRS.start) & (found < PAIRS.stop)] - PAIRS.start
+
+
+def known_pairs(found: list[np.ndarray], labels: list[str], languages: list[str]) -> np.ndarray:
+    out = np.zeros((len(languages), 1 << RANGE_BITS), bool)
+    for f, label in zip(found, labels, strict=True):
+        out[languages.index(label), _pairs(f)] = True
+    return out
+
+
+def least_known(found: list[np.ndarray], labels: list[str], languages: list[str]) -> float:
+    """Three quarters of what all but a hundredth of one half's texts have of their pairs in the other half."""
+    shares = [1.0]
+    for half in (0, 1):
+        known = known_pairs(found[half::2], labels[half::2], languages)
+        for f, label in zip(found[1 - half :: 2], labels[1 - half :: 2], strict=True):
+            pairs = _pairs(f)
+            if len(pairs) > 20:
+                shares.append(known[languages.index(label), pairs].mean())
+    return 0.75 * float(np.quantile(shares, 0.01))
+
+
 def train(found: list[np.ndarray], labels: list[str]) -> Model:
     """Landmarks are the first rows of each label; the rest is linear algebra."""
     languages = sorted(set(labels))
@@ -118,32 +158,34 @@ def train(found: list[np.ndarray], labels: list[str]) -> Model:
     gram = (x * weight[:, None]).T @ x + RIDGE * np.eye(x.shape[1])
     solved = np.linalg.solve(gram, (x * weight[:, None]).T @ y)
     weights = marks.T.astype(np.float64) @ (whiten @ solved)
-    return Model(languages, weights.astype(np.float32), (mean_y - mean_x @ solved).astype(np.float32))
+    bias = mean_y - mean_x @ solved
+    known = known_pairs(found, labels, languages), least_known(found, labels, languages)
+    return Model(languages, weights.astype(np.float32), bias.astype(np.float32), *known)
 
 
 def fold_of(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def fit(df: DataFrame, rows_a_language: int = ROWS_A_LANGUAGE) -> Model | None:
+def fit(df: DataFrame, rows_a_language: int = ROWS_A_LANGUAGE, languages: int = LANGUAGES) -> Model | None:
     """Train on documents outside fold 0 that have a label and a letter."""
     ship(df.sparkSession)
     labelled = df.selectExpr("cast(doc_id as bigint) doc_id", "cast(lang as string) lang", "cast(text as string) text").where(
         (fold_of(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")
     )
     order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    most = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).select("lang")
+    # Bounded by the parameters: languages * rows_a_language ids and languages labels.
     chosen = (
         labelled.select("lang", "doc_id")
+        .join(F.broadcast(most), "lang")
         .withColumn("n", F.row_number().over(order))
         .where(F.col("n") <= rows_a_language)
         .select("doc_id")
-        .limit(LANGUAGES * rows_a_language)
+        .distinct()
     )
-    ids = sorted({r["doc_id"] for r in chosen.collect()})
-    if not ids:
-        return None
     # Repeated ids give one row.
-    picked = labelled.where(F.col("doc_id").isin(ids)).groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("x"))
+    picked = labelled.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("x"))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,11 +245,11 @@ def identify(df: DataFrame, model: Model | None = None) -> DataFrame:
     return rows.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-LEAST_SCORE = 0.25
-
+def accept_languages(df: DataFrame, model: Model | None = None) -> DataFrame:
+    """df without documents whose language can't be told: no letters, or pairs of letters of none learned.
 
-def accept_languages(df: DataFrame, model: Model | None = None, least_score: float = LEAST_SCORE) -> DataFrame:
-    """df without documents whose language can't be told: no letters, or a score below ``least_score``."""
+    Rows of one doc_id are told apart by nothing: each text counts by itself. Null and empty texts go.
+    """
     ship(df.sparkSession)
     model = model or fit(df)
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -222,8 +264,8 @@ def accept_languages(df: DataFrame, model: Model | None = None, least_score: flo
                 some = [i for i, f in enumerate(found) if f is not None]
                 keep = np.zeros(len(found), bool)
                 if some:
-                    _, scores = model.predict([found[i] for i in some])
-                    keep[some] = scores >= least_score
+                    names, _ = model.predict([found[i] for i in some])
+                    keep[some] = [model.familiar(found[i], model.languages.index(n)) for i, n in zip(some, names, strict=True)]
                 yield part.filter(pa.array(keep))
 
     return df.mapInArrow(accept, df.schema)

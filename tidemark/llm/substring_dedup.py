@@ -15,7 +15,7 @@
 Words are runs of other characters than the six ASCII blanks, A-Z lower-cased.
 
 Edge cases: null and blank texts have no seeds; a null doc_id takes no part; rows of one doc_id are one
-document, its first text counting; repeats inside one document only are none; an empty table gives an
+document, its least text counting; repeats inside one document only are none; an empty table gives an
 empty result; other columns are ignored, whatever their names.
 """
 
@@ -424,16 +424,27 @@ def cut_words(text: str, ranges: list[tuple[int, int]]) -> str:
 
 
 def without_passages(df: DataFrame, found: DataFrame) -> DataFrame:
-    """df with the passages cut out of its texts; documents of which nothing is left go."""
+    """df with the passages cut out of its texts; documents of which nothing is left go.
+
+    Of the rows of one doc_id those with the least text, in which the passages were found, are cut; its
+    other texts stay as they are. Rows without a passage stay, null and empty texts too.
+    """
+    # Columns go by number, so that no name can clash.
+    columns = [f"c{i}" for i in range(len(df.columns))]
+    numbered = df.toDF(*columns)
+    key, at = columns[df.columns.index("doc_id")], df.columns.index("text")
     ranges = (
-        found.select("doc_id", "passage_start", "passage_end")
+        found.select(F.col("doc_id").alias(key), "passage_start", "passage_end")
         .distinct()
-        .groupBy("doc_id")
-        .agg(F.sort_array(F.collect_list(F.struct("passage_start", "passage_end"))).alias("__ranges"))
+        .groupBy(key)
+        .agg(F.sort_array(F.collect_list(F.struct("passage_start", "passage_end"))).alias("ranges"))
     )
-    joined = df.join(ranges, "doc_id", "left")
-    columns = df.columns
-    at = columns.index("text")
+    repeated = numbered.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(columns[at]).alias("least")).where("n > 1")
+    joined = numbered.join(ranges, key, "left").withColumn("cut", F.col("ranges"))
+    if not numbered.groupBy(key).count().where("count > 1").isEmpty():
+        joined = joined.join(repeated.drop("n"), key, "left")
+        other = F.col("least").isNotNull() & ~F.col(columns[at]).eqNullSafe(F.col("least"))
+        joined = joined.withColumn("cut", F.when(~other, F.col("ranges")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -448,4 +459,4 @@ def without_passages(df: DataFrame, found: DataFrame) -> DataFrame:
             cols = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(columns))]
             yield pa.RecordBatch.from_arrays(cols, names=columns).filter(pa.array(keep, pa.bool_()))
 
-    return joined.select(*columns, "__ranges").mapInArrow(cut, df.schema)
+    return joined.select(*columns, "cut").mapInArrow(cut, numbered.schema).toDF(*df.columns)
