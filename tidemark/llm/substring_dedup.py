@@ -1,7 +1,9 @@
 """Repeated passages by collinear chaining of shared k-mer seeds.
 
-1. Seeds: all k-word shingles of every whole text (with a window over 1 its minimizers, of which any
-   exact run of ``k + window - 1`` words holds one). Each seed that several documents share is tied to its first
+1. Seeds: those k-word shingles of every whole text whose least inner shingle (by hash) stands first or
+   last in them (closed syncmers). The choice depends on the shingle alone, so both texts of a fuzzy
+   match choose alike; of ``k - inner`` neighbours one is chosen at least, so any exact run of
+   ``2 * k - inner - 1`` words has a seed. Each seed that several documents share is tied to its first
    occurrence (smallest doc_id, then place): one match per occurrence, however many documents share it.
 2. Chains: per document and source document, matches in rising order of both places are chained by
    dynamic programming; the score of a chain is its seeds less a cost linear in the gaps, and the best
@@ -29,13 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HIT_SETTINGS, materialize, settings, ship
+from .common import HIT_SETTINGS, fresh_path, materialize, settings, ship
 from .ngram_jaccard import MULT, U, _id_text, _signed
 from .packing import slices
 from .word_hash import hashed_words, mix
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-K, WINDOW = 8, 1
+K, INNER = 8, 4
 MIN_WORDS = 50
 MAX_GAP, MAX_SHIFT = 60, 20
 GAP_COST = 0.01
@@ -45,32 +47,33 @@ JOIN_GAP = 3
 X_DROP, DIAGONALS = 6, 4
 
 
-def minimizers(h: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of the minimizers of a text given by its word hashes."""
-    n = len(h) - k + 1
-    if n <= 0:
-        return np.zeros(0, U), np.zeros(0, np.int64)
+def _grams(h: np.ndarray, k: int) -> np.ndarray:
+    n = max(0, len(h) - k + 1)
     grams = np.full(n, U(k))
     for j in range(k):
         grams = mix(grams * MULT + h[j : j + n])
-    if n <= window:
-        at = np.array([int(grams.argmin())])
-    else:
-        views = np.lib.stride_tricks.sliding_window_view(grams, window)
-        at = np.unique(views.argmin(axis=1) + np.arange(len(views)))
-    found = grams[at]
-    # In runs of one repeated word neighbours are equal: a seed a window is enough.
-    new = np.r_[True, found[1:] != found[:-1]]
+    return grams
+
+
+def syncmers(h: np.ndarray, k: int, inner: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the chosen shingles of a text given by its word hashes."""
+    if len(h) < k:
+        return np.zeros(0, U), np.zeros(0, np.int64)
+    inside = np.lib.stride_tricks.sliding_window_view(_grams(h, inner), k - inner + 1)
+    at = np.flatnonzero(np.minimum(inside[:, 0], inside[:, -1]) == inside.min(axis=1))
+    found = _grams(h, k)[at]
+    # In runs of one repeated word all shingles are one: a seed every k places is enough.
+    new = np.r_[True, (found[1:] != found[:-1]) | (np.diff(at) > 1)]
     start = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
-    keep = (at - start) % window == 0
+    keep = (at - start) % k == 0
     return found[keep], at[keep]
 
 
-def seed_rows(docs: DataFrame, k: int, window: int) -> DataFrame:
+def seed_rows(docs: DataFrame, k: int, inner: int) -> DataFrame:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch.column(1), 2 << 20):
-                rows = [minimizers(h, k, window) for h in hashed_words(batch.column(1)[part])]
+                rows = [syncmers(h, k, inner) for h in hashed_words(batch.column(1)[part])]
                 ids = batch.column(0)[part].to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -367,7 +370,7 @@ PIECE_NAMES = [p.strip().split(" ")[0] for p in PIECE_SCHEMA.split(",")]
 
 
 def passages(
-    df: DataFrame, k: int = K, window: int = WINDOW, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame, k: int = K, inner: int = INNER, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """The aligned pieces of every repeated passage, with the passage's ends in the document.
 
@@ -378,7 +381,10 @@ def passages(
     repeated = docs.groupBy("doc_id").count().where("count > 1")
     if not repeated.isEmpty():
         docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
-    seeds = materialize(seed_rows(docs, k, window), "seeds")
+    # Places rise within a document: this version of the format stores them as differences.
+    path, rows = fresh_path(df.sparkSession, "seeds"), seed_rows(docs, k, inner)
+    rows.write.option("parquet.writer.version", "PARQUET_2_0").parquet(path)
+    seeds = df.sparkSession.read.schema(rows.schema).parquet(path)
     shared = materialize(
         seeds.groupBy("seed")
         .agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("last"))
