@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from tidemark.llm import ngram_jaccard as nj
+from tidemark.llm import substring_dedup as sd
 from tidemark.llm.components import connected_components
 from tidemark.llm.curve_search import hilbert_keys, nearest
 from tidemark.llm.substring_dedup import WORD, chains, common_length, cut_words, passages, without_passages
@@ -185,6 +186,81 @@ def test_fuzzy_passages(spark):
     assert found == set(range(1, 80, 2))
 
 
+def slow_extend(a, b):
+    """Diagonals one after the other, word by word."""
+    i = j = common = 0
+    while True:
+        ways = []
+        for shift in sorted(range(-4, 5), key=abs):
+            x, y, value, best, path = i + max(0, shift), j + max(0, -shift), 0, 0, []
+            high, end = None, 0
+            while x < len(a) and y < len(b):
+                path.append(a[x] == b[y])
+                value += 1 if path[-1] else -2
+                high = value if high is None else max(high, value)
+                if high - value > 6:
+                    break
+                if value > best:
+                    best, end = value, len(path)
+                x, y = x + 1, y + 1
+            gain = best - 2 * abs(shift)
+            if gain > 0 and (shift == 0 or gain >= 4):
+                ways.append((-gain, len(ways), shift, path[:end]))
+        if not ways:
+            return i, j, common
+        _, _, shift, path = min(ways)
+        i, j, common = i + max(0, shift) + len(path), j + max(0, -shift) + len(path), common + sum(path)
+
+
+def test_extension_matches_a_slow_one():
+    rng = random.Random(3)
+    for _ in range(300):
+        a = rng.choices(range(9), k=rng.randint(0, 40))
+        b = [x for x in a if rng.random() > 0.1]
+        for _ in range(rng.randint(0, 6)):
+            b.insert(rng.randrange(len(b) + 1), rng.randrange(9))
+        got = sd.extend(np.array(a, np.uint32), np.array(b, np.uint32))
+        assert got == slow_extend(a, b), (a, b)
+
+
+def test_syncmers_leave_no_long_run_out():
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 1 << 60, n, dtype=np.uint64) for n in (0, 3, 8, 9, 40, 200, 11, 500)]
+    found, text, at = sd.syncmers(texts, 8, 4)
+    for i, t in enumerate(texts):
+        places = [-1, *at[text == i].tolist(), len(t) - 7] if len(t) >= 11 else []
+        assert all(b - a <= 4 for a, b in zip(places, places[1:], strict=False))
+        alone = sd.syncmers([t], 8, 4)
+        assert alone[0].tolist() == found[text == i].tolist() and alone[2].tolist() == at[text == i].tolist()
+
+
+def test_passages_against_brute_force(spark):
+    """Exact passages of fifty words that an earlier document has, among periodic and hot texts.
+
+    Ends too short for a seed of their own may be lost where the rest has an earlier source.
+    """
+    rng = random.Random(21)
+    vocab = [f"v{i}" for i in range(60)]
+    some = lambda n: rng.choices(vocab, k=n)
+    line, hot = some(14), some(70)
+    docs = []
+    for i in range(60):
+        parts = [some(rng.randint(0, 120)) for _ in range(2)]
+        middle = rng.choice([line * 6, hot, ["again"] * 120, some(10), hot[:49], docs[rng.randrange(i)][:90] if i else []])
+        docs.append([*parts[0], *middle, *parts[1]])
+    out = passages(spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")).collect()
+    covered = defaultdict(set)
+    for r in out:
+        covered[r["doc_id"]] |= set(range(r["passage_start"], r["passage_end"]))
+    met = set()
+    for i, d in enumerate(docs):
+        runs = {tuple(d[p : p + 50]) for p in range(len(d) - 49)}
+        want = {w for p in range(len(d) - 49) if tuple(d[p : p + 50]) in met for w in range(p, p + 50)}
+        inner = {w for w in want if want >= set(range(w - 11, w + 12))}
+        assert inner <= covered[i], (i, sorted(inner - covered[i]))
+        met |= runs
+
+
 def test_chain_kernels():
     assert sorted(map(sorted, chains(np.array([1, 5, 9, 12]), np.array([3, 7, 900, 13])))) == [[0, 1, 3], [2]]
     rng = random.Random(1)

@@ -12,7 +12,8 @@
    bit-parallel longest common subsequences, ends are extended by x-drop over nearby diagonals. A chain
    that isn't similar enough as a whole gives every longest stretch of its alignment that is.
 4. Aligned pieces that touch, whatever their source, form a passage; passages of at least
-   ``min_words`` words are the result. The first occurrence of a passage is never part of it.
+   ``min_words`` words are the result, one row each. As sources are first occurrences, up to ten words
+   at a passage's ends, too few for a seed, can be missing where its inside occurred earlier elsewhere. The first occurrence of a passage is never part of it.
 
 Words are runs of other characters than the six ASCII blanks, A-Z lower-cased.
 
@@ -55,33 +56,42 @@ def _grams(h: np.ndarray, k: int) -> np.ndarray:
     return grams
 
 
-def syncmers(h: np.ndarray, k: int, inner: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of the chosen shingles of a text given by its word hashes."""
-    if len(h) < k:
-        return np.zeros(0, U), np.zeros(0, np.int64)
-    inside = np.lib.stride_tricks.sliding_window_view(_grams(h, inner), k - inner + 1)
-    at = np.flatnonzero(np.minimum(inside[:, 0], inside[:, -1]) == inside.min(axis=1))
-    found = _grams(h, k)[at]
+def syncmers(texts: list[np.ndarray], k: int, inner: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, texts (by number) and places of the chosen shingles of texts given by their word hashes."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    flat = np.concatenate(texts) if len(texts) else np.zeros(0, U)
+    n, last = len(flat) - k + 1, k - inner
+    if n <= 0:
+        return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    small = _grams(flat, inner)
+    least = small[:n]
+    for j in range(1, last + 1):
+        least = np.minimum(least, small[j : j + n])
+    ends = np.cumsum(sizes)
+    whole = np.repeat(ends, sizes)[:n] - np.arange(n) >= k  # not over a text's end
+    at = np.flatnonzero(whole & (np.minimum(small[:n], small[last : last + n]) == least))
+    # A shingle is its inner shingles at both ends, and what they leave out between them.
+    found = mix(small[at] * MULT + small[at + last])
+    for j in range(inner, last):
+        found = mix(found * MULT + flat[at + j])
     # In runs of one repeated word all shingles are one: a seed every k places is enough.
-    new = np.r_[True, (found[1:] != found[:-1]) | (np.diff(at) > 1)]
-    start = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+    new = np.ones(len(at), bool)
+    new[1:] = (found[1:] != found[:-1]) | (np.diff(at) > 1)
+    start = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))] if len(at) else at
     keep = (at - start) % k == 0
-    return found[keep], at[keep]
+    found, at = found[keep], at[keep]
+    text = np.searchsorted(ends, at, "right")
+    return found, text, at - (ends - sizes)[text]
 
 
 def seed_rows(docs: DataFrame, k: int, inner: int) -> DataFrame:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch.column(1), 2 << 20):
-                rows = [syncmers(h, k, inner) for h in hashed_words(batch.column(1)[part])]
+                found, text, at = syncmers(hashed_words(batch.column(1)[part]), k, inner)
                 ids = batch.column(0)[part].to_numpy(zero_copy_only=False)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        _signed(np.concatenate([s for s, _ in rows])),
-                        pa.array(np.repeat(ids, [len(s) for s, _ in rows])),
-                        pa.array(np.concatenate([p for _, p in rows]).astype(np.int32)),
-                    ],
-                    names=["seed", "doc_id", "at"],
+                    [_signed(found), pa.array(ids[text]), pa.array(at.astype(np.int32))], names=["seed", "doc_id", "at"]
                 )
 
     ship(docs.sparkSession)
@@ -206,37 +216,46 @@ def common_length(a: list[int], b: list[int]) -> int:
     return len(a) - row.bit_count()
 
 
+_SHIFTS = np.arange(-DIAGONALS, DIAGONALS + 1)
+_SHIFTS = _SHIFTS[np.argsort(np.abs(_SHIFTS), kind="stable")]  # of equal ways the straightest
+
+
 def extend(a: np.ndarray, b: np.ndarray, steps: list | None = None) -> tuple[int, int, int]:
     """How far both run on from their starts: words of a, of b, and words in common. ``steps`` takes the
-    same three numbers of each run of equal or of different words on the way."""
+    same three numbers of each run of equal or of different words on the way.
+
+    All diagonals are looked at together, with a row each; beyond a text's end nothing is equal.
+    """
     used_a = used_b = common = 0
+    skip_a, skip_b = np.maximum(_SHIFTS, 0), np.maximum(-_SHIFTS, 0)
     while True:
-        best = (0, 0, 0, 0)
-        for shift in range(-DIAGONALS, DIAGONALS + 1):
-            i, j = used_a + max(0, shift), used_b + max(0, -shift)
-            n = min(len(a) - i, len(b) - j)
-            if n <= 0:
-                continue
-            same = a[i : i + n] == b[j : j + n]
-            value = np.cumsum(np.where(same, 1, -2))
-            dropped = np.flatnonzero(np.maximum.accumulate(value) - value > X_DROP)
-            if len(dropped):
-                value = value[: dropped[0]]
-            top = int(value.argmax())
-            gain = int(value[top]) - 2 * abs(shift)
-            if gain > best[0] and (shift == 0 or gain >= 4):
-                best = (gain, i + top + 1, j + top + 1, int(same[: top + 1].sum()))
-                path = same[: top + 1]
-        if not best[0]:
+        n = min(len(a) - used_a, len(b) - used_b)
+        if n <= 0:
             return used_a, used_b, common
+        n += DIAGONALS
+        along = np.arange(n)
+        in_a, in_b = used_a + skip_a[:, None] + along, used_b + skip_b[:, None] + along
+        inside = (in_a < len(a)) & (in_b < len(b))
+        same = inside & (a[np.minimum(in_a, len(a) - 1)] == b[np.minimum(in_b, len(b) - 1)])
+        value = np.cumsum(np.where(same, 1, -2), axis=1)
+        given_up = np.logical_or.accumulate(np.maximum.accumulate(value, axis=1) - value > X_DROP, axis=1)
+        value[given_up] = -1
+        top = value.argmax(axis=1)
+        gain = value[np.arange(len(_SHIFTS)), top] - 2 * np.abs(_SHIFTS)
+        gain[1:][gain[1:] < 4] = 0
+        way = int(gain.argmax())
+        if gain[way] <= 0:
+            return used_a, used_b, common
+        path = same[way, : top[way] + 1]
         if steps is not None:
             n = len(path)
-            if best[1] - n > used_a or best[2] - n > used_b:
-                steps.append((best[1] - n - used_a, best[2] - n - used_b, 0))
+            if skip_a[way] or skip_b[way]:
+                steps.append((int(skip_a[way]), int(skip_b[way]), 0))
             cuts = [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1).tolist(), n]
             steps.extend((q - p, q - p, (q - p) * int(path[p])) for p, q in zip(cuts, cuts[1:]))
-        _, used_a, used_b, more = best
-        common += more
+        used_a += int(skip_a[way]) + len(path)
+        used_b += int(skip_b[way]) + len(path)
+        common += int(path.sum())
 
 
 def align(a: np.ndarray, b: np.ndarray, x: list[int], y: list[int], k: int) -> tuple[int, int, int, int, int]:
@@ -372,10 +391,10 @@ PIECE_NAMES = [p.strip().split(" ")[0] for p in PIECE_SCHEMA.split(",")]
 def passages(
     df: DataFrame, k: int = K, inner: int = INNER, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """The aligned pieces of every repeated passage, with the passage's ends in the document.
+    """The repeated passages of each document, with the piece of each that has most words in common.
 
-    doc_id, start_word, end_word (of the piece), source_doc_id, source_start, source_end,
-    matched_words, passage_start, passage_end (word places; ends are exclusive).
+    doc_id, passage_start, passage_end, n_pieces, and of the best piece start_word, end_word, source_doc_id,
+    source_start, source_end, matched_words (word places; ends are exclusive).
     """
     docs = _id_text(df, id_col, text_col).where("doc_id is not null")
     repeated = docs.groupBy("doc_id").count().where("count > 1")
@@ -386,37 +405,40 @@ def passages(
     rows.write.option("parquet.writer.version", "PARQUET_2_0").parquet(path)
     seeds = df.sparkSession.read.schema(rows.schema).parquet(path)
     shared = materialize(
-        seeds.groupBy("seed")
-        .agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("last"))
-        .where(F.col("first.doc_id") < F.col("last"))
-        .select("seed", F.col("first.doc_id").alias("source"), F.col("first.at").alias("source_at")),
+        seeds.groupBy("seed").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where(F.col("source") < F.col("last")),
         "shared-seeds",
     )
     with settings(df.sparkSession, HIT_SETTINGS):
-        matches = materialize(
-            seeds.join(shared.where(F.col("source_at") >= 0), "seed")
-            .where(F.col("doc_id") != F.col("source"))
-            .select("doc_id", F.col("at").cast("long"), "source", F.col("source_at").cast("long")),
-            "seed-matches",
-        )
+        places = seeds.join(shared.where(F.col("last") > F.col("source")).select("seed", "source"), "seed")
+        places = materialize(places, "seed-places")
+    first = places.where(F.col("doc_id") == F.col("source")).groupBy("seed").agg(F.min("at").alias("source_at"))
+    matches = places.where(F.col("doc_id") != F.col("source")).join(first, "seed")
+    matches = matches.select("doc_id", F.col("at").cast("long"), "source", F.col("source_at").cast("long"))
     chain_table = materialize(chain_rows(matches, k), "chains")
     pieces = materialize(aligned(chain_table, docs, k), "pieces")
     return merged(pieces, min_words)
 
 
 def merged(pieces: DataFrame, min_words: int) -> DataFrame:
-    """Pieces of passages long enough, passages being runs of pieces that touch."""
+    """Passages long enough, a passage being a run of pieces that touch, with its best piece."""
     from pyspark.sql import Window as W
 
     by = W.partitionBy("doc_id").orderBy("start_word", "end_word", "source_doc_id", "source_start")
     ended = F.max("end_word").over(by.rowsBetween(W.unboundedPreceding, -1))
     runs = pieces.withColumn("new", (ended.isNull() | (F.col("start_word") > ended + JOIN_GAP)).cast("int"))
     runs = runs.withColumn("run", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, 0)))
-    own = W.partitionBy("doc_id", "run")
-    out = runs.withColumns(
-        {"passage_start": F.min("start_word").over(own), "passage_end": F.max("end_word").over(own)}
+    # The most words in common; of equal pieces that of the smallest source.
+    order = F.struct(-F.col("matched_words"), "source_doc_id", "source_start", "start_word", "end_word", "source_end", "matched_words")
+    found = runs.groupBy("doc_id", "run").agg(
+        F.min("start_word").alias("passage_start"),
+        F.max("end_word").alias("passage_end"),
+        F.count(F.lit(1)).alias("n_pieces"),
+        F.min(order).alias("best"),
+    )
+    best = [F.col(f"best.{c}").alias(c) for c in PIECE_NAMES[1:]]
+    return found.where(F.col("passage_end") - F.col("passage_start") >= min_words).select(
+        "doc_id", "passage_start", "passage_end", "n_pieces", *best
     )
-    return out.where(F.col("passage_end") - F.col("passage_start") >= min_words).drop("new", "run")
 
 
 def cut_words(text: str, ranges: list[tuple[int, int]]) -> str:
