@@ -412,6 +412,7 @@ def passages(
         places = seeds.join(shared.where(F.col("last") > F.col("source")).select("seed", "source"), "seed")
         places = materialize(places, "seed-places")
     first = places.where(F.col("doc_id") == F.col("source")).groupBy("seed").agg(F.min("at").alias("source_at"))
+    first = materialize(first, "seed-sources")  # a plain table, so that the join can split a common seed
     matches = places.where(F.col("doc_id") != F.col("source")).join(first, "seed")
     matches = matches.select("doc_id", F.col("at").cast("long"), "source", F.col("source_at").cast("long"))
     chain_table = materialize(chain_rows(matches, k), "chains")
