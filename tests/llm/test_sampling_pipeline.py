@@ -42,6 +42,57 @@ def test_sampling_without_replacement_is_exact():
     assert abs(np.mean([sum(math.exp(s[1] - s[3]) for s in r) for r in drawn]) - 1) < 0.01
 
 
+def test_words_are_sampled_as_one_text():
+    """Two words and a repeated one: inclusion of every segmentation of the whole text, by enumeration."""
+    pieces = Pieces(MODEL)
+    weights = {pieces.text[i]: w for _, ids, ws in pieces.of_length.values() for i, w in zip(ids, ws, strict=True)}
+    text = pieces.normalize("ab c")
+    words = [m for m in ("\u2581ab", "\u2581c")]
+    assert text == "".join(words)
+    ways = [()], [0.0]
+    for w in words:
+        own = all_segmentations(w, weights)
+        ways = [a + b for a in ways[0] for b, _ in own], [x + y for x in ways[1] for _, y in own]
+    total = np.logaddexp.reduce(ways[1])
+    p = {s: math.exp(x - total) for s, x in zip(*ways, strict=True)}
+    n, k = 8000, 3
+    drawn = sample_batch([text] * n, np.arange(n, dtype=np.uint64) * 13, pieces, k)
+    seen, weight = Counter(), Counter()
+    for row in drawn:
+        found = [tuple(pieces.text[i] for i in ids) for ids, *_ in row]
+        assert len(set(found)) == min(k, len(p))
+        for s, (_, log_p, _, inclusion) in zip(found, row, strict=True):
+            assert abs(log_p - math.log(p[s])) < 1e-9
+            seen[s] += 1
+            weight[s] += math.exp(-inclusion)
+    for s in p:  # an inclusion score is the chance to be in the sample, so its inverse weighs the samples to one
+        spread = math.sqrt(max(1.0, weight[s] / max(1, seen[s])) / n)
+        if p[s] > 1e-3:
+            assert abs(weight[s] / n - 1) < 6 * spread + 0.05, (s, p[s], weight[s] / n)
+
+
+def test_all_segmentations_of_a_rare_tail_are_given():
+    """More samples than segmentations: all of them, however small the last ones' mass."""
+    pieces = Pieces(MODEL)
+    weights = {pieces.text[i]: w for _, ids, ws in pieces.of_length.values() for i, w in zip(ids, ws, strict=True)}
+    for word in ("abc", "the", "zq"):
+        text = pieces.normalize(word)
+        ways = all_segmentations(text, weights)
+        (row,) = sample_batch([text], np.array([5], np.uint64), pieces, len(ways) + 3)
+        assert sorted(tuple(pieces.text[i] for i in ids) for ids, *_ in row) == sorted(s for s, _ in ways)
+        assert all(inclusion == 0 for *_, inclusion in row)
+
+
+def test_rows_do_not_depend_on_their_batch():
+    pieces = Pieces(MODEL)
+    texts = [pieces.normalize(t) for t in ["the quick brown fox " * 90, "a", "", "\u65e5\u672c x\u00f6", "zzz " * 400, "Hello there"]]
+    keys = np.array([3, 9, 27, 81, 243, 729], np.uint64)
+    together = list(sample_batch(texts, keys, pieces, 4))
+    for i, row in enumerate(together):
+        (alone,) = sample_batch(texts[i : i + 1], keys[i : i + 1], pieces, 4)
+        assert [(a.tolist(), *x) for a, *x in alone] == [(a.tolist(), *x) for a, *x in row]
+
+
 def test_sample_segmentations(spark):
     texts = ["Hello  wörld\n日本 \U0001f9ea", "", None, "a", "x" * 3000, "the quick brown fox " * 800, "tab\there\x00\x7f"]
     rows = [(i, t, "s") for i, t in enumerate(texts)] + [(None, "null", "s"), (0, texts[0], "s")]

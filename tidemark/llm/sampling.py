@@ -28,7 +28,8 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,8 @@ SAMPLES = 3
 SHARPNESS = 1.0
 BYTE_WEIGHT = -14.0
 UNKNOWN_WEIGHT = -20.0
-HEAD_LOG = 45.0
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20
+LATTICE_PART, DRAW_PART = 20_000, 20_000
 SPACE = "▁"
 WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 U = np.uint64
@@ -66,85 +67,157 @@ class Pieces:
         self.unknown = m.unk_id()
         self.whole = any(SPACE in self.text[i].lstrip(SPACE) for i in normal)
         self.of_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        by_length: dict[int, list[int]] = {}
+        by_length: dict[int, list[int]] = {1: []}
         for k, i in enumerate(normal):
             by_length.setdefault(len(self.text[i]), []).append(k)
+        # The starts of pieces: by hash the piece (or -1), its weight, and whether longer pieces start so.
+        starts: dict[int, list] = {}
         for length, own in sorted(by_length.items()):
-            points = np.stack([np.frombuffer(self.text[normal[k]].encode("utf-32-le"), np.uint32) for k in own]).astype(U)
+            points = np.frombuffer("".join(self.text[normal[k]] for k in own).encode("utf-32-le"), np.uint32).astype(U)
+            points = points.reshape(-1, length)
             h = np.full(len(own), U(0))
             for j in range(length):
                 h = _roll(h, points[:, j])
+                if j + 1 < length:
+                    for x in np.unique(h).tolist():
+                        starts.setdefault(x, [-1, 0.0, False])[2] = True
+                else:
+                    for x, k in zip(h.tolist(), own, strict=True):
+                        starts.setdefault(x, [-1, 0.0, False])[:2] = normal[k], weights[k]
             order = np.argsort(h)
             self.of_length[length] = h[order], np.array([normal[k] for k in own], np.int32)[order], weights[own][order]
+        self.starts = Starts(starts)
 
-        sizes = np.array([len(t) for t in self.text])
-        self.sizes, self.starts = sizes, np.cumsum(sizes) - sizes
-        self.points = np.frombuffer("".join(self.text).encode("utf-32-le"), np.uint32)
-        self.is_byte = np.array([m.is_byte(i) for i in range(n)])
+        raw = [t.encode() for t in self.text]
+        for b, i in self.bytes.items():
+            raw[i] = bytes([b])
+        self.sizes = np.array([len(r) for r in raw])
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        self.raw = np.frombuffer(b"".join(raw), np.uint8)
 
     def normalize(self, text: str) -> str:
         return self.model.normalize(text) if text else ""
 
     def decode(self, ids: Sequence[int] | np.ndarray) -> str:
         """The normalised text of a segmentation."""
-        ids = np.asarray(ids, np.int64)
-        if not self.is_byte[ids].any():
-            n = self.sizes[ids]
-            at = np.repeat(self.starts[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            return self.points[at].tobytes().decode("utf-32-le")
-        ids = ids.tolist()
-        values = {i: b for b, i in self.bytes.items()}
-        raw = b"".join(bytes([values[i]]) if i in values else self.text[i].encode() for i in ids)
-        return raw.decode("utf-8", "replace")
+        return self.decoded(np.asarray(ids, np.int64))[0].decode("utf-8", "replace")
+
+    def decoded(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes that ids spell, and how many each does."""
+        n = self.sizes[ids]
+        at = np.repeat(self.begin[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return self.raw[at].tobytes(), n
 
 
 def _roll(h: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (h + c + U(1)) * U(0x9E3779B97F4A7C15) ^ (h >> U(31))
 
 
+class Starts:
+    """An open-addressed table of hashes, looked up for whole arrays at once."""
+
+    def __init__(self, rows: dict[int, list]):
+        bits = max(8, (4 * len(rows)).bit_length())
+        self.shift, mask, slots = U(64 - bits), (1 << bits) - 1, [-1] * (1 << bits)
+        for n, x in enumerate(rows):
+            at = x >> (64 - bits)
+            while slots[at] >= 0:
+                at = (at + 1) & mask
+            slots[at] = n
+        self.mask, self.slots = mask, np.array(slots, np.int32)
+        self.hashes = np.array([*rows, 0], U)  # the last one stands for an empty slot
+        self.piece = np.array([*(r[0] for r in rows.values()), -1], np.int64)
+        self.weight = np.array([*(r[1] for r in rows.values()), 0.0])
+        self.more = np.array([*(r[2] for r in rows.values()), False], bool)
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in h that are known, and their entries."""
+        at = (h >> self.shift).astype(np.int64)
+        entry = self.slots[at]
+        good = self.hashes[entry] == h
+        open_ = np.flatnonzero(~good & (entry >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & self.mask
+            entry[open_] = self.slots[at[open_]]
+            good[open_] = self.hashes[entry[open_]] == h[open_]
+            open_ = open_[~good[open_] & (entry[open_] >= 0)]
+        known = np.flatnonzero(good & (entry >= 0))
+        return known, entry[known]
+
+
 @dataclass
 class Lattice:
-    """States are (word, place); each has choices with conditional log probabilities, cumulated."""
+    """States are (word, place); each has choices with conditional log probabilities, cumulated.
+
+    ``log_rest`` is the log probability of a state's other choices.
+    """
 
     first_state: np.ndarray
     first: np.ndarray
+    count: np.ndarray
     cumulated: np.ndarray
     log_p: np.ndarray
+    log_rest: np.ndarray
     piece: np.ndarray
     follows: np.ndarray
 
 
 def build_lattice(words: list[str], pieces: Pieces) -> Lattice:
-    sizes = np.array([len(w) for w in words])
+    """The lattice of all words, made of parts small enough for a processor's cache."""
+    parts, states, arcs = [], 0, 0
+    ends = np.cumsum([len(w) for w in words]) if words else np.zeros(0, np.int64)
+    at = 0
+    while at < len(words):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LATTICE_PART, "right")))
+        part = _lattice(words[at:end], pieces)
+        part.first_state += states
+        part.follows[part.follows >= 0] += states
+        part.first += arcs
+        parts.append(part)
+        states, arcs, at = states + len(part.first), arcs + len(part.piece), end
+    if not parts:
+        return Lattice(*(np.zeros(0, float if "log" in f.name or f.name == "cumulated" else np.int64) for f in fields(Lattice)))
+    return Lattice(*(np.concatenate([getattr(p, f.name) for p in parts]) for f in fields(Lattice)))
+
+
+def _lattice(words: list[str], pieces: Pieces) -> Lattice:
+    sizes = np.array([len(w) for w in words], np.int64)
     points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
     start = np.cumsum(sizes) - sizes
     left = np.repeat(start + sizes, sizes) - np.arange(len(points))  # characters to the word's end
     found: list[tuple] = []
-    covered = np.zeros(len(points), bool)
-    h, at, length = np.zeros(len(points), U), np.arange(len(points)), 0
-    for want, (hashes, ids, weights) in pieces.of_length.items():
-        while length < want:
-            keep = left[at] > length
-            at, h = at[keep], h[keep]
-            h = _roll(h, points[at + length])
-            length += 1
-        k = np.searchsorted(hashes, h)
-        k[k == len(hashes)] = 0
-        hit = hashes[k] == h
-        where = at[hit]
-        found.append((where, np.full(len(where), want), ids[k[hit]], weights[k[hit]]))
-        if want == 1:
-            covered[where] = True
-    # Characters without a piece are spelled in bytes: one choice, -1 - the character's place.
-    bare = np.flatnonzero(~covered)
-    spelled = np.where(points[bare] < 0x80, 1, np.where(points[bare] < 0x800, 2, np.where(points[bare] < 0x10000, 3, 4)))
-    cost = BYTE_WEIGHT * spelled if pieces.bytes else np.full(len(bare), UNKNOWN_WEIGHT)
-    found.append((bare, np.ones(len(bare), np.int64), -1 - points[bare].astype(np.int64), cost))
-    where, length, piece, weight = (np.concatenate(c) for c in zip(*found, strict=True))
-    order = np.argsort(where, kind="stable")
-    where, length, piece, weight = where[order], length[order], piece[order].astype(np.int64), weight[order].astype(float)
-    count = np.bincount(where, minlength=len(points))
+    count = np.zeros(len(points), np.int64)
+    h, at = np.zeros(len(points), U), np.arange(len(points))
+
+    def add(where: np.ndarray, want: int, piece: np.ndarray, weight: np.ndarray) -> None:
+        found.append((where, np.full(len(where), want), piece, weight, count[where]))
+        count[where] += 1
+
+    table, n = pieces.starts, 0
+    while len(at):
+        n += 1
+        h = _roll(h, points[at + (n - 1)])
+        known, entry = table.find(h)
+        ids = table.piece[entry]
+        hit = np.flatnonzero(ids >= 0)
+        add(at[known[hit]], n, ids[hit], table.weight[entry[hit]])
+        if n == 1:
+            # Characters without a piece are spelled in bytes: one choice, -1 - the character's place.
+            bare = np.flatnonzero(count == 0)
+            spelled = np.where(points[bare] < 0x80, 1, np.where(points[bare] < 0x800, 2, np.where(points[bare] < 0x10000, 3, 4)))
+            cost = BYTE_WEIGHT * spelled if pieces.bytes else np.full(len(bare), UNKNOWN_WEIGHT)
+            add(bare, 1, -1 - points[bare].astype(np.int64), cost)
+        go = known[table.more[entry] & (left[at[known]] > n)]
+        at, h = at[go], h[go]
+    # Choices of a state stand together, the shortest first.
     first = np.cumsum(count) - count
+    where, length, piece, weight, number = (np.concatenate(c) for c in zip(*found, strict=True))
+    place = first[where] + number
+    columns = []
+    for column in (where, length, piece.astype(np.int64), weight.astype(float), number):
+        columns.append(np.empty_like(column))
+        columns[-1][place] = column
+    where, length, piece, weight, number = columns
     # Sums to the end, by characters left.
     beta = np.zeros(len(points) + 1)
     target = where + length
@@ -164,16 +237,31 @@ def build_lattice(words: list[str], pieces: Pieces) -> Lattice:
         top = np.maximum.reduceat(value, block)
         beta[states] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, n)), block))
     log_p = total - beta[where]
-    sums = np.cumsum(np.exp(log_p))
-    base = np.r_[0.0, sums][first] if len(first) else np.zeros(0)
-    cumulated = sums - base[where] if len(where) else sums
+    # Sums inside a state only, so that nothing depends on the words around.
+    p = np.exp(log_p)
+    cumulated = p.copy()
+    states, c = np.flatnonzero(count > 1), 1
+    while len(states):
+        last = first[states] + c
+        cumulated[last] += cumulated[last - 1]
+        c += 1
+        states = states[count[states] > c]
     cumulated[np.cumsum(count) - 1] = 2.0  # rounding must not leave a gap at the end
-    return Lattice(start, first, cumulated, log_p, piece, np.where(ends, -1, target))
+    # The others of a choice of nearly all weight are added up: 1 - p would be rounding.
+    large = p > 0.75
+    small = np.add.reduceat(np.where(large, 0.0, p), first) if len(p) else p
+    with np.errstate(divide="ignore"):
+        log_rest = np.log(np.where(large, small[where], 1 - p))
+    return Lattice(start, first, count, cumulated, log_p, log_rest, piece, np.where(ends, -1, target))
 
 
 def uniform(key: np.ndarray, counter: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) that depend on key and counter alone."""
-    x = mix(mix(key) ^ (counter.astype(U) * U(0x9E3779B97F4A7C15)))
+    return _uniform(mix(key), counter)
+
+
+def _uniform(mixed_key: np.ndarray, counter: np.ndarray) -> np.ndarray:
+    x = mix(mixed_key ^ (counter.astype(U, copy=False) * U(0x9E3779B97F4A7C15)))
     return ((x >> U(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
@@ -182,13 +270,19 @@ def draw(lattice: Lattice, state: np.ndarray, key: np.ndarray, counter: np.ndarr
 
     ``counter`` numbers the words of a row; a state of -1 is a word's end.
     """
+    cuts = range(0, max(1, len(state)), DRAW_PART)
+    parts = [_draw(lattice, *(x[at : at + DRAW_PART] for x in (state, key, counter))) for at in cuts]
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
+
+
+def _draw(lattice: Lattice, state: np.ndarray, key: np.ndarray, counter: np.ndarray) -> tuple[np.ndarray, ...]:
     n_words = len(state)
     steps: list[tuple] = []
     count = np.zeros(n_words, np.int64)
-    word, s = np.flatnonzero(state >= 0), state[state >= 0]
-    key, c = key[word], counter[word].astype(U) << U(20)
+    word = np.flatnonzero(state >= 0)
+    s, key, c = state[word], mix(key[word]), counter[word].astype(U) << U(20)
     while len(word):
-        u = uniform(key, c)
+        u = _uniform(key, c)
         arc = lattice.first[s]
         low = np.flatnonzero(lattice.cumulated[arc] <= u)
         while len(low):
@@ -197,17 +291,18 @@ def draw(lattice: Lattice, state: np.ndarray, key: np.ndarray, counter: np.ndarr
         steps.append((word, arc, s))
         count[word] += 1
         s = lattice.follows[arc]
-        go = s >= 0
+        go = np.flatnonzero(s >= 0)
         word, s, key, c = word[go], s[go], key[go], c[go] + U(1)
     start = np.cumsum(count) - count
     arcs, states = np.zeros(count.sum(), np.int64), np.zeros(count.sum(), np.int64)
     for k, (w, a, s) in enumerate(steps):
-        arcs[start[w] + k] = a
-        states[start[w] + k] = s
+        at = start[w] + k
+        arcs[at] = a
+        states[at] = s
     return arcs, states, count
 
 
-def truncated(bound: float, location: np.ndarray, u: np.ndarray) -> np.ndarray:
+def truncated(bound: np.ndarray, location: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Gumbel variables at the locations, given that they are below the bound."""
     with np.errstate(over="ignore", divide="ignore"):
         return bound - np.logaddexp(0.0, np.log(-np.log(u)) + bound - location)
@@ -222,99 +317,124 @@ class Path:
 
 
 class Search:
-    """The queue of one row: sets of siblings passed by, each with the largest value in it."""
+    """The queue of one row: sets of siblings passed by, each with the largest value in it.
+
+    An entry is that value, the path it left, the step, the choices taken there, and the log probability
+    of the steps before.
+    """
 
-    def __init__(self, key: int, k: int):
-        self.key, self.k = key, k
+    def __init__(self, k: int):
+        self.k = k
         self.paths: list[Path] = []
         self.queue: list[tuple] = []
-        self.opened = 0
-
-    def add(self, lattice: Lattice, path: Path, since: int, shut: dict[int, tuple]) -> None:
-        """Queue the siblings along a path from step ``since``; ``shut``: choices taken before at a step."""
-        self.paths.append(path)
-        log_p = lattice.log_p[path.arcs]
-        before = np.r_[0.0, np.cumsum(log_p)[:-1]] if len(log_p) else log_p
-        # Beyond this the mass left is below exp(-HEAD_LOG) of what precedes it.
-        head = int(np.searchsorted(-before, HEAD_LOG - min(0.0, path.value), "right"))
-        for t in shut:
-            head = max(head, t + 1)
-        span = np.arange(since, head)
-        taken = np.exp(log_p[since:head])
-        for t, others in shut.items():
-            taken[t - since] += np.exp(lattice.log_p[list(others)]).sum()
-        choices = lattice.cumulated[lattice.first[path.states[since:head]]] < 2.0
-        rest = np.where(choices, np.maximum(1.0 - taken, 0.0), 0.0)
-        for t, others in shut.items():
-            s = path.states[t]
-            if len(others) + 1 >= _n_choices(lattice, int(s)):
-                rest[t - since] = 0.0
-        at = np.flatnonzero(rest > 1e-15)
-        if not len(at):
-            return
-        u = uniform(np.full(len(at), U(self.key)), (span[at].astype(U) << U(8)) + U(len(self.paths) + (1 << 50)))
-        value = truncated(path.value, before[since:head][at] + np.log(rest[at]), u)
-        if len(at) > self.k:  # no more than k sets are ever opened or give the threshold
-            top = np.argpartition(-value, self.k)[: self.k + 1]
-            at, value = at[top], value[top]
-        for t, v in zip(span[at].tolist(), value.tolist(), strict=True):
-            others = (*shut.get(t, ()), int(path.arcs[t]))
-            heapq.heappush(self.queue, (-v, len(self.paths) - 1, t, others))
-
-
-def _n_choices(lattice: Lattice, state: int) -> int:
-    n = 1
-    while lattice.cumulated[lattice.first[state] + n - 1] < 2.0:
-        n += 1
-    return n
+
+    def push(self, path: Path, steps: list[int], values: list[float], before: list[float], since: int, shut: tuple) -> None:
+        for t, v, b in zip(steps, values, before, strict=True):
+            if v > -np.inf:
+                others = (*(shut if t == since else ()), int(path.arcs[t]))
+                heapq.heappush(self.queue, (-v, len(self.paths) - 1, t, others, b))
+
+
+def queue_siblings(
+    lattice: Lattice, searches: list[Search], keys: np.ndarray, paths: list[Path], since: list[int], shut: list[tuple], base: list[float]
+) -> None:
+    """For each row queue the siblings along its newest path from step ``since`` on; ``shut``: choices taken
+    before at that step; ``base``: the log probability of the steps before it.
+
+    Every step's set gets its value; of one path no more than the k + 1 best sets are ever opened or give
+    the threshold, so those are queued.
+    """
+    k, n = searches[0].k, len(searches[0].paths) + 1
+    arcs = [p.arcs[t:] for p, t in zip(paths, since, strict=True)]
+    length = np.array([len(a) for a in arcs])
+    start = np.cumsum(length) - length
+    flat = np.concatenate(arcs)
+    step = np.arange(len(flat)) - np.repeat(start - np.array(since), length)
+    log_p, rest = lattice.log_p[flat], lattice.log_rest[flat]
+    before = np.empty(len(flat))
+    for a, m, p, t, x, b in zip(start.tolist(), length.tolist(), paths, since, shut, base, strict=True):
+        own = log_p[a : a + m - 1]
+        before[a] = b
+        np.cumsum(own, out=before[a + 1 : a + m])
+        if b:
+            before[a + 1 : a + m] += b
+        if x:
+            rest[a] = _rest(lattice, p, t, x)
+    bound, key = np.repeat([p.value for p in paths], length), np.repeat(mix(keys), length)
+    value = np.empty(len(flat))
+    for at in range(0, len(flat), DRAW_PART):
+        cut = slice(at, at + DRAW_PART)
+        u = _uniform(key[cut], (step[cut].astype(U) << U(8)) + U(n + (1 << 50)))
+        value[cut] = truncated(bound[cut], before[cut] + rest[cut], u)
+    for search, path, a, m, t, x in zip(searches, paths, start.tolist(), length.tolist(), since, shut, strict=True):
+        search.paths.append(path)
+        own = value[a : a + m]
+        top = np.argpartition(own, m - k - 1)[m - k - 1 :] if m > k + 1 else np.arange(m)
+        search.push(path, (top + t).tolist(), own[top].tolist(), before[a + top].tolist(), t, x)
+
+
+def _choices(lattice: Lattice, state: int, shut: Sequence[int]) -> list[int]:
+    first = int(lattice.first[state])
+    return [a for a in range(first, first + int(lattice.count[state])) if a not in shut]
+
+
+def _rest(lattice: Lattice, path: Path, t: int, shut: tuple) -> float:
+    left = _choices(lattice, int(path.states[t]), (*shut, int(path.arcs[t])))
+    return float(np.log(np.exp(lattice.log_p[left]).sum())) if left else -np.inf
 
 
 def sample_batch(texts: list[str], keys: np.ndarray, pieces: Pieces, k: int) -> Iterator[list[tuple]]:
     """For each normalised text its samples: (ids' arcs as piece numbers, log p, value, log inclusion)."""
     split = [[t] if pieces.whole and t else WORDS.findall(t) for t in texts]
-    number: dict[str, int] = {w: i for i, w in enumerate(set().union(*split))}
-    lattice = build_lattice(list(number), pieces)
-    slots = [np.fromiter(map(number.__getitem__, w), np.int64, len(w)) for w in split]
-    size = np.array([len(s) for s in slots])
-    flat = np.concatenate(slots) if len(slots) else np.zeros(0, np.int64)
+    # Equal words share a lattice.
+    words = pa.array(list(chain.from_iterable(split)), pa.string()).dictionary_encode()
+    lattice = build_lattice(words.dictionary.to_pylist(), pieces)
+    flat = words.indices.to_numpy().astype(np.int64)
+    size = np.array([len(s) for s in split], np.int64)
     row = np.repeat(np.arange(len(texts)), size)
     place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-    searches = [Search(int(x), k) for x in keys]
+    searches = [Search(k) for _ in texts]
 
     arcs, states, count = draw(lattice, lattice.first_state[flat], keys[row], place)
-    for r, (a, s, c) in enumerate(_by_row(arcs, states, count, size)):
-        top = float(-np.log(-np.log(uniform(keys[r : r + 1], np.array([2**60]))[0])))
-        searches[r].add(lattice, Path(top, a, s, np.cumsum(c)), 0, {})
+    tops = -np.log(-np.log(uniform(keys, np.full(len(keys), 2**60))))
+    paths = [Path(float(v), a, s, np.cumsum(c)) for v, (a, s, c) in zip(tops, _by_row(arcs, states, count, size), strict=True)]
+    some = [r for r, path in enumerate(paths) if len(path.arcs)]
+    for r in set(range(len(texts))) - set(some):
+        searches[r].paths.append(paths[r])
+    if some:
+        zeros = [0] * len(some)
+        queue_siblings(lattice, [searches[r] for r in some], keys[some], [paths[r] for r in some], zeros, [()] * len(some), zeros)
+    begin = np.cumsum(size) - size
     for n in range(1, k):
-        opened = []  # row, value, head of the path, word and state to go on from, shut choices
+        opened = []  # row, value, the path left, step, shut choices, choice, its word, log probability before
+        us = uniform(keys, np.full(len(keys), (n << 40) + 7)).tolist()
         for r, search in enumerate(searches):
             if search.queue and len(search.paths) == n:
-                v, p, t, others = heapq.heappop(search.queue)
+                v, p, t, others, base = heapq.heappop(search.queue)
                 path = search.paths[p]
-                s = int(path.states[t])
-                options = [a for a in range(lattice.first[s], lattice.first[s] + _n_choices(lattice, s)) if a not in others]
+                options = _choices(lattice, int(path.states[t]), others)
                 weight = np.cumsum(np.exp(lattice.log_p[options]))
-                u = uniform(keys[r : r + 1], np.array([(n << 40) + 7]))[0] * weight[-1]
-                arc = options[min(len(options) - 1, int(np.searchsorted(weight, u, "right")))]
+                arc = options[min(len(options) - 1, int(np.searchsorted(weight, us[r] * weight[-1], "right")))]
                 word = int(np.searchsorted(path.words, t, "right"))
-                opened.append((r, -v, path, t, others, arc, word))
+                opened.append((r, -v, path, t, others, arc, word, base))
         if not opened:
             break
-        begin = np.cumsum(size) - size
         rest = [flat[begin[o[0]] + o[6] : begin[o[0]] + size[o[0]]] for o in opened]
         lengths = np.array([len(x) for x in rest])
         state = lattice.first_state[np.concatenate(rest)]
-        state[np.cumsum(lengths) - lengths] = [int(lattice.follows[o[5]]) for o in opened]
+        state[np.cumsum(lengths) - lengths] = lattice.follows[[o[5] for o in opened]]
         owner = np.repeat(np.array([o[0] for o in opened]), lengths)
         at = np.arange(len(state)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat([o[6] for o in opened], lengths)
         arcs, states, count = draw(lattice, state, keys[owner] ^ U(n), at)
+        new = []
         for o, (a, s, c) in zip(opened, _by_row(arcs, states, count, lengths), strict=True):
-            r, value, path, t, others, arc, word = o
-            done = path.words[:word]
-            own = np.r_[path.arcs[:t], arc, a]
-            head = t + 1 + np.cumsum(c)
-            new = Path(value, own, np.r_[path.states[: t + 1], s], np.r_[done, head])
-            searches[r].add(lattice, new, t, {t: others})
+            _, value, path, t, _, arc, word, _ = o
+            own = np.concatenate([path.arcs[:t], [arc], a])
+            ends = np.concatenate([path.words[:word], t + 1 + np.cumsum(c)])
+            new.append(Path(value, own, np.concatenate([path.states[: t + 1], s]), ends))
+        queue_siblings(
+            lattice, [searches[o[0]] for o in opened], keys[[o[0] for o in opened]], new, [o[3] for o in opened], [o[4] for o in opened], [o[7] for o in opened]
+        )
     for search in searches:
         threshold = -search.queue[0][0] if search.queue and len(search.paths) == k else None
         out = []
@@ -337,19 +457,26 @@ def _by_row(arcs: np.ndarray, states: np.ndarray, count: np.ndarray, words: np.n
         yield arcs[ends[r] : ends[r + 1]], states[ends[r] : ends[r + 1]], count[word_ends[r] : word_ends[r + 1]]
 
 
-def spelled(chosen: np.ndarray, pieces: Pieces) -> np.ndarray:
-    """Piece ids; choices below zero are characters to be spelled."""
-    if not len(chosen) or chosen.min() >= 0:
-        return chosen.astype(np.int32)
-    out: list[int] = []
-    for c in chosen.tolist():
-        if c >= 0:
-            out.append(c)
-        elif pieces.bytes:
-            out += [pieces.bytes[b] for b in chr(-1 - c).encode("utf-8", "replace")]
-        else:
-            out.append(pieces.unknown)
-    return np.array(out, np.int32)
+def spelled(chosen: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Piece ids, and how many each choice gives; choices below zero are characters to be spelled."""
+    bare = np.flatnonzero(chosen < 0)
+    count = np.ones(len(chosen), np.int64)
+    if not len(bare):
+        return chosen.astype(np.int32), count
+    points, which = np.unique(chosen[bare], return_inverse=True)
+    if pieces.bytes:
+        spellings = [[pieces.bytes[b] for b in chr(-1 - int(c)).encode("utf-8", "replace")] for c in points]
+    else:
+        spellings = [[pieces.unknown]] * len(points)
+    count[bare] = np.array([len(x) for x in spellings])[which]
+    start = np.cumsum(count) - count
+    out = np.zeros(int(count.sum()), np.int32)
+    out[start] = chosen
+    for n, ids in enumerate(spellings):
+        at = start[bare[which == n]]
+        for j, i in enumerate(ids):
+            out[at + j] = i
+    return out, count
 
 
 _pieces: dict[str, Pieces] = {}
@@ -360,11 +487,11 @@ def sample_segmentations(
 ) -> DataFrame:
     """Up to k distinct segmentations a row: key, sample, n_pieces, log_prob, perturbed, log_inclusion,
     ids_crc32 (of little-endian 32-bit ids), decodes (whether decoding gives the normalised text), ids."""
-    fields = [
+    columns = [
         ("doc_id", pa.int64()), ("sample", pa.int32()), ("n_pieces", pa.int64()), ("log_prob", pa.float64()),
         ("perturbed", pa.float64()), ("log_inclusion", pa.float64()), ("ids_crc32", pa.int64()), ("decodes", pa.bool_()),
     ] + [("ids", pa.list_(pa.int32()))] * with_ids
-    schema = pa.schema(fields)
+    schema = pa.schema(columns)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if model_path not in _pieces:
@@ -375,12 +502,22 @@ def sample_segmentations(
                 ids = batch.column(0)[part].to_pylist()
                 texts = [pieces.normalize(t or "") for t in batch.column(1)[part].to_pylist()]
                 keys = np.array([(1 << 63) + 1 if i is None else i & (2**64 - 1) for i in ids], U)
+                samples = list(sample_batch(texts, keys, pieces, k))
+                # All samples of a batch are spelled and decoded together.
+                flat, spells = spelled(np.concatenate([c[0] for own in samples for c in own]), pieces)
+                raw, widths = pieces.decoded(flat)
+                piece_ends, byte_ends = np.r_[0, np.cumsum(spells)], np.r_[0, np.cumsum(widths)]
                 rows: list[tuple] = []
-                for doc_id, text, samples in zip(ids, texts, sample_batch(texts, keys, pieces, k), strict=True):
-                    for n, (chosen, log_p, value, inclusion) in enumerate(samples, 1):
-                        out = spelled(chosen, pieces)
-                        row = (doc_id, n, len(out), log_p, value, inclusion, zlib.crc32(out.astype("<u4").tobytes()))
-                        rows.append((*row, pieces.decode(out) == text, *([out] if with_ids else [])))
+                choice = 0
+                for doc_id, text, own in zip(ids, texts, samples, strict=True):
+                    text_bytes = text.encode()
+                    for n, (chosen, log_p, value, inclusion) in enumerate(own, 1):
+                        a, b = int(piece_ends[choice]), int(piece_ends[choice + len(chosen)])
+                        choice += len(chosen)
+                        out = flat[a:b]
+                        decodes = raw[byte_ends[a] : byte_ends[b]] == text_bytes
+                        row = (doc_id, n, b - a, log_p, value, inclusion, zlib.crc32(out.astype("<u4").tobytes()), decodes)
+                        rows.append((*row, out) if with_ids else row)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     rows_in = df.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"cast(`{text_col}` as string) text")
