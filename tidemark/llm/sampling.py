@@ -43,7 +43,7 @@ SAMPLES = 3
 SHARPNESS = 1.0
 BYTE_WEIGHT = -14.0
 UNKNOWN_WEIGHT = -20.0
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 LATTICE_PART, DRAW_PART = 20_000, 20_000
 SPACE = "▁"
 WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
