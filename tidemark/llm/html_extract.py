@@ -21,7 +21,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import ship
+from .common import ship, tidy
 
 # Names of elements and words of class, id and role, as HTML and common usage have them.
 BLOCK_TAGS = frozenset(
@@ -333,4 +333,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     ship(pages.sparkSession)
     rows = pages.selectExpr("cast(page_id as bigint) page_id", "cast(url as string) url", "cast(html as string) html")
-    return rows.mapInArrow(extract, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(tidy(extract), "page_id long, url string, text string, n_chars long")

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, tidy
 
 ORDERS = (1, 2, 3, 4)
 RANGE_BITS = 13
@@ -242,7 +242,7 @@ def identify(df: DataFrame, model: Model | None = None) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores)], schema=schema
             )
 
-    return rows.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(tidy(predict), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def accept_languages(df: DataFrame, model: Model | None = None) -> DataFrame:
@@ -268,4 +268,4 @@ def accept_languages(df: DataFrame, model: Model | None = None) -> DataFrame:
                     keep[some] = [model.familiar(found[i], model.languages.index(n)) for i, n in zip(some, names, strict=True)]
                 yield part.filter(pa.array(keep))
 
-    return df.mapInArrow(accept, df.schema)
+    return df.mapInArrow(tidy(accept), df.schema)

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HIT_SETTINGS, join_counted, materialize, settings, ship
+from .common import HIT_SETTINGS, join_counted, materialize, settings, ship, tidy, trim
 from .components import connected_components
 from .packing import slices
 from .word_hash import hashed_words, mix
@@ -157,7 +157,7 @@ class Points:
         self.vectors, self.similarity = vectors, similarity
         self.size = [int(v.sum(dtype=np.int64)) for v in vectors]
         n = min([DIMENSIONS, *(len(v) for v in vectors)])
-        self.common = np.stack([folded(v, n) for v in vectors]).astype(np.uint32)
+        self.common = np.stack([folded(v, n) for v in vectors])
         self.folds = any(len(v) != n for v in vectors)
 
     def may_link(self, i: int, j: int) -> bool:
@@ -204,7 +204,7 @@ class CountRTree:
     def __init__(self, counts: np.ndarray):
         self.counts = counts
         self.size = self.counts.sum(axis=1, dtype=np.int64)
-        spread = self.counts.std(axis=0)
+        spread = self.counts[:: max(1, len(counts) // 1000)].std(axis=0)  # an order only, any would do
         main = np.argsort(-spread)[:2]
         slab = self.size if len(counts) < FANOUT * FANOUT else np.argsort(np.argsort(self.size)) // (FANOUT * FANOUT)
         self.order = np.lexsort((self.counts[:, main[1]], self.counts[:, main[0]] // 4, slab))
@@ -327,7 +327,7 @@ def set_rows(df: DataFrame, width: int) -> DataFrame:
                 )
 
     ship(df.sparkSession)
-    return df.mapInArrow(build, "doc_id long, n_shingles long, s1 long, s2 long, vec binary")
+    return df.mapInArrow(tidy(build), "doc_id long, n_shingles long, s1 long, s2 long, vec binary")
 
 
 def key_rows(df: DataFrame, width: int, similarity: Similarity) -> DataFrame:
@@ -350,7 +350,7 @@ def key_rows(df: DataFrame, width: int, similarity: Similarity) -> DataFrame:
                         [_signed(np.concatenate(keys)), _signed(np.concatenate(owners))], names=["key", "s1"]
                     )
 
-    return df.select("doc_id", "text").mapInArrow(build, "key long, s1 long")
+    return df.select("doc_id", "text").mapInArrow(tidy(build), "key long, s1 long")
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
@@ -393,7 +393,7 @@ def shared_keys(keys: DataFrame) -> DataFrame:
                 [pa.array(key[cut]), pa.array(s1[cut]), pa.array(each[cut])], names=["key", "s1", "n"]
             )
 
-    return keys.repartition("key").mapInArrow(shared, "key long, s1 long, n long")
+    return keys.repartition("key").mapInArrow(tidy(shared), "key long, s1 long, n long")
 
 
 def in_parts(rows: DataFrame, group: str, parts, member: str) -> DataFrame:
@@ -432,6 +432,9 @@ def bound_links(shared: DataFrame, vectors: DataFrame, similarity: Similarity) -
         points = Points([unpacked(v) for v in table.column("vec").to_pylist()], similarity)
         found = linked(points.common, similarity, points.may_link)
         a, b = (np.array([s1[f[k]] for f in found], np.int64) for k in (0, 1))
+        if table.num_rows > LEAF_ONLY:
+            del points
+            trim()
         return pa.table({"a": a, "b": b})
 
     large = in_parts(shared.where(F.col("n") > SMALL_BUCKET).distinct(), "key", F.ceil(F.col("n") / SPLIT), "s1")
@@ -456,7 +459,7 @@ def member_sets(members: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*rows.columns, arrays], names=[*MEMBER, "shingles"]).filter(pa.array(keep))
 
     schema = "block long, i int, j int, doc_id long, s1 long, s2 long, shingles binary"
-    return members.select("text", *MEMBER).mapInArrow(build, schema)
+    return members.select("text", *MEMBER).mapInArrow(tidy(build), schema)
 
 
 MEMBER = ["block", "i", "j", "doc_id", "s1", "s2"]
@@ -482,6 +485,10 @@ def verified_links(members: DataFrame, similarity: Similarity) -> DataFrame:
 
         found = linked(points.common, similarity, similar)
         a, b = (np.array([ids[f[k]] for f in found], np.int64) for k in (0, 1))
+        if table.num_rows > LEAF_ONLY:
+            sets.clear()
+            rows.clear()
+            trim()
         return pa.table({"a": a, "b": b})
 
     return members.groupBy("block", "i", "j").applyInArrow(verify, "a long, b long")

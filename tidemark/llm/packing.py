@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import ship
+from .common import ship, tidy
 
 TIERS = (2048, 1024, 512, 256)
 END_ID = 1
@@ -324,4 +324,4 @@ def pack_documents(
 
     ship(df.sparkSession)
     rows_in = df.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"cast(`{text_col}` as string) text")
-    return rows_in.mapInArrow(pack, SCHEMA + ", ids array<int>" * with_ids)
+    return rows_in.mapInArrow(tidy(pack), SCHEMA + ", ids array<int>" * with_ids)

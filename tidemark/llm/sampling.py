@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import ship
+from .common import ship, tidy
 from .packing import slices
 from .word_hash import mix
 
@@ -526,4 +526,4 @@ def sample_segmentations(
         "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, log_inclusion double, "
         "ids_crc32 long, decodes boolean" + ", ids array<int>" * with_ids
     )
-    return rows_in.mapInArrow(build, shape)
+    return rows_in.mapInArrow(tidy(build), shape)

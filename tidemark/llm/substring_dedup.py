@@ -25,14 +25,14 @@ empty result; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HIT_SETTINGS, fresh_path, materialize, settings, ship
+from .common import HIT_SETTINGS, fresh_path, materialize, settings, ship, tidy
 from .ngram_jaccard import MULT, U, _id_text, _signed
 from .packing import slices
 from .word_hash import hashed_words, mix
@@ -95,7 +95,7 @@ def seed_rows(docs: DataFrame, k: int, inner: int) -> DataFrame:
                 )
 
     ship(docs.sparkSession)
-    return docs.mapInArrow(build, "seed long, doc_id long, at int")
+    return docs.mapInArrow(tidy(build), "seed long, doc_id long, at int")
 
 
 class PrefixMaximum:
@@ -180,8 +180,9 @@ def chain_rows(matches: DataFrame, k: int) -> DataFrame:
         first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (source[1:] != source[:-1])])
         last = np.r_[first[1:], len(doc)]
         rows: list[tuple] = []
+        lists, whole = pa.list_(pa.list_(pa.int32())), pa.int32()
         schema = pa.schema(
-            [("doc_id", pa.int64()), ("source", pa.int64()), ("xs", pa.list_(pa.int32())), ("ys", pa.list_(pa.int32()))]
+            [("doc_id", pa.int64()), ("source", pa.int64()), ("low", whole), ("high", whole), ("s_low", whole), ("s_high", whole), ("xs", lists), ("ys", lists)]
         )
 
         def flush() -> pa.RecordBatch:
@@ -191,14 +192,37 @@ def chain_rows(matches: DataFrame, k: int) -> DataFrame:
 
         for a, b in zip(first.tolist(), last.tolist(), strict=True):
             x, y = at[a:b], source_at[a:b]
-            for c in chains(x, y):
-                rows.append((doc[a], source[a], x[c], y[c]))
+            for near in neighbours([(x[c].tolist(), y[c].tolist()) for c in chains(x, y)]):
+                xs, ys = zip(*near, strict=True)
+                rows.append((doc[a], source[a], *_reach(xs, k), *_reach(ys, k), list(xs), list(ys)))
             if len(rows) >= 5000:
                 yield flush()
         if rows:
             yield flush()
 
-    return matches.repartition("doc_id").mapInArrow(build, "doc_id long, source long, xs array<int>, ys array<int>")
+    shape = "doc_id long, source long, low int, high int, s_low int, s_high int, xs array<array<int>>, ys array<array<int>>"
+    return matches.repartition("doc_id").mapInArrow(tidy(build), shape)
+
+
+def neighbours(found: list[tuple[list[int], list[int]]]) -> list[list[tuple[list[int], list[int]]]]:
+    """Chains of two documents put together where the words around them overlap, as those of a line that
+    one of them repeats do; together they are no longer than the words around each."""
+    out: list[list] = []
+    end = low = high = 0
+    for x, y in sorted(found):
+        if out and x[0] <= end and max(high, y[-1]) - min(low, y[0]) <= 4 * PAD and len(out[-1]) < 1000:
+            out[-1].append((x, y))
+        else:
+            out.append([(x, y)])
+            end, low, high = 0, y[0], y[-1]
+        end, low, high = max(end, x[-1] + 2 * PAD), min(low, y[0]), max(high, y[-1])
+    return out
+
+
+def _reach(places: Sequence[list[int]], step: int) -> tuple[int, int]:
+    """The words around chains, on a grid."""
+    low, high = max(0, min(p[0] for p in places) - PAD), max(p[-1] for p in places) + PAD + step
+    return low // GRID * GRID, -(-high // GRID) * GRID
 
 
 def common_length(a: list[int], b: list[int]) -> int:
@@ -319,12 +343,6 @@ def similar_parts(a: np.ndarray, b: np.ndarray, x: list[int], y: list[int], k: i
     return out
 
 
-def _reach(places: str, step: int):
-    low = F.greatest(F.lit(0), F.element_at(places, 1) - PAD)
-    high = F.element_at(places, -1) + PAD + step
-    return (F.floor(low / GRID) * GRID).cast("int"), (F.ceil(high / GRID) * GRID).cast("int")
-
-
 def word_slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The word hashes (32 bits) of the wanted (doc_id, low, high)."""
     lists = wanted.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("cuts"))
@@ -350,14 +368,12 @@ def word_slices(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     # A document's cuts are on a grid, so they are bounded by its length; the condition lets Spark
     # filter the texts by a Bloom filter before the exchange.
     joined = docs.join(lists.where(F.size("cuts") > 0), "doc_id").select("doc_id", "text", "cuts")
-    return joined.mapInArrow(cut, "doc_id long, low int, high int, words binary")
+    return joined.mapInArrow(tidy(cut), "doc_id long, low int, high int, words binary")
 
 
 def aligned(chain_table: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """The aligned pieces of each chain that are similar enough."""
-    low, high = _reach("xs", k)
-    source_low, source_high = _reach("ys", k)
-    placed = chain_table.select("*", low.alias("low"), high.alias("high"), source_low.alias("s_low"), source_high.alias("s_high"))
+    placed = chain_table
     wanted = placed.select("doc_id", "low", "high").union(placed.select("source", "s_low", "s_high"))
     with settings(docs.sparkSession, HIT_SETTINGS):
         cuts = materialize(word_slices(docs, wanted), "passage-words")
@@ -369,17 +385,18 @@ def aligned(chain_table: DataFrame, docs: DataFrame, k: int) -> DataFrame:
             out: list[tuple] = []
             for r in batch.to_pylist():
                 a, b = np.frombuffer(r["words"], np.uint32), np.frombuffer(r["s_words"], np.uint32)
-                x, y = [v - r["low"] for v in r["xs"]], [v - r["s_low"] for v in r["ys"]]
-                out.extend(
-                    (r["doc_id"], x0 + r["low"], x1 + r["low"], r["source"], y0 + r["s_low"], y1 + r["s_low"], n)
-                    for x0, x1, y0, y1, n in similar_parts(a, b, x, y, k)
-                )
+                for xs, ys in zip(r["xs"], r["ys"], strict=True):
+                    x, y = [v - r["low"] for v in xs], [v - r["s_low"] for v in ys]
+                    out.extend(
+                        (r["doc_id"], x0 + r["low"], x1 + r["low"], r["source"], y0 + r["s_low"], y1 + r["s_low"], n)
+                        for x0, x1, y0, y1, n in similar_parts(a, b, x, y, k)
+                    )
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
             cols = list(zip(*out)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=PIECE_NAMES)
 
     wide = both.select("doc_id", "low", "xs", "words", "source", "s_low", "ys", "s_words")
-    return wide.mapInArrow(build, PIECE_SCHEMA)
+    return wide.mapInArrow(tidy(build), PIECE_SCHEMA)
 
 
 PIECE_SCHEMA = (
@@ -488,4 +505,4 @@ def without_passages(df: DataFrame, found: DataFrame) -> DataFrame:
             cols = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(columns))]
             yield pa.RecordBatch.from_arrays(cols, names=columns).filter(pa.array(keep, pa.bool_()))
 
-    return joined.select(*columns, "cut").mapInArrow(cut, numbered.schema).toDF(*df.columns)
+    return joined.select(*columns, "cut").mapInArrow(tidy(cut), numbered.schema).toDF(*df.columns)
