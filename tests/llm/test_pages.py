@@ -5,7 +5,7 @@ import random
 from collections import defaultdict
 
 from tidemark.llm.common import fresh_path, materialize
-from tidemark.llm.html_extract import extract_pages, main_text, minimum_cut
+from tidemark.llm.html_extract import blocks_of, edges_of, extract_pages, log_odds, main_text, minimum_cut
 from tidemark.llm.warc import archive_round_trip, assemble, capture_records, parse_archive, read_archives, write_archives
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; U</title><style>p{}</style><script>var a="</p><p>no";</script>
@@ -28,6 +28,70 @@ def test_main_text():
     assert main_text(f"<article>{many}</article>").count("\n\n") == 4999
 
 
+ONE = "The first paragraph of the article says a good deal in one long sentence, as articles do."
+TWO = "The second paragraph goes on in the same way, and it ends with a full stop as well."
+BODY = f"<p>{ONE}</p><p>{TWO}</p>"
+WANT = f"{ONE}\n\n{TWO}"
+MUCH = "".join(f"<p>Something else number {i} that has many words and reads like the text of an article.</p>" for i in range(40))
+
+
+def test_wrappers_with_boilerplate_words():
+    for page in (
+        f'<div class="page has-sidebar">{BODY}</div>',
+        f'<div id="search-main">{BODY}</div>',
+        f'<div class="post comments"><article>{BODY}</article></div>',
+        f'<div class="widget"><div class="content">{BODY}</div><div class="related">{MUCH}</div></div>'.replace(MUCH, "<p>Read this too</p>"),
+        f'<form id="page"><nav><a href="/">Home page of this site with its eight or more words</a></nav>{BODY}</form>',
+        f'<div class="no-sidebar banner-top"><p>Ours</p><div class="wrap subscribe">{BODY}</div></div>',
+    ):
+        assert main_text(page).endswith(WANT), page
+
+
+def test_boilerplate_stays_boilerplate_inside():
+    for extra in (
+        '<div class="related"><article><h2>Another</h2><p>Another article that has a teaser of its own here.</p></article></div>',
+        f'<div class="advert"><div class="content">{MUCH}</div></div>',
+        f'<div class="post-comment-list"><div class="entry">{MUCH}</div></div>',
+        f'<section id="comments"><article>{MUCH}</article></section>',
+        f"<aside><main>{MUCH}</main></aside>",
+        f'<form class="signup"><h1>Join</h1>{MUCH}</form>',
+        '<b style="display: none">hidden text that nobody sees on the page at all</b>',
+        '<span hidden>a <span>nested</span> and hidden text that nobody sees</span>',
+        '<em aria-hidden="true">also hidden, with <i>more</i> in it</em>',
+    ):
+        assert main_text(f"<article>{BODY}{extra}</article>") == WANT, extra
+        assert main_text(f"<article>{BODY}</article>{extra}") == WANT, extra
+    assert main_text(f"<p>{ONE} <b hidden>never closed</p><p>{TWO}</p>").startswith(ONE)
+
+
+def test_whole_pages_are_cut_at_least_cost():
+    rng = random.Random(8)
+    tags = ['<div class="ad">', '<div class="content">', "<article>", "<div>", "<aside>", '<div class="related">', "<section>"]
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 9)):
+            tag = rng.choice(tags)
+            words = " ".join(["word"] * rng.randint(1, 30)) + rng.choice([".", ""])
+            body = f"<p>{words}</p>" if rng.random() < 0.7 else f'<p><a href="/">{words}</a></p>'
+            parts.append(f"{tag}{body}</{tag[1:].split(' ')[0].rstrip('>')}>")
+        page = "".join(parts)
+        blocks = blocks_of(page)
+        odds, edges = [log_odds(b) for b in blocks], edges_of(blocks)
+
+        def cost(keep, odds=odds, edges=edges):
+            own = sum(max(z, 0) if not k else max(-z, 0) for z, k in zip(odds, keep))
+            return own + sum(c for a, b, c in edges if keep[a] != keep[b])
+
+        best = min(itertools.product([False, True], repeat=len(blocks)), key=cost)
+        text = "\n\n".join(b.text for b, k in zip(blocks, minimum_cut(odds, edges)) if k)
+        assert main_text(page) == text and abs(cost(minimum_cut(odds, edges)) - cost(best)) < 1e-9
+
+
+def test_long_page():
+    page = f"<article>{'<div>' * 3000}<p>{'Many words here. ' * 100_000}</p>{'<span hidden>' * 2000}</article>"
+    assert len(main_text(page)) == 1_699_999
+
+
 def test_cut_is_minimal():
     rng = random.Random(5)
     for _ in range(60):

@@ -6,7 +6,14 @@ cost of calling it boilerplate: the capacities to the two terminals. Neighbourin
 adjacency edges, blocks of one container by edges that weaken with their distance in the tree. The
 minimum cut separates content from boilerplate; the content blocks in page order are the text.
 
-Edge cases: null or empty html gives an empty text; unclosed, crossed and cut-off tags are read on
+Class and id words name boilerplate, but a wrapper of the whole page may have such a word too
+(``search-main``, ``post comments``). So where no element speaks of content, and nearly no text is left
+outside of elements that are boilerplate by their words alone (or forms), there is a wrapper: the one with an article,
+a main element or a first heading in it, else that with most text, counts as any other, and what is in
+it is looked at again. Inside of boilerplate everything is boilerplate, articles and headings too.
+
+Edge cases: null or empty html gives an empty text; very long pages are read whole, batches being cut
+by their size; unclosed, crossed and cut-off tags are read on
 as browsers do; an empty table gives an empty result; page_id and url are carried as they are, null
 or repeated; other columns are ignored, whatever their names.
 """
@@ -22,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import ship, tidy
+from .packing import slices
 
 # Names of elements and words of class, id and role, as HTML and common usage have them.
 BLOCK_TAGS = frozenset(
@@ -44,6 +52,8 @@ BOILERPLATE_WORDS = frozenset(
     "copyright disclaimer skip".split()
 )
 FIRM_WORDS = frozenset("comment comments sidebar disqus".split())
+COMMENT_WORDS = frozenset("comment comments disqus respond replies".split())
+MODIFIERS = ("has-", "with-", "no-", "without-", "is-", "hide-", "show-")  # of an element that is not the thing itself
 CONTENT_WORDS = frozenset("article content main post entry story".split())
 BOILERPLATE_ROLES = frozenset(
     "navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split()
@@ -55,6 +65,8 @@ WEIGHTS = {
     "links": -6.0, "sentence": 0.8, "heading": 0.6,
 }
 ADJACENT, NEAR = 0.4, 1.2
+# A block of prose has so many words; less than this share of an element's prose is nearly nothing.
+PROSE_WORDS, NEARLY_NOTHING = 8, 0.05
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -68,14 +80,25 @@ ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?"""
 CAPITAL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 WORD_GAP = re.compile(r"[^a-z0-9]+")
 NEUTRAL, CONTENT, BOILER, FIRM, HEADER = 0, 1, 2, 3, 4
+MOST_WRAPPERS = 20
 
 
 class Block:
-    __slots__ = ("text", "links", "place", "heading", "container", "depth")
+    __slots__ = ("text", "links", "place", "heading", "container", "depth", "element")
 
-    def __init__(self, text: str, links: int, place: int, heading: bool, container: int, depth: int):
-        self.text, self.links, self.place, self.heading = text, links, place, heading
-        self.container, self.depth = container, depth
+    def __init__(self, text: str, links: int, heading: bool, container: int, depth: int, element: int):
+        self.text, self.links, self.place, self.heading = text, links, NEUTRAL, heading
+        self.container, self.depth, self.element = container, depth, element
+
+
+class Element:
+    """A block element: the one around it, what it says of its place, and whether by words alone."""
+
+    __slots__ = ("parent", "kind", "plain", "by_words", "comments", "marks", "prose", "place")
+
+    def __init__(self, parent: int, kind: int, plain: int, by_words: bool, comments: bool, marks: bool):
+        self.parent, self.kind, self.plain, self.by_words = parent, kind, plain, by_words
+        self.comments, self.marks, self.prose, self.place = comments, marks, 0, NEUTRAL
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -88,50 +111,96 @@ def _attributes(source: str) -> dict[str, str]:
     return out
 
 
-def _kind(tag: str, attrs: dict[str, str]) -> tuple[int, bool]:
-    """What an element says of its place, and whether it is hidden."""
+def _hidden(attrs: dict[str, str]) -> bool:
     style = attrs.get("style", "").replace(" ", "").lower()
-    hidden = (
+    return (
         "hidden" in attrs
         or attrs.get("aria-hidden", "").lower() == "true"
         or "display:none" in style
         or "visibility:hidden" in style
     )
+
+
+def _kind(tag: str, attrs: dict[str, str]) -> tuple[int, int, bool, bool]:
+    """What an element says of its place; the same without boilerplate words; whether those alone say so;
+    whether they speak of comments."""
     if tag in ("html", "body"):
-        return NEUTRAL, hidden
+        return NEUTRAL, NEUTRAL, False, False
     role = attrs.get("role", "").lower()
-    names = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-    whole = {n.lower() for n in names.split()}
-    if tag in FIRM_TAGS or whole & FIRM_WORDS:
-        return FIRM, hidden
-    if role in BOILERPLATE_ROLES:
-        return BOILER, hidden
+    if tag in FIRM_TAGS:
+        return FIRM, FIRM, False, False
+    if role in BOILERPLATE_ROLES or tag in BOILERPLATE_TAGS and tag != "form":
+        return BOILER, BOILER, False, False
+    tokens = [t for t in f"{attrs.get('class', '')} {attrs.get('id', '')}".split() if not t.lower().startswith(MODIFIERS)]
+    whole = {t.lower() for t in tokens}
+    words = set(WORD_GAP.split(CAPITAL.sub("-", " ".join(tokens)).lower()))
+    if tag in CONTENT_TAGS or role in ("main", "article") or words & CONTENT_WORDS:
+        plain = CONTENT
+    else:
+        plain = HEADER if tag == "header" or "header" in whole else NEUTRAL
+    if whole & FIRM_WORDS:
+        return FIRM, plain, True, bool(words & COMMENT_WORDS)
     if tag in CONTENT_TAGS or role in ("main", "article"):
-        return CONTENT, hidden
-    words = set(WORD_GAP.split(CAPITAL.sub("-", names).lower())) if names != " " else set()
-    if tag in BOILERPLATE_TAGS or words & BOILERPLATE_WORDS:
-        return BOILER, hidden
-    if tag == "header" or "header" in whole:
-        return HEADER, hidden
-    return (CONTENT if words & CONTENT_WORDS else NEUTRAL), hidden
+        return CONTENT, plain, False, False
+    if tag == "form" or words & BOILERPLATE_WORDS:
+        return BOILER, plain, True, bool(words & COMMENT_WORDS)
+    return plain, plain, False, False
 
 
 def _place(before: int, kind: int) -> int:
-    """Place inside an element of this kind: what is firm stays; a header counts only outside content."""
-    if before == FIRM or kind == NEUTRAL:
+    """Place inside an element of this kind: boilerplate stays; a header counts only outside content."""
+    if before in (FIRM, BOILER) or kind == NEUTRAL:
         return before
     if kind == HEADER:
-        return before if before in (CONTENT, BOILER) else HEADER
+        return before if before == CONTENT else HEADER
     return kind
 
 
+def settle_places(blocks: list[Block], elements: list[Element]) -> None:
+    """Give each block its place; elements come in page order, each after the one around it."""
+    prose = [len(b.text) - b.links if b.text.count(" ") + 1 >= PROSE_WORDS else 0 for b in blocks]
+    for b, n in zip(blocks, prose, strict=True):
+        elements[b.element].prose += n
+    for e in reversed(elements[1:]):
+        elements[e.parent].prose += e.prose
+        elements[e.parent].marks |= e.marks
+    top = [0] * len(elements)  # the outermost boilerplate element around each, or 0
+    for _ in range(MOST_WRAPPERS):
+        for i, e in enumerate(elements[1:], 1):
+            e.place = _place(elements[e.parent].place, e.kind)
+            top[i] = top[e.parent] or (i if e.kind in (BOILER, FIRM) else 0)
+        if any(elements[b.element].place == CONTENT for b in blocks):
+            break
+        clean = sum(n for b, n in zip(blocks, prose, strict=True) if not top[b.element])
+        wrappers = {i for i in top if i and elements[i].by_words and (elements[i].marks or not elements[i].comments)}
+        wrappers = [i for i in wrappers if elements[i].prose * NEARLY_NOTHING > clean]
+        if not wrappers:
+            break
+        best = max(wrappers, key=lambda i: (elements[i].marks, elements[i].prose, -i))
+        elements[best].kind, elements[best].by_words = elements[best].plain, False
+    for b in blocks:
+        b.place = elements[b.element].place
+
+
+def _inline_end(html: str, at: int, name: str) -> int:
+    """Where the inline element that is open at this place ends; the place itself if it is never closed."""
+    depth = 1
+    for m in re.compile(rf"<(/?){re.escape(name)}(?=[\s/>])[^>]*>", re.I).finditer(html, at):
+        depth += -1 if m[1] else 1
+        if not depth:
+            return m.end()
+    return at
+
+
 def blocks_of(html: str) -> list[Block]:
     """The text blocks of a page, in page order."""
     out: list[Block] = []
-    # Open elements: tag, place, skipped, number of the element.
-    stack: list[tuple[str, int, bool, int]] = [("", NEUTRAL, False, 0)]
+    elements = [Element(0, NEUTRAL, NEUTRAL, False, False, False)]
+    # Open elements: tag, skipped, number of the element.
+    stack: list[tuple[str, bool, int]] = [("", False, 0)]
     parts: list[str] = []
-    links, in_link, heading, serial, at = 0, 0, False, 0, 0
+    never_closed: set[str] = set()
+    links, in_link, heading, at = 0, 0, False, 0
 
     def flush() -> None:
         nonlocal links
@@ -142,7 +211,7 @@ def blocks_of(html: str) -> list[Block]:
                 top = len(stack) - 1
                 while top and stack[top][0] in ("p", "li", "dd", "dt", "h1", "h2", "h3", "h4", "h5", "h6"):
                     top -= 1
-                out.append(Block(text, min(links, len(text)), stack[-1][1], heading, stack[top][3], len(stack)))
+                out.append(Block(text, min(links, len(text)), heading, stack[top][2], len(stack), stack[-1][2]))
         links = 0
 
     def close(i: int) -> None:
@@ -157,7 +226,7 @@ def blocks_of(html: str) -> list[Block]:
             text, at = html[at:], len(html)
         else:
             text, at = html[at : m.start()], m.end()
-        if text and not stack[-1][2]:
+        if text and not stack[-1][1]:
             parts.append(text)
             if in_link:
                 links += len(text)
@@ -191,9 +260,14 @@ def blocks_of(html: str) -> list[Block]:
                 parts.append(" ")
         if name not in BLOCK_TAGS and name not in SKIPPED_TAGS:
             attrs = m["attrs"] or m["attrs2"] or ""
-            if name == "span" and ("hidden" in attrs or "none" in attrs) and _kind(name, _attributes(attrs))[1]:
-                end = re.compile(r"</span\s*>", re.I).search(html, at)
-                at = end.end() if end else at
+            if "hidden" in attrs.lower() or "none" in attrs.lower():
+                if name not in VOID_TAGS and name not in never_closed and _hidden(_attributes(attrs)):
+                    end = _inline_end(html, at, name)
+                    if end == at:
+                        never_closed.add(name)
+                    at = end
+                    if name == "a":
+                        in_link = 0
             continue
         flush()
         if name == "body":  # the head may be unclosed
@@ -214,14 +288,16 @@ def blocks_of(html: str) -> list[Block]:
         attrs = m["attrs"] or m["attrs2"] or ""
         if name in VOID_TAGS or attrs.endswith("/") and name in SKIPPED_TAGS:
             continue
-        kind, hidden = _kind(name, _attributes(attrs) if attrs.strip() else {})
-        _, place, skipped, _ = stack[-1]
-        serial += 1
-        stack.append((name, _place(place, kind), skipped or hidden or name in SKIPPED_TAGS, serial))
+        found = _attributes(attrs) if attrs.strip() else {}
+        skipped = stack[-1][1] or name in SKIPPED_TAGS or _hidden(found)
+        marks = not skipped and (name in CONTENT_TAGS or name == "h1")
+        elements.append(Element(stack[-1][2], *_kind(name, found), marks))
+        stack.append((name, skipped, len(elements) - 1))
         heading = heading or len(name) == 2 and name[0] == "h" and name[1].isdigit()
         if name not in ("p", "li"):
             in_link = 0
     flush()
+    settle_places(out, elements)
     return out
 
 
@@ -327,9 +403,12 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h.as_py()) for h in batch.column("html")]
-            sizes = pa.array([len(t) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), sizes], schema=schema)
+            for part in slices(batch.column(2)):
+                texts = [main_text(h.as_py()) for h in batch.column(2)[part]]
+                sizes = pa.array([len(t) for t in texts], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[part], batch.column(1)[part], pa.array(texts, pa.string()), sizes], schema=schema
+                )
 
     ship(pages.sparkSession)
     rows = pages.selectExpr("cast(page_id as bigint) page_id", "cast(url as string) url", "cast(html as string) html")
