@@ -8,7 +8,8 @@ import pytest
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 NAMES = ("log_return", "cusum_filter", "dollar_bars", "rsi_14", "roll_spread", "triple_barrier", "concurrency", "avg_uniqueness",
-         "purged_kfold", "cpcv_split", "daily_positions", "backtest", "dd_tuw")
+         "purged_kfold", "cpcv_split", "daily_positions", "backtest", "dd_tuw", "data_quality", "sink_parquet", "sink_csv", "sink_json",
+         "log_trials", "evaluate_params", "tuning_pivot", "histogram_inter_event", "histogram_signal", "histogram_bet_size")
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables here")
 
@@ -40,6 +41,14 @@ def test_query_equals_sql(spark, con, name):
     assert sorted((tuple(value(r[c]) for c in cols) for r in df.collect()), key=repr) == want
 
 
+def test_line_items_are_read_once_for_events(spark):
+    import __spark_entry__ as entry
+
+    for name in ("sample_weight", "dd_tuw", "backtest", "concurrency"):
+        plan = entry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "l_extendedprice" not in plan, name  # the bars are a table by then
+
+
 def test_registry_without_a_session_and_without_llm():
     import subprocess
     import sys

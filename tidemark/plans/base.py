@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import by_time, full, log_return, trailing
 from ..operators import labels, sampling
-from ..runtime import ship
+from ..runtime import materialize, ship
 from ..sources.bars import bars
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,8 +38,11 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Bars, and every tenth bar from the twentieth as an event: symbol, t0, trgt, t1."""
-    b = bars(spark, sf_dir)
+    """Bars, and every tenth bar from the twentieth as an event: symbol, t0, trgt, t1.
+
+    Plans on events look at the bars many times: they are written once, so line items are read once.
+    """
+    b = materialize(bars(spark, sf_dir), "bars")
     r = b.withColumn("r", log_return())
     r = r.withColumn("trgt", full(F.stddev_samp("r").over(trailing(20)), F.col("r"), 20))
     picked = sampling.strided(r, 10, 20).select("symbol", F.col("ts").alias("t0"), "trgt")
@@ -60,6 +63,12 @@ def pseudo_predictions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
     return b, out.withColumns({"side": F.when(F.col("r5") < 0, -1.0).otherwise(1.0), "p": p})
 
 
+def histogram_sql(bins: int) -> str:
+    """The end of a query that counts z.x of each symbol in bins of equal width."""
+    return f""" SELECT symbol, CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((x - lo) / (hi - lo) * {bins}), {bins - 1}) END AS BIGINT) AS bin, count(*) AS n
+  FROM (SELECT symbol, x, min(x) OVER (PARTITION BY symbol) AS lo, max(x) OVER (PARTITION BY symbol) AS hi FROM z WHERE x IS NOT NULL) GROUP BY 1, 2"""
+
+
 BARS = """
 bars AS (
   SELECT l_returnflag AS symbol, l_shipdate AS ts,

@@ -11,7 +11,7 @@ from ..functions.numeric import normal_cdf_sql
 from ..operators import backtest as bt
 from ..operators import bets, labels, sampling, validation, weights
 from ..sources.bars import bars
-from .base import BARS, CONC, EVENTS, PRED, TOUCH, events, labelled, pseudo_predictions, query, rounded
+from .base import BARS, CONC, EVENTS, PRED, TOUCH, events, histogram_sql, labelled, pseudo_predictions, query, rounded
 
 EWM = f"""WITH RECURSIVE {BARS},
 s(symbol, pos, ts, w, w2, m1, m2) AS (
@@ -236,17 +236,17 @@ def _(spark, sf):
 
 
 # Predictions by rule, with labels as classes: what scores are computed of.
-SCORED = f"""WITH {PRED}, q AS (SELECT symbol, t0, ntile(5) OVER (PARTITION BY symbol ORDER BY t0) - 1 AS fold, CASE WHEN bin > 0 THEN 1 ELSE -1 END AS y,
+SCORED = f"""WITH {PRED}, q AS (SELECT symbol, t0, p0, ntile(5) OVER (PARTITION BY symbol ORDER BY t0) - 1 AS fold, CASE WHEN bin > 0 THEN 1 ELSE -1 END AS y,
   CASE WHEN p >= 0.5 THEN 1 ELSE -1 END AS pred, greatest(1e-15, least(1 - 1e-15, p)) AS p, 1 + (p0 % 7) / 10.0::DOUBLE AS weight, side, bin FROM pr WHERE ret IS NOT NULL)"""
 
 
-def _scored(spark, sf):
+def scored(spark, sf):
     _, p = pseudo_predictions(spark, sf)
     p = p.where("ret is not null")
     return p.select(
         "symbol", "t0", (F.ntile(5).over(W.partitionBy("symbol").orderBy("t0")) - 1).cast("long").alias("fold"),
         F.when(F.col("bin") > 0, 1).otherwise(-1).alias("y"), F.when(F.col("p") >= 0.5, 1).otherwise(-1).alias("pred"), "p",
-        (1 + (F.col("pos") % 7) / 10.0).alias("weight"), "side", F.col("bin").alias("label"),
+        (1 + (F.col("pos") % 7) / 10.0).alias("weight"), "side", F.col("bin").alias("label"), "pos",
     )
 
 
@@ -265,22 +265,22 @@ def _metrics_sql(by):
 
 @query("fold_metrics", _metrics_sql("symbol, fold"))
 def _(spark, sf):
-    return rounded(validation.scores(_scored(spark, sf)))
+    return rounded(validation.scores(scored(spark, sf)))
 
 
 @query("weighted_score", _metrics_sql("symbol"))
 def _(spark, sf):
-    return rounded(validation.scores(_scored(spark, sf), ("symbol",)))
+    return rounded(validation.scores(scored(spark, sf), ("symbol",)))
 
 
 @query("confusion_matrix", SCORED + " SELECT symbol, y, count(*) FILTER (pred = -1) AS pred_down, count(*) FILTER (pred = 1) AS pred_up FROM q GROUP BY 1, 2")
 def _(spark, sf):
-    return validation.confusion(_scored(spark, sf))
+    return validation.confusion(scored(spark, sf))
 
 
 @query("majority_baseline", SCORED + ", c AS (SELECT symbol, bin, count(*) AS n FROM q GROUP BY 1, 2) SELECT symbol, round(max(n) / sum(n), 6) AS baseline FROM c GROUP BY 1")
 def _(spark, sf):
-    return rounded(validation.majority_baseline(_scored(spark, sf)))
+    return rounded(validation.majority_baseline(scored(spark, sf)))
 
 
 ACC = SCORED + ", a AS (SELECT symbol, fold, sum(CASE WHEN y = pred THEN weight ELSE 0 END) / sum(weight) AS score FROM q GROUP BY 1, 2)"
@@ -288,35 +288,27 @@ ACC = SCORED + ", a AS (SELECT symbol, fold, sum(CASE WHEN y = pred THEN weight
 
 @query("representative_fold", ACC + ", d AS (SELECT *, round(abs(score - avg(score) OVER (PARTITION BY symbol)), 12) AS away FROM a) SELECT symbol, first(fold ORDER BY away, fold) AS fold FROM d GROUP BY 1")
 def _(spark, sf):
-    s = validation.scores(_scored(spark, sf)).select("symbol", "fold", F.col("accuracy").alias("score"))
+    s = validation.scores(scored(spark, sf)).select("symbol", "fold", F.col("accuracy").alias("score"))
     return validation.representative_fold(s)
 
 
 @query("cv_results", ACC + " SELECT symbol, CAST(fold AS VARCHAR) AS fold, round(score, 6) AS score FROM a UNION ALL SELECT symbol, 'mean', round(avg(score), 6) FROM a GROUP BY 1 UNION ALL SELECT symbol, 'std', round(stddev_samp(score), 6) FROM a GROUP BY 1")
 def _(spark, sf):
-    s = validation.scores(_scored(spark, sf)).select("symbol", F.col("fold").cast("string").alias("fold"), F.col("accuracy").alias("score"))
+    s = validation.scores(scored(spark, sf)).select("symbol", F.col("fold").cast("string").alias("fold"), F.col("accuracy").alias("score"))
     mean = s.groupBy("symbol").agg(F.lit("mean").alias("fold"), F.avg("score").alias("score"))
     std = s.groupBy("symbol").agg(F.lit("std").alias("fold"), F.stddev_samp("score").alias("score"))
     return rounded(s.unionByName(mean).unionByName(std))
 
 
-@query("inflation_factor", ACC + ", u AS (SELECT symbol, fold, avg(CASE WHEN y = pred THEN 1.0 ELSE 0 END) AS plain FROM q GROUP BY 1, 2) SELECT symbol, round(avg(plain) - avg(score), 6) AS inflation FROM a JOIN u USING (symbol, fold) GROUP BY 1")
-def _(spark, sf):
-    rows = _scored(spark, sf)
-    a = validation.scores(rows).select("symbol", "fold", "accuracy")
-    plain = validation.scores(rows.withColumn("weight", F.lit(1.0))).select("symbol", "fold", F.col("accuracy").alias("plain"))
-    return rounded(a.join(plain, ["symbol", "fold"]).groupBy("symbol").agg((F.avg("plain") - F.avg("accuracy")).alias("inflation")))
-
-
 @query("validate_oos", SCORED + " SELECT symbol, count(*) AS n, count(*) FILTER (p IS NULL) AS n_null, count(*) FILTER (side NOT IN (-1, 1)) AS n_side, round(avg(CASE WHEN side = bin THEN 1.0 ELSE 0 END), 6) AS accuracy FROM q GROUP BY 1")
 def _(spark, sf):
-    return rounded(bets.validate_oos(_scored(spark, sf)))
+    return rounded(bets.validate_oos(scored(spark, sf)))
 
 
 @query("oos_accuracy", SCORED + " SELECT symbol, round(avg(CASE WHEN side = bin THEN 1.0 ELSE 0 END), 6) AS accuracy, round(avg(CASE WHEN side = 1 THEN 1.0 ELSE 0 END), 6) AS share_long FROM q GROUP BY 1")
 def _(spark, sf):
     share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
-    rows = _scored(spark, sf)
+    rows = scored(spark, sf)
     return rounded(rows.groupBy("symbol").agg(share(F.col("side") == F.col("label")).alias("accuracy"), share(F.col("side") == 1).alias("share_long")))
 
 
@@ -364,6 +356,24 @@ def _(spark, sf):
     return rounded(_signals(spark, sf, 0.1)[1].select("symbol", "t0", "signal"))
 
 
+@query("histogram_signal", SIGNAL + ", z AS (SELECT symbol, round(signal, 9) AS x FROM sg)" + histogram_sql(20))
+def _(spark, sf):
+    s = _signals(spark, sf)[1]
+    return sampling.histogram(s.withColumn("signal", F.round("signal", 9)), "signal", 20)
+
+
+@query("histogram_meta_prob", f"WITH {PRED}, z AS (SELECT symbol, round(p, 9) AS x FROM pr)" + histogram_sql(20))
+def _(spark, sf):
+    p = pseudo_predictions(spark, sf)[1]
+    return sampling.histogram(p.withColumn("p", F.round("p", 9)), "p", 20)
+
+
+@query("histogram_bet_size", POSITIONS + ", z AS (SELECT symbol, round(position, 6) AS x FROM dp)" + histogram_sql(15))
+def _(spark, sf):
+    d = _positions(spark, sf)[1]
+    return sampling.histogram(d.withColumn("position", F.round("position", 6)), "position", 15)
+
+
 @query("avg_active_signals", POINTS + " SELECT symbol, ts, round(signal, 6) + 0.0 AS signal FROM av")
 def _(spark, sf):
     return rounded(bets.average_active(_signals(spark, sf)[1]))

@@ -10,6 +10,7 @@ from ..operators import bets, features, fracdiff, labels, models, sampling, vali
 from ..runtime import fresh_path, materialize
 from ..sources import bars as src
 from .base import BARS, labelled, query, rounded
+from .labelling import SCORED, scored
 
 THRESHOLD = 1e-5
 ORDER = 0.4
@@ -75,12 +76,27 @@ def _(spark, sf):
     return fracdiff.least_order(_sweep(spark, sf))
 
 
+_written: dict = {}
+
+
+def _once(spark, sf, name, make):
+    """A table that several queries read, written once a session and folder of tables."""
+    key = spark.sparkContext.applicationId, sf, name
+    if key not in _written:
+        _written[key] = materialize(make(), name)
+    return _written[key]
+
+
 def _matrix(spark, sf):
-    """The feature matrix of the strided events; small, so it is written once for what follows."""
+    """The feature matrix of the strided events."""
+    return _once(spark, sf, "matrix", lambda: _new_matrix(spark, sf))
+
+
+def _new_matrix(spark, sf):
     b, lab = labelled(spark, sf)
     fd = fracdiff.frac_diff(_logs(spark, sf), "x", ORDER, THRESHOLD)
     out = features.feature_matrix(features.features(b), fd, lab, weights.sample_weights(lab, b))
-    return materialize(out, "matrix")
+    return out
 
 
 @query("feature_matrix")
@@ -151,25 +167,44 @@ def _(spark, sf):
     return models.train_and_evaluate(_forest(), _data(spark, sf), FOLDS)[1]
 
 
+# Makers of the models that several tables compare (fixed values: the published sizes and tuned parameters).
+MODELS = {
+    "forest": models.forest(),
+    "boosted": models.boosted(),
+    "forest tuned": _forest(),
+    "boosted tuned": models.boosted(200, 7, 0.01, 0.8, "0.5"),
+}
+
+
+def _fold_scores(spark, sf, name, columns=features.CORE):
+    """mean_score and std_score of a model over the purged folds; one fit a session."""
+
+    def make():
+        found = models.cv_score(MODELS[name], _data(spark, sf, columns), FOLDS)
+        return found.agg(F.avg("accuracy").alias("mean_score"), F.stddev_samp("accuracy").alias("std_score"))
+
+    return _once(spark, sf, f"scores-{name}-{len(columns)}".replace(" ", "-"), make)
+
+
+def _majority(spark, sf):
+    return _data(spark, sf).groupBy("class").count().agg((F.max("count") / F.sum("count")).alias("baseline"))
+
+
 @query("rf_baseline")
 def _(spark, sf):
-    return models.cv_score(models.forest(), _data(spark, sf), FOLDS).agg(F.avg("accuracy").alias("mean_score"), F.stddev_samp("accuracy").alias("std_score"))
+    return _fold_scores(spark, sf, "forest")
 
 
 @query("xgb_baseline")
 def _(spark, sf):
-    return models.cv_score(models.boosted(), _data(spark, sf), FOLDS).agg(F.avg("accuracy").alias("mean_score"), F.stddev_samp("accuracy").alias("std_score"))
+    return _fold_scores(spark, sf, "boosted")
 
 
 @query("model_comparison")
 def _(spark, sf):
-    d = _data(spark, sf)
-    out = None
-    for name, make in (("forest", _forest()), ("boosted", models.boosted())):
-        part = models.cv_score(make, d, FOLDS).agg(F.lit(name).alias("model"), F.avg("accuracy").alias("mean_score"), F.stddev_samp("accuracy").alias("std_score"))
-        out = part if out is None else out.unionByName(part)
-    base = d.groupBy("class").count().agg((F.max("count") / F.sum("count")).alias("baseline"))
-    return out.crossJoin(F.broadcast(base)).withColumn("beats_baseline", F.col("mean_score") > F.col("baseline"))  # one row
+    forest, boosted = (_fold_scores(spark, sf, name).withColumn("model", F.lit(name)) for name in ("forest", "boosted"))
+    out = forest.unionByName(boosted).crossJoin(F.broadcast(_majority(spark, sf)))  # one row
+    return out.withColumn("beats_baseline", F.col("mean_score") > F.col("baseline"))
 
 
 @query("sink_model")
@@ -197,38 +232,54 @@ def _(spark, sf):
     return models.sfi(_forest(), _matrix(spark, sf), features.CORE, FOLDS)
 
 
-FAKE = [("a", 0.4, 0.1, 0.3), ("b", 0.3, 0.1, 0.1), ("c", 0.2, 0.3, 0.1), ("d", 0.1, 0.0, 0.0), ("e", 0.05, 0.2, 0.2)]
-FAKE_SQL = "WITH t(feature, mdi, mda, sfi) AS (VALUES " + ", ".join(str(r) for r in FAKE) + ")"
-_RANK = ", ".join(f"CAST(floor(rank() OVER (ORDER BY {c} DESC) + (count(*) OVER (PARTITION BY {c}) - 1) / 2) AS BIGINT) AS {c}_rank" for c in ("mdi", "mda", "sfi"))
+KINDS = ("mdi", "mda", "sfi")
+
+
+def _importance(spark, sf):
+    """feature, and mean and error of each kind of importance, of the models on the feature matrix."""
 
+    def make():
+        d, columns = _data(spark, sf), features.CORE
+        found = {
+            "mdi": models.mdi(models.fit(_forest(), d), columns, spark),
+            "mda": models.mda(_forest(), d, columns, FOLDS),
+            "sfi": models.sfi(_forest(), _matrix(spark, sf), columns, FOLDS),
+        }
+        return models.importance_table(**found)
 
-def _ranked(spark):
-    table = spark.createDataFrame(FAKE, "feature string, mdi double, mda double, sfi double")
-    return validation.ranks(table, ("mdi", "mda", "sfi"))
+    return _once(spark, sf, "importance", make)
 
 
-@query("importance_rank", FAKE_SQL + f", k AS (SELECT feature, {_RANK} FROM t) SELECT feature, mdi_rank, mda_rank, sfi_rank, round((mdi_rank + mda_rank + sfi_rank) / 3.0::DOUBLE, 6) AS avg_rank FROM k")
+def _ranked(spark, sf):
+    means = _importance(spark, sf).select("feature", *[F.col(f"{k}_mean").alias(k) for k in KINDS])
+    return validation.ranks(means, KINDS)
+
+
+@query("importance_rank")
 def _(spark, sf):
-    return rounded(_ranked(spark).select("feature", "mdi_rank", "mda_rank", "sfi_rank", "avg_rank"))
+    return _ranked(spark, sf).select("feature", *[f"{k}_rank" for k in KINDS], "avg_rank")
 
 
-@query("bottom_quartile_rule", FAKE_SQL + f", k AS (SELECT feature, {_RANK}, count(*) OVER () AS n FROM t) SELECT feature, NOT (mdi_rank >= n - ceil(0.25 * n) + 1 AND mda_rank >= n - ceil(0.25 * n) + 1 AND sfi_rank >= n - ceil(0.25 * n) + 1) AS kept FROM k")
+@query("bottom_quartile_rule")
 def _(spark, sf):
-    return validation.bottom_quartile(_ranked(spark), ("mdi", "mda", "sfi")).select("feature", "kept")
+    return validation.bottom_quartile(_ranked(spark, sf), KINDS).select("feature", "kept")
 
 
 @query("importance_table")
 def _(spark, sf):
-    d = _data(spark, sf)
-    return models.importance_table(mdi=models.mdi(models.fit(_forest(), d), features.CORE, spark), mda=models.mda(_forest(), d, features.CORE, FOLDS))
+    kept = validation.bottom_quartile(_ranked(spark, sf), KINDS).select("feature", "avg_rank", "kept")
+    return _importance(spark, sf).join(kept, "feature")
 
 
 SPACE = {"trees": (100, 200, 500), "depth": (3, 5, 7, 10), "leaf": (5, 10, 20, 30), "features": ("sqrt", "0.5", "1.0"), "balanced": (True, False)}
 
 
+GRID = {"trees": (100,), "depth": (3, 7), "leaf": (10, 20)}
+
+
 @query("grid_search")
 def _(spark, sf):
-    return models.search(models.forest, _data(spark, sf), models.grid_of(SPACE), FOLDS)
+    return models.search(models.forest, _data(spark, sf), models.grid_of(GRID), FOLDS)
 
 
 @query("random_search")
@@ -236,46 +287,56 @@ def _(spark, sf):
     return models.search(models.forest, _data(spark, sf), models.random_grid(SPACE, 25), FOLDS)
 
 
-# A log of trials by rule: score of trial i in fold j.
-TRIALS = [(i, j, round(0.5 + 0.02 * ((i * 7 + j * 3) % 11) - 0.01 * ((i * j) % 5), 4), str(i % 3), str(i % 2)) for i in range(8) for j in range(5)]
-TRIALS_SQL = "WITH tr(trial, fold, score, depth, trees) AS (VALUES " + ", ".join(f"({i}, {j}, {s}::DOUBLE, '{d}', '{t}')" for i, j, s, d, t in TRIALS) + "), st AS (SELECT trial, avg(score) AS mean_score, stddev_samp(score) AS std_score FROM tr GROUP BY 1)"
+# A search whose model is a rule on the event's number: eight points, scored by weighted accuracy in the folds of the
+# labelled events. SQL can follow it from line items to the log of trials.
+TRIALS_SQL = SCORED + """, tr AS (
+  SELECT CAST(t.trial AS INT) AS trial, CAST(fold AS INT) AS fold, CAST(t.trial % 3 AS VARCHAR) AS depth, CAST(t.trial % 2 AS VARCHAR) AS trees,
+    round(sum(CASE WHEN y = CASE WHEN (p0 * 37 + 13 * t.trial) % 100 >= 50 THEN 1 ELSE -1 END THEN weight ELSE 0.0 END) / sum(weight), 9) AS score
+  FROM q, range(8) t(trial) GROUP BY t.trial, fold),
+st AS (SELECT trial, avg(score) AS mean_score, stddev_samp(score) AS std_score FROM tr GROUP BY 1)"""
 
 
-def _trials(spark):
-    rows = [(i, j, s, {"depth": d, "trees": t}) for i, j, s, d, t in TRIALS]
-    return spark.createDataFrame(rows, "trial int, fold int, score double, params map<string,string>")
+def _trials(spark, sf):
+    """trial, fold, score, params of that search."""
+    rows = scored(spark, sf).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    said = F.when((F.col("pos") * 37 + 13 * F.col("trial")) % 100 >= 50, 1).otherwise(-1)
+    score = F.sum(F.when(F.col("y") == said, F.col("weight")).otherwise(0.0)) / F.sum("weight")
+    found = rows.groupBy("trial", F.col("fold").cast("int").alias("fold")).agg(F.round(score, 9).alias("score"))
+    text = lambda n: (F.col("trial") % n).cast("string")
+    return found.withColumn("params", F.create_map(F.lit("depth"), text(3), F.lit("trees"), text(2)))
 
 
 @query("evaluate_params", TRIALS_SQL + " SELECT trial, round(mean_score, 6) AS mean_score, round(std_score, 6) AS std_score, round(mean_score / std_score, 6) AS sr_trial FROM st")
 def _(spark, sf):
-    return rounded(validation.trial_stats(_trials(spark)))
+    return rounded(validation.trial_stats(_trials(spark, sf)))
 
 
 @query("summarise_trials", TRIALS_SQL + " SELECT trial, round(mean_score, 6) AS mean_score, round(std_score, 6) AS std_score FROM st ORDER BY mean_score DESC, trial LIMIT 1")
 def _(spark, sf):
-    return rounded(validation.best_trial(validation.trial_stats(_trials(spark)).select("trial", "mean_score", "std_score")))
+    return rounded(validation.best_trial(validation.trial_stats(_trials(spark, sf)).select("trial", "mean_score", "std_score")))
 
 
-@query("log_trials", TRIALS_SQL + " SELECT trial, any_value(depth) AS param_depth, any_value(trees) AS param_trees, " + ", ".join(f"max(score) FILTER (fold = {j}) AS fold_{j + 1}" for j in range(5)) + ", round(avg(score), 6) AS mean_score FROM tr GROUP BY 1")
+@query("log_trials", TRIALS_SQL + " SELECT trial, any_value(depth) AS param_depth, any_value(trees) AS param_trees, " + ", ".join(f"round(max(score) FILTER (fold = {j}), 6) AS fold_{j + 1}" for j in range(5)) + ", round(avg(score), 6) AS mean_score FROM tr GROUP BY 1")
 def _(spark, sf):
-    return rounded(models.trial_log(_trials(spark)).drop("std_score", "sr_trial"))
+    return rounded(models.trial_log(_trials(spark, sf)).drop("std_score", "sr_trial"))
 
 
-@query("tuning_log", TRIALS_SQL + " SELECT 'forest' AS model, trial, round(mean_score, 6) AS mean_score FROM st UNION ALL SELECT 'boosted', trial, round(mean_score, 6) FROM st")
+@query("tuning_log", TRIALS_SQL + " SELECT 'rule' AS model, trial, round(mean_score, 6) AS mean_score FROM st UNION ALL SELECT 'against the rule', trial, round(1 - mean_score, 6) FROM st")
 def _(spark, sf):
-    s = validation.trial_stats(_trials(spark)).select("trial", "mean_score")
-    return rounded(s.withColumn("model", F.lit("forest")).unionByName(s.withColumn("model", F.lit("boosted")), allowMissingColumns=True))
+    s = validation.trial_stats(_trials(spark, sf)).select("trial", "mean_score")
+    other = s.withColumn("mean_score", 1 - F.col("mean_score"))
+    return rounded(s.withColumn("model", F.lit("rule")).unionByName(other.withColumn("model", F.lit("against the rule"))))
 
 
 @query("tuning_pivot", TRIALS_SQL + " SELECT depth, round(avg(score) FILTER (trees = '0'), 6) AS trees_0, round(avg(score) FILTER (trees = '1'), 6) AS trees_1 FROM tr GROUP BY 1")
 def _(spark, sf):
-    t = _trials(spark).select(F.col("params")["depth"].alias("depth"), F.col("params")["trees"].alias("trees"), "score")
+    t = _trials(spark, sf).select(F.col("params")["depth"].alias("depth"), F.col("params")["trees"].alias("trees"), "score")
     return rounded(t.groupBy("depth").pivot("trees", ["0", "1"]).agg(F.avg("score")).toDF("depth", "trees_0", "trees_1"))
 
 
 @query("histogram_trials", TRIALS_SQL + ", m AS (SELECT mean_score AS x, min(mean_score) OVER () AS lo, max(mean_score) OVER () AS hi FROM st) SELECT 'all' AS symbol, CAST(least(floor((x - lo) / (hi - lo) * 12), 11) AS BIGINT) AS bin, count(*) AS n FROM m GROUP BY 2")
 def _(spark, sf):
-    s = validation.trial_stats(_trials(spark)).withColumn("symbol", F.lit("all"))
+    s = validation.trial_stats(_trials(spark, sf)).withColumn("symbol", F.lit("all"))
     return sampling.histogram(s, "mean_score", 12)
 
 
@@ -288,28 +349,48 @@ def _(spark, sf):
 
 @query("dsr_trials")
 def _(spark, sf):
-    return validation.deflated_sharpe_of_trials(_trials(spark))
+    return validation.deflated_sharpe_of_trials(_trials(spark, sf))
 
 
 @query("dsr_table")
 def _(spark, sf):
-    one = validation.deflated_sharpe_of_trials(_trials(spark))
-    return one.withColumn("model", F.lit("forest")).unionByName(one.withColumn("model", F.lit("boosted")))
+    trials = _trials(spark, sf)
+    one = validation.deflated_sharpe_of_trials(trials).withColumn("model", F.lit("rule"))
+    other = validation.deflated_sharpe_of_trials(trials.withColumn("score", 1 - F.col("score")))
+    return one.unionByName(other.withColumn("model", F.lit("against the rule")))
+
+
+@query("inflation_factor")
+def _(spark, sf):
+    """Mean accuracy in naive folds less that in purged ones, of the same forest without weights."""
+    d = _data(spark, sf)
+    out = None
+    for name, split in (("naive", validation.naive_kfold), ("purged", validation.purged_kfold)):
+        found = models.out_of_sample(_forest(), d, FOLDS, weighted=False, folds=split(d.select("symbol", "t0", "t1"), FOLDS))
+        part = validation.scores(found.withColumn("weight", F.lit(1.0)), ("fold",)).agg(F.avg("accuracy").alias(name))
+        out = part if out is None else out.crossJoin(F.broadcast(part))  # one row each
+    return out.withColumn("inflation", F.col("naive") - F.col("purged"))
 
 
 @query("sharpe_distribution", TRIALS_SQL + " SELECT round(avg(mean_score), 6) AS mean, round(stddev_pop(mean_score), 6) AS std, round(min(mean_score), 6) AS low, round(max(mean_score), 6) AS high, count(*) FILTER (mean_score > 0) AS n_positive FROM st")
 def _(spark, sf):
-    s = validation.trial_stats(_trials(spark))
+    s = validation.trial_stats(_trials(spark, sf))
     x = F.col("mean_score")
     return rounded(s.agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("low"), F.max(x).alias("high"), F.sum((x > 0).cast("int")).cast("long").alias("n_positive")))
 
 
 @query("stage_summary")
 def _(spark, sf):
-    d = _data(spark, sf)
-    base = d.groupBy("class").count().agg(F.lit("majority").alias("stage"), (F.max("count") / F.sum("count")).alias("score"))
-    rf = models.cv_score(_forest(), d, FOLDS).agg(F.lit("forest").alias("stage"), F.avg("accuracy").alias("score"))
-    return base.unionByName(rf)
+    """Majority, untuned and tuned models (fixed values: the published parameters), and the forest without the
+    features that every importance ranks last."""
+    kept = validation.bottom_quartile(_ranked(spark, sf), KINDS).where("kept").collect()  # 15 at most
+    columns = [c for c in features.CORE if c in {r["feature"] for r in kept}]
+    base = _majority(spark, sf)
+    out = base.select(F.lit("majority").alias("stage"), F.col("baseline").alias("mean_score"), F.lit(None).cast("double").alias("std_score"))
+    for name in MODELS:
+        out = out.unionByName(_fold_scores(spark, sf, name).withColumn("stage", F.lit(name)))
+    out = out.unionByName(_fold_scores(spark, sf, "forest tuned", columns).withColumn("stage", F.lit("forest reduced")))
+    return out.crossJoin(F.broadcast(base)).withColumn("beats_baseline", F.col("mean_score") > F.col("baseline"))  # one row
 
 
 def _oos(spark, sf):

@@ -12,7 +12,7 @@ from ..operators import features as ft
 from ..operators import sampling as sm
 from ..runtime import fresh_path
 from ..sources import bars as src
-from .base import BARS, QUERIES, events, query, rounded
+from .base import BARS, events, histogram_sql, query, rounded
 
 BAR_ROWS = f"WITH {BARS} SELECT symbol, ts, round(open,9) AS open, round(high,9) AS high, round(low,9) AS low, round(close,9) AS close, round(adj_close,6) AS adj_close, volume FROM bars"
 
@@ -49,7 +49,20 @@ def _(spark, sf):
     return _bar_rows(spark.read.schema(src.BAR_SCHEMA).json(path))
 
 
-QUERIES["sink_parquet"], QUERIES["sink_csv"], QUERIES["sink_json"] = (QUERIES[f"scan_{k}"] for k in ("parquet", "csv", "json"))
+def _sink(kind, read):
+    @query(f"sink_{kind}", BAR_ROWS)
+    def _(spark, sf):
+        """What a reader without a schema finds: a folder a symbol, typed or named columns in the files."""
+        path = fresh_path(spark, kind)
+        src.write_bars(src.bars(spark, sf), path, kind)
+        found = read(spark.read, path)
+        kinds = dict(src.bars(spark, sf).dtypes)
+        return _bar_rows(found.select(*[F.col(c).cast(t).alias(c) for c, t in kinds.items()]))
+
+
+_sink("parquet", lambda reader, path: reader.parquet(path))
+_sink("csv", lambda reader, path: reader.option("header", True).csv(path))
+_sink("json", lambda reader, path: reader.json(path))
 
 
 @query("source_gbm")
@@ -78,7 +91,9 @@ def _(spark, sf):
     return out.select("symbol", "ts", F.round("adj_close", 6).alias("adj_close"), F.round("log_return", 6).alias("log_return"), F.round("dollar_volume", 4).alias("dollar_volume"))
 
 
-@query("data_quality", f"WITH {BARS} SELECT count(*) AS n_rows, 0::BIGINT AS n_null, 0::BIGINT AS n_unordered, count(*) FILTER (close <= 0 OR adj_close <= 0) AS n_price, count(*) FILTER (volume <= 0) AS n_volume FROM r WHERE ret IS NOT NULL")
+@query("data_quality", f"""WITH {BARS}, c AS (SELECT *, lag(ts) OVER (PARTITION BY symbol ORDER BY ts) AS previous FROM r WHERE ret IS NOT NULL)
+SELECT count(*) AS n_rows, count(*) FILTER (symbol IS NULL OR ts IS NULL OR open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL OR adj_close IS NULL OR volume IS NULL OR dv IS NULL) AS n_null,
+  count(*) FILTER (previous >= ts) AS n_unordered, count(*) FILTER (close <= 0 OR adj_close <= 0) AS n_price, count(*) FILTER (volume <= 0) AS n_volume FROM c""")
 def _(spark, sf):
     return sm.quality(sm.clean_bars(src.bars(spark, sf)))
 
@@ -241,17 +256,22 @@ def _(spark, sf):
     return ft.entropy(src.bars(spark, sf)).select("symbol", "ts", "lempel_ziv_complexity")
 
 
-def _histogram(name, x, bins, source, value):
-    sql = f"""WITH {BARS}, z AS ({x}), m AS (SELECT *, min(x) OVER (PARTITION BY symbol) AS lo, max(x) OVER (PARTITION BY symbol) AS hi FROM z WHERE x IS NOT NULL)
-    SELECT symbol, CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((x - lo) / (hi - lo) * {bins}), {bins - 1}) END AS BIGINT) AS bin, count(*) AS n FROM m GROUP BY 1, 2"""
+@query("histogram_returns", f"WITH {BARS}, z AS (SELECT symbol, ret AS x FROM r)" + histogram_sql(100))
+def _(spark, sf):
+    return sm.histogram(sm.with_returns(src.bars(spark, sf)), "log_return", 100)
+
 
-    @query(name, sql)
-    def _(spark, sf):
-        return sm.histogram(source(spark, sf), value, bins)
+@query("histogram_volume", f"WITH {BARS}, z AS (SELECT symbol, volume AS x FROM r)" + histogram_sql(20))
+def _(spark, sf):
+    return sm.histogram(src.bars(spark, sf), "volume", 20)
 
 
-_histogram("histogram_returns", "SELECT symbol, ret AS x FROM r", 100, lambda s, d: sm.with_returns(src.bars(s, d)), "log_return")
-_histogram("histogram_volume", "SELECT symbol, volume AS x FROM r", 20, lambda s, d: src.bars(s, d), "volume")
+@query(
+    "histogram_inter_event",
+    CUSUM_SQL + ", z AS (SELECT symbol, date_diff('day', lag(ts) OVER (PARTITION BY symbol ORDER BY ts), ts) AS x FROM s WHERE hit)" + histogram_sql(50),
+)
+def _(spark, sf):
+    return sm.histogram(sm.inter_event_days(sm.cusum_events(src.bars(spark, sf), H)), "days", 50)
 
 
 @query("stride_sample", f"WITH {BARS} SELECT symbol, ts, pos FROM r WHERE pos % 10 = 0")
