@@ -261,6 +261,16 @@ def test_passages_against_brute_force(spark):
         met |= runs
 
 
+def test_runs_are_the_union_of_pieces():
+    rng = random.Random(5)
+    for _ in range(100):
+        pieces = sorted((a, a + rng.randint(1, 30), 7, rng.randint(0, 9), 40, rng.randint(1, 9)) for a in rng.choices(range(300), k=rng.randint(0, 20)))
+        runs = sd.joined_runs(pieces)
+        near = {w for a, b, *_ in pieces for w in range(a, b)}
+        assert near <= {w for a, b, *_ in runs for w in range(a, b)} and sum(r[2] for r in runs) == len(pieces)
+        assert all(b[0] > a[1] + sd.JOIN_GAP for a, b in zip(runs, runs[1:], strict=False))
+
+
 def test_chain_kernels():
     assert sorted(map(sorted, chains(np.array([1, 5, 9, 12]), np.array([3, 7, 900, 13])))) == [[0, 1, 3], [2]]
     rng = random.Random(1)

@@ -385,14 +385,16 @@ def aligned(chain_table: DataFrame, docs: DataFrame, k: int) -> DataFrame:
             out: list[tuple] = []
             for r in batch.to_pylist():
                 a, b = np.frombuffer(r["words"], np.uint32), np.frombuffer(r["s_words"], np.uint32)
+                found = set()
                 for xs, ys in zip(r["xs"], r["ys"], strict=True):
                     x, y = [v - r["low"] for v in xs], [v - r["s_low"] for v in ys]
-                    out.extend(
-                        (r["doc_id"], x0 + r["low"], x1 + r["low"], r["source"], y0 + r["s_low"], y1 + r["s_low"], n)
+                    found.update(
+                        (x0 + r["low"], x1 + r["low"], r["source"], y0 + r["s_low"], y1 + r["s_low"], n)
                         for x0, x1, y0, y1, n in similar_parts(a, b, x, y, k)
                     )
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-            cols = list(zip(*out)) or [()] * 7
+                out.extend((r["doc_id"], *run) for run in joined_runs(sorted(found)))
+            kinds = [pa.int64(), *[pa.int32()] * 5, pa.int64(), *[pa.int32()] * 3]
+            cols = list(zip(*out)) or [()] * len(PIECE_NAMES)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=PIECE_NAMES)
 
     wide = both.select("doc_id", "low", "xs", "words", "source", "s_low", "ys", "s_words")
@@ -400,11 +402,32 @@ def aligned(chain_table: DataFrame, docs: DataFrame, k: int) -> DataFrame:
 
 
 PIECE_SCHEMA = (
-    "doc_id long, start_word int, end_word int, source_doc_id long, source_start int, source_end int, matched_words int"
+    "doc_id long, run_start int, run_end int, n_pieces int, "
+    "start_word int, end_word int, source_doc_id long, source_start int, source_end int, matched_words int"
 )
 PIECE_NAMES = [p.strip().split(" ")[0] for p in PIECE_SCHEMA.split(",")]
 
 
+def joined_runs(pieces: list[tuple]) -> list[tuple]:
+    """Pieces (start, end, source, its start and end, words in common; by start) that touch, as one run each:
+    its ends, the number of its pieces, and the one with most words in common."""
+    out: list[list] = []
+    for piece in pieces:
+        if out and piece[0] <= out[-1][1] + JOIN_GAP:
+            run = out[-1]
+            run[1], run[2] = max(run[1], piece[1]), run[2] + 1
+            if _merit(piece) < _merit(run[3]):
+                run[3] = piece
+        else:
+            out.append([piece[0], piece[1], 1, piece])
+    return [(*run[:3], *run[3]) for run in out]
+
+
+def _merit(piece: tuple) -> tuple:
+    start, end, source, source_start, source_end, matched = piece
+    return -matched, source, source_start, start, end, source_end
+
+
 def passages(
     df: DataFrame, k: int = K, inner: int = INNER, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -441,19 +464,19 @@ def merged(pieces: DataFrame, min_words: int) -> DataFrame:
     """Passages long enough, a passage being a run of pieces that touch, with its best piece."""
     from pyspark.sql import Window as W
 
-    by = W.partitionBy("doc_id").orderBy("start_word", "end_word", "source_doc_id", "source_start")
-    ended = F.max("end_word").over(by.rowsBetween(W.unboundedPreceding, -1))
-    runs = pieces.withColumn("new", (ended.isNull() | (F.col("start_word") > ended + JOIN_GAP)).cast("int"))
+    by = W.partitionBy("doc_id").orderBy("run_start", "run_end", "source_doc_id", "source_start")
+    ended = F.max("run_end").over(by.rowsBetween(W.unboundedPreceding, -1))
+    runs = pieces.withColumn("new", (ended.isNull() | (F.col("run_start") > ended + JOIN_GAP)).cast("int"))
     runs = runs.withColumn("run", F.sum("new").over(by.rowsBetween(W.unboundedPreceding, 0)))
     # The most words in common; of equal pieces that of the smallest source.
     order = F.struct(-F.col("matched_words"), "source_doc_id", "source_start", "start_word", "end_word", "source_end", "matched_words")
     found = runs.groupBy("doc_id", "run").agg(
-        F.min("start_word").alias("passage_start"),
-        F.max("end_word").alias("passage_end"),
-        F.count(F.lit(1)).alias("n_pieces"),
+        F.min("run_start").alias("passage_start"),
+        F.max("run_end").alias("passage_end"),
+        F.sum("n_pieces").alias("n_pieces"),
         F.min(order).alias("best"),
     )
-    best = [F.col(f"best.{c}").alias(c) for c in PIECE_NAMES[1:]]
+    best = [F.col(f"best.{c}").alias(c) for c in PIECE_NAMES[4:]]
     return found.where(F.col("passage_end") - F.col("passage_start") >= min_words).select(
         "doc_id", "passage_start", "passage_end", "n_pieces", *best
     )
