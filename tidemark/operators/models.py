@@ -9,6 +9,7 @@ from __future__ import annotations
 import random
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 from itertools import product
 
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..runtime import materialize
 from .validation import purged_kfold, scores
 
 JOBS = 4
@@ -83,17 +85,24 @@ def out_of_sample(make: Callable, rows: DataFrame, k: int = 5, weighted: bool =
     return out
 
 
-def cv_score(make: Callable, rows: DataFrame, k: int = 5, fit_weights: bool = True, score_weights: bool = True, balanced: bool = False) -> DataFrame:
+def written_folds(rows: DataFrame, k: int) -> DataFrame:
+    """The purged folds of the rows as a table, for many fits on the same rows."""
+    return materialize(purged_kfold(rows.select("symbol", "t0", "t1"), k), "folds")
+
+
+def cv_score(
+    make: Callable, rows: DataFrame, k: int = 5, fit_weights: bool = True, score_weights: bool = True, balanced: bool = False, folds: DataFrame | None = None
+) -> DataFrame:
     """Scores per fold."""
-    found = out_of_sample(make, rows, k, fit_weights, balanced)
+    found = out_of_sample(make, rows, k, fit_weights, balanced, folds)
     found = found if score_weights else found.withColumn("weight", F.lit(1.0))
     return scores(found, ("fold",))
 
 
 def four_ways(make: Callable, rows: DataFrame, k: int = 5) -> DataFrame:
-    out = None
+    out, folds = None, written_folds(rows, k)
     for a, b in product((True, False), repeat=2):
-        part = cv_score(make, rows, k, a, b).select("fold", "accuracy", F.lit(a).alias("fit_weighted"), F.lit(b).alias("score_weighted"))
+        part = cv_score(make, rows, k, a, b, folds=folds).select("fold", "accuracy", F.lit(a).alias("fit_weighted"), F.lit(b).alias("score_weighted"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -106,14 +115,19 @@ def train_and_evaluate(make: Callable, rows: DataFrame, k: int = 5):
 
 def search(family: Callable, rows: DataFrame, grid: Sequence[dict], k: int = 5) -> DataFrame:
     """trial, params, fold, score of each parameter set; ``balanced`` in a set goes to the fit."""
-    spark = rows.sparkSession
-    out = None
-    for trial, params in enumerate(grid):
+    spark, folds = rows.sparkSession, written_folds(rows, k)
+
+    def one(numbered: tuple[int, dict]) -> DataFrame:
+        trial, params = numbered
         named = spark.createDataFrame([(trial, {a: str(b) for a, b in params.items()})], "trial int, params map<string,string>")
         own = {a: b for a, b in params.items() if a != "balanced"}
-        part = cv_score(family(**own), rows, k, balanced=params.get("balanced", False)).select("fold", F.col("accuracy").alias("score")).crossJoin(F.broadcast(named))  # one row
-        out = part if out is None else out.unionByName(part)
-    return out
+        found = cv_score(family(**own), rows, k, balanced=params.get("balanced", False), folds=folds)
+        # A row per fold: written, so that the trial's models can be let go.
+        return materialize(found.select("fold", F.col("accuracy").alias("score")).crossJoin(F.broadcast(named)), "trial")  # one row
+
+    with ThreadPoolExecutor(JOBS) as pool:
+        parts = list(pool.map(one, enumerate(grid)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def grid_of(space: dict[str, Sequence]) -> list[dict]:
@@ -184,14 +198,16 @@ def mda(make: Callable, rows: DataFrame, columns: Sequence[str], k: int = 5, see
 
 def sfi(make: Callable, matrix: DataFrame, columns: Sequence[str], k: int = 5) -> DataFrame:
     """Single feature importance: the score of a model of each column alone."""
+    folds = written_folds(matrix, k)
+
     def one(c: str) -> DataFrame:
-        s = cv_score(make, dataset(matrix, [c]), k)
-        return s.agg(F.avg("neg_log_loss").alias("mean"), (F.stddev_samp("neg_log_loss") / F.sqrt(F.count("fold"))).alias("std")).withColumn("feature", F.lit(c))
+        s = cv_score(make, dataset(matrix, [c]), k, folds=folds)
+        error = F.stddev_samp("neg_log_loss") / F.sqrt(F.count("fold"))
+        return materialize(s.agg(F.avg("neg_log_loss").alias("mean"), error.alias("std")).select(F.lit(c).alias("feature"), "mean", "std"), "sfi")
 
-    out = None
-    for c in columns:
-        out = one(c) if out is None else out.unionByName(one(c))
-    return out.select("feature", "mean", "std")
+    with ThreadPoolExecutor(JOBS) as pool:
+        parts = list(pool.map(one, columns))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def importance_table(**tables: DataFrame) -> DataFrame:
