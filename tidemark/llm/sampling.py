@@ -44,7 +44,7 @@ SHARPNESS = 1.0
 BYTE_WEIGHT = -14.0
 UNKNOWN_WEIGHT = -20.0
 BATCH_BYTES = 1 << 20
-LATTICE_PART, DRAW_PART = 20_000, 20_000
+LATTICE_PART, DRAW_PART = 40_000, 40_000
 SPACE = "▁"
 WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 U = np.uint64
@@ -165,7 +165,7 @@ class Lattice:
 def build_lattice(words: list[str], pieces: Pieces) -> Lattice:
     """The lattice of all words, made of parts small enough for a processor's cache."""
     parts, states, arcs = [], 0, 0
-    ends = np.cumsum([len(w) for w in words]) if words else np.zeros(0, np.int64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
     at = 0
     while at < len(words):
         end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LATTICE_PART, "right")))
@@ -181,16 +181,20 @@ def build_lattice(words: list[str], pieces: Pieces) -> Lattice:
 
 
 def _lattice(words: list[str], pieces: Pieces) -> Lattice:
-    sizes = np.array([len(w) for w in words], np.int64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
     points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
-    start = np.cumsum(sizes) - sizes
-    left = np.repeat(start + sizes, sizes) - np.arange(len(points))  # characters to the word's end
+    start, n_states = np.cumsum(sizes) - sizes, len(points)
+    left = np.repeat(start + sizes, sizes) - np.arange(n_states)  # characters to the word's end
+    # States are numbered by the characters left, so sums to the end go over slices; the last one is the end.
+    by_left = np.argsort(left.astype(np.int16) if n_states and left.max() < 1 << 15 else left, kind="stable")
+    state = np.full(n_states + 1, n_states)
+    state[by_left] = np.arange(n_states)
     found: list[tuple] = []
-    count = np.zeros(len(points), np.int64)
-    h, at = np.zeros(len(points), U), np.arange(len(points))
+    count = np.zeros(n_states, np.int64)
+    h, at = np.zeros(n_states, U), np.arange(n_states)
 
-    def add(where: np.ndarray, want: int, piece: np.ndarray, weight: np.ndarray) -> None:
-        found.append((where, np.full(len(where), want), piece, weight, count[where]))
+    def add(where: np.ndarray, want: int, piece: np.ndarray, weight: np.ndarray | float) -> None:
+        found.append((where, want, piece, weight, count[where]))
         count[where] += 1
 
     table, n = pieces.starts, 0
@@ -205,38 +209,31 @@ def _lattice(words: list[str], pieces: Pieces) -> Lattice:
             # Characters without a piece are spelled in bytes: one choice, -1 - the character's place.
             bare = np.flatnonzero(count == 0)
             spelled = np.where(points[bare] < 0x80, 1, np.where(points[bare] < 0x800, 2, np.where(points[bare] < 0x10000, 3, 4)))
-            cost = BYTE_WEIGHT * spelled if pieces.bytes else np.full(len(bare), UNKNOWN_WEIGHT)
+            cost = BYTE_WEIGHT * spelled if pieces.bytes else UNKNOWN_WEIGHT
             add(bare, 1, -1 - points[bare].astype(np.int64), cost)
         go = known[table.more[entry] & (left[at[known]] > n)]
         at, h = at[go], h[go]
     # Choices of a state stand together, the shortest first.
+    count = count[by_left]
     first = np.cumsum(count) - count
-    where, length, piece, weight, number = (np.concatenate(c) for c in zip(*found, strict=True))
-    place = first[where] + number
-    columns = []
-    for column in (where, length, piece.astype(np.int64), weight.astype(float), number):
-        columns.append(np.empty_like(column))
-        columns[-1][place] = column
-    where, length, piece, weight, number = columns
-    # Sums to the end, by characters left.
-    beta = np.zeros(len(points) + 1)
-    target = where + length
-    ends = left[where] == length
-    by_left = np.argsort(left, kind="stable")
-    bounds = np.r_[0, np.cumsum(np.bincount(left))] if len(points) else np.zeros(1, int)
-    total = np.zeros(len(where))
-    for r in range(1, len(bounds) - 1):
-        states = by_left[bounds[r] : bounds[r + 1]]
-        if not len(states):
+    total = int(count.sum())
+    piece, target, value = np.empty(total, np.int64), np.empty(total, np.int64), np.empty(total)
+    for where, want, ids, weight, number in found:
+        place = first[state[where]] + number
+        piece[place] = ids
+        value[place] = weight
+        target[place] = np.where(left[where] == want, n_states, state[where + want])
+    beta = np.zeros(n_states + 1)
+    ends = np.cumsum(np.bincount(left, minlength=2)) if n_states else np.zeros(1, int)
+    for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        if s == e:
             continue
-        n = count[states]
-        block = np.cumsum(n) - n
-        arcs = np.repeat(first[states] - block, n) + np.arange(n.sum())
-        value = weight[arcs] + np.where(ends[arcs], 0.0, beta[np.where(ends[arcs], 0, target[arcs])])
-        total[arcs] = value
-        top = np.maximum.reduceat(value, block)
-        beta[states] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, n)), block))
-    log_p = total - beta[where]
+        own = slice(int(first[s]), int(first[e]) if e < n_states else total)
+        value[own] += beta[target[own]]
+        block, x = first[s:e] - first[s], value[own]
+        top = np.maximum.reduceat(x, block)
+        beta[s:e] = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, count[s:e])), block))
+    log_p = value - np.repeat(beta[:-1], count)
     # Sums inside a state only, so that nothing depends on the words around.
     p = np.exp(log_p)
     cumulated = p.copy()
@@ -246,13 +243,16 @@ def _lattice(words: list[str], pieces: Pieces) -> Lattice:
         cumulated[last] += cumulated[last - 1]
         c += 1
         states = states[count[states] > c]
-    cumulated[np.cumsum(count) - 1] = 2.0  # rounding must not leave a gap at the end
+    cumulated[first + count - 1] = 2.0  # rounding must not leave a gap at the end
     # The others of a choice of nearly all weight are added up: 1 - p would be rounding.
     large = p > 0.75
-    small = np.add.reduceat(np.where(large, 0.0, p), first) if len(p) else p
+    rest = 1 - p
+    if len(p):
+        heavy = np.flatnonzero(large)
+        rest[heavy] = np.repeat(np.add.reduceat(np.where(large, 0.0, p), first), count)[heavy]
     with np.errstate(divide="ignore"):
-        log_rest = np.log(np.where(large, small[where], 1 - p))
-    return Lattice(start, first, count, cumulated, log_p, log_rest, piece, np.where(ends, -1, target))
+        log_rest = np.log(rest)
+    return Lattice(state[start], first, count, cumulated, log_p, log_rest, piece, np.where(target == n_states, -1, target))
 
 
 def uniform(key: np.ndarray, counter: np.ndarray) -> np.ndarray:
@@ -387,9 +387,10 @@ def sample_batch(texts: list[str], keys: np.ndarray, pieces: Pieces, k: int) ->
     """For each normalised text its samples: (ids' arcs as piece numbers, log p, value, log inclusion)."""
     split = [[t] if pieces.whole and t else WORDS.findall(t) for t in texts]
     # Equal words share a lattice.
-    words = pa.array(list(chain.from_iterable(split)), pa.string()).dictionary_encode()
-    lattice = build_lattice(words.dictionary.to_pylist(), pieces)
-    flat = words.indices.to_numpy().astype(np.int64)
+    words = list(chain.from_iterable(split))
+    number = {w: n for n, w in enumerate(dict.fromkeys(words))}
+    flat = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+    lattice = build_lattice(list(number), pieces)
     size = np.array([len(s) for s in split], np.int64)
     row = np.repeat(np.arange(len(texts)), size)
     place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
