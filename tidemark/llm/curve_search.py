@@ -10,6 +10,11 @@ The window is fitted: for ``SAMPLE`` queries (those of the smallest id hashes) t
 searched among all vectors, and the window is the smallest that holds ``COVER`` of them on some curve.
 All vectors are indexed, and every query is searched alike.
 
+Curves and their ranks are made of keys and ids; vectors, in the width of their column, are joined to the
+ranks afterwards. On each curve queries are gathered by SUPER blocks (by two windows, if those are wider), so
+a vector goes to two gatherings of a curve at most, while the window is below MOST_SUPER / 2 blocks; a
+gathering's queries are held and the vectors around them stream past.
+
 Edge cases: vectors that are null, zero, of another length than most, or hold a null or non-finite
 component take no part, nor do null ids; of rows with one id the smallest vector counts; with fewer
 candidates all are returned; no queries or an empty table give an empty result; other columns are
@@ -30,7 +35,7 @@ from .common import materialize, ship
 CURVES = 6
 DIMENSIONS, BITS = 9, 7
 BLOCK = 1024
-SUPER, SLAB = 32, 64
+SUPER, MOST_SUPER, SLAB = 32, 1024, 64
 SAMPLE, COVER = 64, 0.95
 FIT_ROWS = 4096
 SEED = 20240101
@@ -93,13 +98,19 @@ class Curves:
         return out
 
 
+def _vector(raw: bytes, dim: int, n: int = 1) -> np.ndarray:
+    """The floats of n vectors in double precision, of the width that the bytes show."""
+    return np.frombuffer(raw, np.float32 if len(raw) == 4 * dim * n else np.float64).astype(np.float64)
+
+
 def _vectors(column: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, dim)
+    return _vector(b"".join(column.to_pylist()), dim, len(column)).reshape(-1, dim)
 
 
 def sound_vectors(df: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
-    """(vec_id, vec) of the rows that take part, the vector as its 64-bit floats, and its length."""
-    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    """(vec_id, vec) of the rows that take part, the vector as the bytes of its floats, and its length."""
+    kept = "array<float>" if df.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kept).alias("v"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     rows = rows.where("vec_id is not null and v is not null").where(F.forall("v", finite)).where(F.exists("v", lambda x: x != 0))
     sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
@@ -117,7 +128,7 @@ def sound_vectors(df: DataFrame, id_col: str, vector_col: str) -> tuple[DataFram
 
 
 def ranked(vectors: DataFrame, dim: int, curves: Curves, query_step: int) -> DataFrame:
-    """curve, block, vec_id, query, vec: every vector and query in its block of ranks on each curve."""
+    """curve, block, vec_id, query: every vector and query in its block of ranks on each curve."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -126,14 +137,14 @@ def ranked(vectors: DataFrame, dim: int, curves: Curves, query_step: int) -> Dat
                 at = np.flatnonzero(ids % query_step == 0) if query else np.arange(len(ids))
                 if not len(at):
                     continue
-                taken = b.take(pa.array(at))
+                taken = pa.array(ids[at])
                 for c, key in enumerate(curves.keys(x[at], query)):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), c, np.int32)), pa.array(key), taken.column(0), pa.array(np.full(len(at), query)), taken.column(1)],
-                        names=["curve", "key", "vec_id", "query", "vec"],
+                        [pa.array(np.full(len(at), c, np.int32)), pa.array(key), taken, pa.array(np.full(len(at), query))],
+                        names=["curve", "key", "vec_id", "query"],
                     )
 
-    rows = vectors.mapInArrow(keys, "curve int, key long, vec_id long, query boolean, vec binary")
+    rows = vectors.mapInArrow(keys, "curve int, key long, vec_id long, query boolean")
     order = ["curve", "key", "vec_id", "query"]
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     # The place within the part; parts are in order, so the rows before a part are counts of parts.
@@ -149,9 +160,7 @@ def ranked(vectors: DataFrame, dim: int, curves: Curves, query_step: int) -> Dat
         F.coalesce(F.sum("rows").over(W.partitionBy("curve").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"),
     )
     rank = F.col("before") + F.col("n") - F.col("first")
-    return placed.join(before, ["curve", "part"]).select(
-        "curve", F.floor(rank / BLOCK).cast("long").alias("block"), "vec_id", "query", "vec"
-    )
+    return placed.join(before, ["curve", "part"]).select("curve", F.floor(rank / BLOCK).cast("long").alias("block"), "vec_id", "query")
 
 
 def best_of(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -229,7 +238,7 @@ def fitted_window(vectors: DataFrame, dim: int, ranks: DataFrame, query_step: in
     if not sample:
         return 0
     q_ids = np.array([r["vec_id"] for r in sample])
-    q = np.stack([np.frombuffer(r["vec"], np.float64) for r in sample])
+    q = np.stack([_vector(r["vec"], dim) for r in sample])
     truth = [(r["query_id"], r["vec_id"]) for r in exact_search(vectors, dim, q_ids, q, k).collect()]
     if not truth:
         return 0
@@ -260,29 +269,64 @@ def nearest(
             yield pa.RecordBatch.from_arrays([pa.array([float(np.sqrt((x * x).sum(axis=1)).max())] if len(x) else [0.0])], names=["m"])
 
     most = vectors.mapInArrow(longest, "m double").agg(F.max("m")).first()[0]
-    model = Curves(np.stack([np.frombuffer(v, np.float64) for v in sample]), most, curves)
+    model = Curves(np.stack([_vector(v, dim) for v in sample]), most, curves)
     ranks = materialize(ranked(vectors, dim, model, query_step), "curve-blocks")
     w = fitted_window(vectors, dim, ranks, query_step, k)
 
-    # Queries of SUPER blocks meet candidates of SLAB blocks; both sides of a pair are bounded.
-    span = lambda of, n: F.sequence(F.greatest(F.lit(0), F.floor((F.col("block") - w) / n)), F.floor((F.col("block") + w) / n))
-    candidates = ranks.where("not query").select("*", F.explode(span("block", SUPER)).alias("super"), F.floor(F.col("block") / SLAB).alias("slab"))
-    queries = ranks.where("query").select("*", F.floor(F.col("block") / SUPER).alias("super"), F.explode(span("block", SLAB)).alias("slab"))
-
-    def search(table: pa.Table) -> pa.Table:
-        ids, block = table.column("vec_id").to_numpy(), table.column("block").to_numpy()
-        query, x = table.column("query").to_numpy(zero_copy_only=False), _vectors(table.column("vec").combine_chunks(), dim)
-        order = np.lexsort((ids, block, query))
-        ids, block, query, x = ids[order], block[order], query[order], x[order]
-        n = int((~query).sum())
-        c_block, rows = block[:n], []
-        for own in np.unique(block[n:]):
-            lo, hi = np.searchsorted(c_block, [own - w, own + w + 1])
-            at = n + np.flatnonzero(block[n:] == own)
-            if hi > lo:
-                rows += _found(ids[at], x[at], ids[lo:hi], x[lo:hi], k)
-        cols = list(zip(*rows)) or [(), (), ()]
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "ids": pa.array(cols[1], pa.binary()), "scores": pa.array(cols[2], pa.binary())})
-
-    found = candidates.union(queries).groupBy("curve", "super", "slab").applyInArrow(search, FOUND)
-    return merge(found, k)
+    # Queries of some blocks meet the candidates of these and of a window on both sides.
+    wide = min(MOST_SUPER, max(SUPER, 2 * w))
+    last = ranks.agg(F.max("block")).first()[0] // wide
+    gathering = lambda block: F.floor(block / wide)
+    spans = F.sequence(F.greatest(F.lit(0), gathering(F.col("block") - w)), F.least(F.lit(last), gathering(F.col("block") + w)))
+    own = F.array(gathering(F.col("block")))
+    rows = ranks.join(vectors, "vec_id").withColumn("super", F.explode(F.when(F.col("query"), own).otherwise(spans)))
+    order = ["curve", "super", F.desc("query"), "block", "vec_id"]
+    rows = rows.select("curve", "super", "query", "block", "vec_id", "vec").repartition("curve", "super").sortWithinPartitions(*order)
+    return merge(rows.mapInArrow(lambda batches: searched(batches, dim, w, k), FOUND), k)
+
+
+def searched(batches: Iterator[pa.RecordBatch], dim: int, w: int, k: int) -> Iterator[pa.RecordBatch]:
+    """What each query finds within w blocks in its gathering. Rows come by curve and gathering, queries first,
+    both in the order of blocks."""
+    place, queries, held, best = None, [], [], {}
+
+    def flush() -> None:
+        if queries and held:
+            q_block, q_ids, q = (np.concatenate(x) for x in zip(*queries, strict=True))
+            block, ids, x = (np.concatenate(y) for y in zip(*held, strict=True))
+            for at in np.unique(q_block):
+                lo, hi = np.searchsorted(block, [at - w, at + w + 1])
+                if lo == hi:
+                    continue
+                a, b = np.searchsorted(q_block, [at, at + 1])
+                for n, near, scores in _found(q_ids[a:b], q[a:b], ids[lo:hi], x[lo:hi], k):
+                    if n in best:
+                        near, scores = best[n][0] + near, best[n][1] + scores
+                        top = best_of(np.frombuffer(near, np.int64), np.frombuffer(scores, np.float64), k)
+                        near, scores = np.frombuffer(near, np.int64)[top].tobytes(), np.frombuffer(scores, np.float64)[top].tobytes()
+                    best[n] = near, scores
+        held.clear()
+
+    def found() -> Iterator[pa.RecordBatch]:
+        flush()
+        for at in range(0, len(best), 5000):
+            some = list(best.items())[at : at + 5000]
+            columns = pa.array([n for n, _ in some], pa.int64()), *(pa.array([v[j] for _, v in some], pa.binary()) for j in (0, 1))
+            yield pa.RecordBatch.from_arrays(list(columns), names=["query_id", "ids", "scores"])
+        queries.clear()
+        best.clear()
+
+    for batch in batches:
+        curve, gathering, query, block, ids = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:5])
+        cuts = np.flatnonzero((np.diff(curve) != 0) | (np.diff(gathering) != 0) | (np.diff(query.astype(np.int8)) != 0)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)], strict=True):
+            if a == b:
+                continue
+            if place != (curve[a], gathering[a]):
+                yield from found()
+                place = curve[a], gathering[a]
+            if query[a] or queries:
+                (queries if query[a] else held).append((block[a:b], ids[a:b], _vectors(batch.column(5).slice(a, b - a), dim)))
+            if sum(len(y[1]) for y in held) >= SLAB * BLOCK // 2:
+                flush()
+    yield from found()
