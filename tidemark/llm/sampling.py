@@ -104,9 +104,12 @@ class Pieces:
 
     def decoded(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The bytes that ids spell, and how many each does."""
-        n = self.sizes[ids]
-        at = np.repeat(self.begin[ids] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return self.raw[at].tobytes(), n
+        n, parts = self.sizes[ids], []
+        for at in range(0, len(ids), DRAW_PART):
+            own = n[at : at + DRAW_PART]
+            ends = np.cumsum(own)
+            parts.append(self.raw[np.repeat(self.begin[ids[at : at + DRAW_PART]] - (ends - own), own) + np.arange(ends[-1])].tobytes())
+        return b"".join(parts), n
 
 
 def _roll(h: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -302,10 +305,9 @@ def _draw(lattice: Lattice, state: np.ndarray, key: np.ndarray, counter: np.ndar
     return arcs, states, count
 
 
-def truncated(bound: np.ndarray, location: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """Gumbel variables at the locations, given that they are below the bound."""
-    with np.errstate(over="ignore", divide="ignore"):
-        return bound - np.logaddexp(0.0, np.log(-np.log(u)) + bound - location)
+def truncated(bound: float, location: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    """Gumbel variables at the locations, given that they are below the bound; noise: log(-log u)."""
+    return bound - np.logaddexp(0.0, noise + bound - location)
 
 
 @dataclass
@@ -341,8 +343,9 @@ def queue_siblings(
     """For each row queue the siblings along its newest path from step ``since`` on; ``shut``: choices taken
     before at that step; ``base``: the log probability of the steps before it.
 
-    Every step's set gets its value; of one path no more than the k + 1 best sets are ever opened or give
-    the threshold, so those are queued.
+    Every step's set gets its Gumbel variable; of one path no more than the k + 1 best sets are ever opened or
+    give the threshold, so those are queued. Truncation at the path's value keeps their order, so it is left
+    to those.
     """
     k, n = searches[0].k, len(searches[0].paths) + 1
     arcs = [p.arcs[t:] for p, t in zip(paths, since, strict=True)]
@@ -360,17 +363,19 @@ def queue_siblings(
             before[a + 1 : a + m] += b
         if x:
             rest[a] = _rest(lattice, p, t, x)
-    bound, key = np.repeat([p.value for p in paths], length), np.repeat(mix(keys), length)
-    value = np.empty(len(flat))
+    key = np.repeat(mix(keys), length)
+    noise = np.empty(len(flat))
     for at in range(0, len(flat), DRAW_PART):
         cut = slice(at, at + DRAW_PART)
         u = _uniform(key[cut], (step[cut].astype(U) << U(8)) + U(n + (1 << 50)))
-        value[cut] = truncated(bound[cut], before[cut] + rest[cut], u)
+        noise[cut] = np.log(-np.log(u))
+    place = before + rest
+    free = place - noise
     for search, path, a, m, t, x in zip(searches, paths, start.tolist(), length.tolist(), since, shut, strict=True):
         search.paths.append(path)
-        own = value[a : a + m]
-        top = np.argpartition(own, m - k - 1)[m - k - 1 :] if m > k + 1 else np.arange(m)
-        search.push(path, (top + t).tolist(), own[top].tolist(), before[a + top].tolist(), t, x)
+        top = np.argpartition(free[a : a + m], m - k - 1)[m - k - 1 :] if m > k + 1 else np.arange(m)
+        value = truncated(path.value, place[a + top], noise[a + top])
+        search.push(path, (top + t).tolist(), value.tolist(), before[a + top].tolist(), t, x)
 
 
 def _choices(lattice: Lattice, state: int, shut: Sequence[int]) -> list[int]:
