@@ -438,9 +438,13 @@ def _(spark, sf):
     d, (b, lab) = _data(spark, sf), labelled(spark, sf)
     out = None
     for seed in SEEDS:
-        rows = _meta_rows(models.out_of_sample(_forest(seed), d, 6), lab).withColumnRenamed("side", "primary_side")
+        # Predictions are written, so that no seed's plan carries the models of those before.
+        oos = models.out_of_sample(_forest(seed), d, 6)
+        oos = materialize(oos.select("symbol", "t0", "t1", "weight", "side", "p", *features.CORE), "oos")
+        rows = _meta_rows(oos, lab).withColumnRenamed("side", "primary_side")
         meta = models.out_of_sample(_meta_forest(seed), rows, FOLDS, balanced=True)
-        signals = bets.bet_signal(meta.select("symbol", "t0", "t1", F.col("primary_side").alias("side"), "p"))
+        meta = materialize(meta.select("symbol", "t0", "t1", F.col("primary_side").alias("side"), "p"), "meta")
+        signals = bets.bet_signal(meta)
         run = bt.backtest(bets.daily_positions(bets.average_active(signals), b, 0.2), b)
         part = bt.sharpe(run).withColumn("seed", F.lit(seed))
         out = part if out is None else out.unionByName(part)
