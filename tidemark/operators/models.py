@@ -2,6 +2,7 @@
 
 Folds are a role table, so a fold is a semi-join; fits of different folds, trials or features are
 independent jobs and run from a small thread pool, so that the scheduler fills the cluster with them.
+Out-of-sample models of tables that a task can hold are fitted in one task a fold (``trees``), by the same rules.
 """
 
 from __future__ import annotations
@@ -12,6 +13,9 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -20,9 +24,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..runtime import materialize
+from . import trees
 from .validation import purged_kfold, scores
 
 JOBS = 4
+TASK_ROWS = 50_000  # of a table whose models are fitted in one task each; larger ones go to Spark ML, whole
 
 
 def forest(trees: int = 500, depth: int = 5, leaf: int = 10, features: str = "sqrt", seed: int = 42) -> Callable:
@@ -58,8 +64,10 @@ def fit(make: Callable, rows: DataFrame, weighted: bool = True, balanced: bool =
 
 def predict(model, rows: DataFrame) -> DataFrame:
     """pred (-1 or 1), p and side = sign(2 p - 1), 0 counting as 1."""
-    p = vector_to_array("probability")[1]
-    out = model.transform(rows).withColumn("p", p)
+    return _sided(model.transform(rows).withColumn("p", vector_to_array("probability")[1]))
+
+
+def _sided(out: DataFrame) -> DataFrame:
     return out.withColumns({"pred": F.when(F.col("p") > 0.5, 1).otherwise(-1), "side": F.when(F.col("p") >= 0.5, 1.0).otherwise(-1.0)})
 
 
@@ -72,19 +80,67 @@ def fold_parts(rows: DataFrame, folds: DataFrame, fold: int) -> tuple[DataFrame,
 def out_of_sample(make: Callable, rows: DataFrame, k: int = 5, weighted: bool = True, balanced: bool = False, folds: DataFrame | None = None) -> DataFrame:
     """Every row predicted once, by the model of the fold it is tested in."""
     folds = folds if folds is not None else purged_kfold(rows.select("symbol", "t0", "t1"), k)
+    if _in_a_task(rows):
+        return _in_tasks(make, rows, k, weighted, balanced, folds)
 
     def one(fold: int) -> DataFrame:
         train, test = fold_parts(rows, folds, fold)
         return predict(fit(make, train, weighted, balanced), test).withColumn("fold", F.lit(fold))
 
-    with ThreadPoolExecutor(JOBS) as pool:
-        parts = list(pool.map(one, range(k)))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    if _in_a_task(rows):
+        found = scores(_in_tasks(make, rows, k, True, False, folds, seed), ("feature", "fold"))
+        out = materialize(found.select("feature", F.col("neg_log_loss").alias("score"), "fold"), "shuffled")
+    else:
+        with ThreadPoolExecutor(JOBS) as pool:
+            out = reduce(DataFrame.unionByName, pool.map(one, range(k)))
     return out
 
 
+def _in_a_task(rows: DataFrame) -> bool:
+    return rows.limit(TASK_ROWS + 1).count() <= TASK_ROWS
+
+
+def _in_tasks(make: Callable, rows: DataFrame, k: int, weighted: bool, balanced: bool, folds: DataFrame, shuffled: int | None = None) -> DataFrame:
+    """The same, a task fitting the model of a fold and predicting its test rows; the predictions are written.
+
+    A seed in ``shuffled`` adds the predictions with each column shuffled, by number in ``feature`` (-1: none is).
+    """
+    given = trees.settings_of(make())
+    weight = F.col("weight") if weighted else F.lit(1.0)
+    own = rows.select("symbol", "t0", F.col("class").cast("double"), weight.cast("double").alias("w"), vector_to_array("features").alias("x"))
+    parts = folds.where(F.col("role").isin("train", "test") & (F.col("fold") < k)).select("fold", "role", "symbol", "t0")
+
+    def build(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("symbol", "ascending"), ("t0", "ascending")])  # so no partitioning changes a model
+        test = pc.equal(table["role"], "test")
+        asked, used = table.filter(test), table.filter(pc.invert(test))
+        if len(asked):
+            x, z = (np.array(t["x"].to_pylist(), float).reshape(len(t), -1) for t in (used, asked))
+            c, w = used["class"].to_numpy(), used["w"].to_numpy()
+            if balanced:
+                n = np.bincount(c.astype(int))
+                w = w * (len(c) / (np.count_nonzero(n) * n))[c.astype(int)]
+            which, asked_x = [-1], [z]
+            if shuffled is not None:
+                order = np.random.default_rng(shuffled).permutation(len(z))
+                for j in range(z.shape[1]):
+                    which.append(j)
+                    asked_x.append(z.copy())
+                    asked_x[-1][:, j] = z[order, j]
+            p, n = trees.probabilities(x, c, w, np.concatenate(asked_x), given), len(which)
+        else:
+            p, which, n = np.zeros(0), [], 0
+        keys = asked.select(["fold", "symbol", "t0"])
+        keys = pa.concat_tables([keys] * n) if n else keys
+        return keys.append_column("feature", pa.array(np.repeat(which, len(asked)), pa.int32())).append_column("p", pa.array(p, pa.float64()))
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    shape = f"fold {parts.schema['fold'].dataType.simpleString()}, symbol {kinds['symbol']}, t0 {kinds['t0']}, feature int, p double"
+    found = parts.join(own, ["symbol", "t0"]).repartition(k, "fold").groupBy("fold").applyInArrow(build, shape)
+    found = materialize(found.withColumn("fold", F.col("fold").cast("int")), "predictions")
+    return _sided(rows.join(found if shuffled is not None else found.drop("feature"), ["symbol", "t0"]))
+
+
 def written_folds(rows: DataFrame, k: int) -> DataFrame:
     """The purged folds of the rows as a table, for many fits on the same rows."""
     return materialize(purged_kfold(rows.select("symbol", "t0", "t1"), k), "folds")
@@ -165,7 +221,7 @@ def mdi(model, columns: Sequence[str], spark) -> DataFrame:
 
 def mda(make: Callable, rows: DataFrame, columns: Sequence[str], k: int = 5, seed: int = 42) -> DataFrame:
     """Mean decrease of accuracy (log loss) when one test column is shuffled; all columns in one pass a fold."""
-    folds = purged_kfold(rows.select("symbol", "t0", "t1"), k)
+    folds = written_folds(rows, k)
     plain = [c for c in rows.columns if c != "features"]
     w = W.partitionBy()
 
@@ -185,11 +241,12 @@ def mda(make: Callable, rows: DataFrame, columns: Sequence[str], k: int = 5, see
         long = VectorAssembler(inputCols=list(columns), outputCol="features").transform(long)
         return scores(predict(model, long), ("feature",)).select("feature", F.col("neg_log_loss").alias("score"), F.lit(fold).alias("fold"))
 
-    with ThreadPoolExecutor(JOBS) as pool:
-        parts = list(pool.map(one, range(k)))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    if _in_a_task(rows):
+        found = scores(_in_tasks(make, rows, k, True, False, folds, seed), ("feature", "fold"))
+        out = materialize(found.select("feature", F.col("neg_log_loss").alias("score"), "fold"), "shuffled")
+    else:
+        with ThreadPoolExecutor(JOBS) as pool:
+            out = reduce(DataFrame.unionByName, pool.map(one, range(k)))
     base = out.where("feature = -1").select("fold", F.col("score").alias("base"))
     loss = out.where("feature >= 0").join(base, "fold").withColumn("loss", F.col("base") - F.col("score"))
     names = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("feature") + 1)

@@ -180,7 +180,8 @@ def _fold_scores(spark, sf, name, columns=features.CORE):
     """mean_score and std_score of a model over the purged folds; one fit a session."""
 
     def make():
-        found = models.cv_score(MODELS[name], _data(spark, sf, columns), FOLDS)
+        folds = _once(spark, sf, "folds", lambda: validation.purged_kfold(_matrix(spark, sf).select("symbol", "t0", "t1"), FOLDS))
+        found = models.cv_score(MODELS[name], _data(spark, sf, columns), FOLDS, folds=folds)
         return found.agg(F.avg("accuracy").alias("mean_score"), F.stddev_samp("accuracy").alias("std_score"))
 
     return _once(spark, sf, f"scores-{name}-{len(columns)}".replace(" ", "-"), make)
