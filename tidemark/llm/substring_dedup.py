@@ -3,7 +3,8 @@
 1. Seeds: those k-word shingles of every whole text whose least inner shingle (by hash) stands first or
    last in them (closed syncmers). The choice depends on the shingle alone, so both texts of a fuzzy
    match choose alike; of ``k - inner`` neighbours one is chosen at least, so any exact run of
-   ``2 * k - inner - 1`` words has a seed. Each seed that several documents share is tied to its first
+   ``2 * k - inner - 1`` words has a seed. All occurrences of a seed come together in one exchange (those
+   of very common seeds stay, and their sources are broadcast). Each seed that several documents share is tied to its first
    occurrence (smallest doc_id, then place): one match per occurrence, however many documents share it.
 2. Chains: per document and source document, matches in rising order of both places are chained by
    dynamic programming; the score of a chain is its seeds less a cost linear in the gaps, and the best
@@ -32,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HIT_SETTINGS, fresh_path, materialize, settings, ship, tidy
+from .common import HIT_SETTINGS, HOT_ROWS, MOST_HOT, materialize, settings, ship, tidy
 from .ngram_jaccard import MULT, U, _id_text, _signed
 from .packing import slices
 from .word_hash import hashed_words, mix
@@ -46,6 +47,7 @@ IDENTITY = 0.8
 PAD, GRID = 40, 64
 JOIN_GAP = 3
 X_DROP, DIAGONALS = 6, 4
+HOT_SHARE = 64
 
 
 def _grams(h: np.ndarray, k: int) -> np.ndarray:
@@ -98,6 +100,39 @@ def seed_rows(docs: DataFrame, k: int, inner: int) -> DataFrame:
     return docs.mapInArrow(tidy(build), "seed long, doc_id long, at int")
 
 
+def common_seeds(docs: DataFrame, k: int, inner: int) -> DataFrame:
+    """Seeds that would make a long task, fewer than ``MOST_HOT``. They are told from the documents of one hash in
+    ``HOT_SHARE``; a seed not found here only stays with all others, the matches are the same."""
+    part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(HOT_SHARE)) == 0)
+    counted = materialize(seed_rows(part, k, inner).groupBy("seed").count(), "seed-counts")
+    total = counted.agg(F.sum("count")).first()[0] or 0
+    return counted.where(F.col("count") > max(HOT_ROWS // HOT_SHARE, total // MOST_HOT)).select("seed")
+
+
+def seed_matches(seeds: DataFrame, common: DataFrame) -> DataFrame:
+    """(doc_id, at, source, source_at) of each occurrence of a seed outside the first document that has it.
+
+    All occurrences of a seed come together once, so a source needs no join of its own. Those of common
+    seeds stay where they are, and their sources are broadcast.
+    """
+    from pyspark.sql import Window as W
+
+    spot = F.struct("doc_id", "at")
+    # In rising order the first row so far is the first of all.
+    by = W.partitionBy("seed").orderBy("doc_id", "at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    common = materialize(common, "common-seeds")
+    hot = None
+    if not common.isEmpty():
+        at_home = seeds.join(F.broadcast(common), "seed")
+        first = materialize(at_home.groupBy("seed").agg(F.min(spot).alias("first")), "seed-sources")
+        hot = at_home.join(F.broadcast(first), "seed")
+        seeds = seeds.join(F.broadcast(common), "seed", "left_anti")
+    found = seeds.withColumns({"source": F.first("doc_id").over(by), "source_at": F.first("at").over(by)})
+    if hot is not None:
+        found = found.unionByName(hot.select("seed", "doc_id", "at", F.col("first.doc_id").alias("source"), F.col("first.at").alias("source_at")))
+    return found.where(F.col("doc_id") != F.col("source")).select("doc_id", F.col("at").cast("long"), "source", F.col("source_at").cast("long"))
+
+
 class PrefixMaximum:
     """Fenwick tree: raise a value at a place, ask for the largest value and its owner below a place."""
 
@@ -440,21 +475,7 @@ def passages(
     repeated = docs.groupBy("doc_id").count().where("count > 1")
     if not repeated.isEmpty():
         docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
-    # Places rise within a document: this version of the format stores them as differences.
-    path, rows = fresh_path(df.sparkSession, "seeds"), seed_rows(docs, k, inner)
-    rows.write.option("parquet.writer.version", "PARQUET_2_0").parquet(path)
-    seeds = df.sparkSession.read.schema(rows.schema).parquet(path)
-    shared = materialize(
-        seeds.groupBy("seed").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where(F.col("source") < F.col("last")),
-        "shared-seeds",
-    )
-    with settings(df.sparkSession, HIT_SETTINGS):
-        places = seeds.join(shared.where(F.col("last") > F.col("source")).select("seed", "source"), "seed")
-        places = materialize(places, "seed-places")
-    first = places.where(F.col("doc_id") == F.col("source")).groupBy("seed").agg(F.min("at").alias("source_at"))
-    first = materialize(first, "seed-sources")  # a plain table, so that the join can split a common seed
-    matches = places.where(F.col("doc_id") != F.col("source")).join(first, "seed")
-    matches = matches.select("doc_id", F.col("at").cast("long"), "source", F.col("source_at").cast("long"))
+    matches = seed_matches(seed_rows(docs, k, inner), common_seeds(docs, k, inner))
     chain_table = materialize(chain_rows(matches, k), "chains")
     pieces = materialize(aligned(chain_table, docs, k), "pieces")
     return merged(pieces, min_words)
