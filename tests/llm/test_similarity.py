@@ -3,6 +3,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import ngram_jaccard as nj
@@ -315,3 +316,62 @@ def test_nearest_recall(spark):
     few = nearest(spark.createDataFrame(rows[:5], "vec_id long, embedding array<float>, score int")).collect()
     assert sorted(r["vec_id"] for r in few) == [1, 2, 3, 4]
     assert nearest(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("common", [[], [3, 7]])
+def test_seeds_meet_their_first_occurrence_in_one_exchange(spark, common):
+    rng = random.Random(5)
+    rows = [(rng.randrange(12), rng.randrange(-9, 9), n) for n in range(300)]
+    first = {}
+    for seed, doc, at in sorted(rows):
+        first.setdefault(seed, (doc, at))
+    want = sorted((doc, at, *first[seed]) for seed, doc, at in rows if doc != first[seed][0])
+    seeds = spark.createDataFrame(rows, "seed long, doc_id long, at int")
+    found = sd.seed_matches(seeds, spark.createDataFrame([(c,) for c in common], "seed long"))
+    plan = found._jdf.queryExecution().executedPlan().toString()  # not run yet: no plan of before and after in it
+    assert "bloom" not in plan.lower() and plan.count("Exchange hashpartitioning(seed") == 1
+    assert sorted(map(tuple, found.collect())) == want
+
+
+def test_passages_are_the_same_with_common_seeds_apart(spark, monkeypatch):
+    rng = random.Random(8)
+    line, vocab = [f"c{i}" for i in range(60)], [f"w{i}" for i in range(900)]
+    rows = [(d, " ".join(rng.choices(vocab, k=80) + line + rng.choices(vocab, k=70))) for d in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = sorted(map(tuple, passages(docs).collect()))
+    assert len(plain) == 39
+    monkeypatch.setattr(sd, "HOT_SHARE", 2)
+    monkeypatch.setattr(sd, "HOT_ROWS", 8)
+    monkeypatch.setattr(sd, "MOST_HOT", 10_000)
+    assert sd.common_seeds(docs, sd.K, sd.INNER).count() > 0
+    assert sorted(map(tuple, passages(docs).collect())) == plain
+
+
+def test_workers_drop_what_other_operators_held():
+    from tidemark.llm.common import tidy, worker_cache
+
+    own, other = worker_cache("one"), worker_cache("another")
+    own["table"] = other["table"] = [0]
+    assert list(tidy(lambda batches: batches, "one")(iter("ab"))) == ["a", "b"]
+    assert own == {"table": [0]} and other == {}
+    assert list(tidy(lambda batches: batches)(iter(""))) == [] and own == {}
+
+
+def test_texts_are_hashed_in_small_parts(spark, monkeypatch):
+    from tidemark.llm import packing
+
+    seen = []
+    monkeypatch.setattr(sd, "slices", lambda column, most: seen.append(most) or packing.slices(column, most))
+    texts = [" ".join(f"w{i * j % 997}" for j in range(3000)) for i in range(100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(texts)], names=["doc_id", "text"])
+
+    class Rows:
+        sparkSession = spark
+        mapInArrow = staticmethod(lambda build, schema: list(build(iter([batch]))))
+
+    parts = sd.seed_rows(Rows, sd.K, sd.INNER)
+    assert seen == [sd.PART_BYTES] and sd.PART_BYTES <= 1 << 19 and len(parts) > 1
+    found, text, _ = sd.syncmers(sd.hashed_words(batch.column(1)), sd.K, sd.INNER)
+    assert sorted(zip(np.concatenate([p.column(0).to_numpy() for p in parts]), np.concatenate([p.column(1).to_numpy() for p in parts]))) == sorted(
+        zip(found.view(np.int64), text)
+    )

@@ -6,6 +6,7 @@ import ctypes
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,16 +26,35 @@ HOT_ROWS = MOST_HOT = 10_000
 
 def trim() -> None:
     """Give freed memory back to the system: Python workers live on and would keep their largest size."""
+    pa.default_memory_pool().release_unused()  # Arrow's own allocator
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):  # another C library
         pass
 
 
-def tidy(build: Callable) -> Callable:
-    """A function over batches that gives its memory back in the end."""
+_caches: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What an operator holds in a Python worker from task to task."""
+    return _caches.setdefault(owner, {})
+
+
+def forget_others(owner: str | None) -> None:
+    """Empty the caches of all other operators: their tasks are over when those of another come to the worker."""
+    held = [cache for name, cache in _caches.items() if name != owner and cache]
+    for cache in held:
+        cache.clear()
+    if held:
+        trim()
+
+
+def tidy(build: Callable, owner: str | None = None) -> Callable:
+    """A function over batches that gives its memory back in the end; the owner's cache stays for its next task."""
 
     def run(batches: Iterator) -> Iterator:
+        forget_others(owner)
         yield from build(batches)
         trim()
 

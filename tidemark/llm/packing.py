@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import ship, tidy
+from .common import ship, tidy, worker_cache
 
 TIERS = (2048, 1024, 512, 256)
 END_ID = 1
@@ -248,13 +248,13 @@ SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "context int, step_group long"
 )
-_encoders: dict[str, WordEncoder] = {}
 
 
 def _encoder(path: str) -> WordEncoder:
-    if path not in _encoders:  # workers are used again for later tasks
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    held = worker_cache("packing")  # workers are used again for later tasks
+    if path not in held:
+        held[path] = WordEncoder(path)
+    return held[path]
 
 
 def slices(column: pa.Array, most_bytes: int = 8 << 20) -> Iterator[slice]:
@@ -324,4 +324,4 @@ def pack_documents(
 
     ship(df.sparkSession)
     rows_in = df.selectExpr(f"cast(`{id_col}` as bigint) doc_id", f"cast(`{text_col}` as string) text")
-    return rows_in.mapInArrow(tidy(pack), SCHEMA + ", ids array<int>" * with_ids)
+    return rows_in.mapInArrow(tidy(pack, "packing"), SCHEMA + ", ids array<int>" * with_ids)

@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import ship, tidy
+from .common import ship, tidy, worker_cache
 from .packing import slices
 from .word_hash import mix
 
@@ -485,9 +485,6 @@ def spelled(chosen: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]
     return out, count
 
 
-_pieces: dict[str, Pieces] = {}
-
-
 def sample_segmentations(
     df: DataFrame, model_path: str, k: int = SAMPLES, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -500,9 +497,10 @@ def sample_segmentations(
     schema = pa.schema(columns)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model_path not in _pieces:
-            _pieces[model_path] = Pieces(model_path)
-        pieces = _pieces[model_path]
+        held = worker_cache("sampling")  # workers are used again for later tasks
+        if model_path not in held:
+            held[model_path] = Pieces(model_path)
+        pieces = held[model_path]
         for batch in batches:
             for part in slices(batch.column(1), BATCH_BYTES):
                 ids = batch.column(0)[part].to_pylist()
@@ -532,4 +530,4 @@ def sample_segmentations(
         "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, log_inclusion double, "
         "ids_crc32 long, decodes boolean" + ", ids array<int>" * with_ids
     )
-    return rows_in.mapInArrow(tidy(build), shape)
+    return rows_in.mapInArrow(tidy(build, "sampling"), shape)
