@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from tidemark.llm import sampling
 from tidemark.llm.sampling import Pieces, sample_batch, sample_segmentations
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -180,3 +181,31 @@ def test_pipeline_stages_with_odd_tables(spark):
             assert len(got) == sum(bool(t) and t != "zz short" for _, t in docs)  # its pairs of letters are new
     assert cp.STAGES[-1][1](spark, df.limit(0), "").collect() == []
     assert {r["doc_id"] for r in cp.STAGES[-1][1](spark, df, "").collect()} == {i for i, _ in docs}
+
+
+def test_lattices_of_recurring_words_are_built_once(monkeypatch):
+    """Batches that share held lattices give what each gives alone, bit by bit."""
+    pieces = Pieces(MODEL)
+    built = []
+    lattice = sampling._lattice
+    monkeypatch.setattr(sampling, "_lattice", lambda words, p: built.extend(words) or lattice(words, p))
+    vocab = [f"word{i * 37 % 101}x" for i in range(60)] + ["日本", "a\u2028b"]
+    batches = [[pieces.normalize(" ".join(vocab[(i * b + j) % len(vocab)] for j in range(25 + i))) for i in range(5)] + [""] for b in range(1, 7)]
+    keys = np.arange(6, dtype=np.uint64)
+    held, texts = sampling.Lattices(), 0
+    together = [list(sample_batch(b, keys, pieces, 3, held)) for b in batches]
+    assert max(built.count(w) for w in built) == 2 and held.held[0] > 40
+    built.clear()
+    for own, b in zip(together, batches, strict=True):
+        for x, y in zip(own, sample_batch(b, keys, pieces, 3), strict=True):
+            assert [(c[0].tolist(), *c[1:]) for c in x] == [(c[0].tolist(), *c[1:]) for c in y]
+            texts += 1
+    assert texts == 36
+    monkeypatch.setattr(sampling, "MOST_HELD_ARCS", 0)
+    none = sampling.Lattices()
+    assert [len(list(sample_batch(b, keys, pieces, 3, none))) for b in batches] == [6] * 6 and none.held == (0, 0, 0)
+
+
+def test_words_are_split_as_by_the_pattern():
+    for text in ("", "▁", "a", "▁a▁b", "a▁", "▁▁a▁b", "a▁▁", "▁a\n▁b", "x▁é\u2028▁y"):
+        assert sampling.split_words(text) == sampling.WORDS.findall(text)

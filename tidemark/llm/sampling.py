@@ -10,7 +10,7 @@ a child is drawn in it, and followed to a leaf. The (k+1)-th value is the thresh
 sample has its inclusion score, log(1 - exp(-exp(log p - threshold))).
 
 Pieces don't reach over a word's start, so words are lattices of their own; equal words of a batch
-share one. Drawing runs over all words of a batch at once. Random numbers are a counter hash of the
+share one, and those of recurring words are held for later batches. Drawing runs over all words of a batch at once. Random numbers are a counter hash of the
 row's key, the sample and the place, so results depend on the row alone.
 
 A BPE model has merge ranks for scores; a piece of rank r weighs -SHARPNESS * log(r + 2). Characters
@@ -45,6 +45,7 @@ BYTE_WEIGHT = -14.0
 UNKNOWN_WEIGHT = -20.0
 BATCH_BYTES = 1 << 20
 LATTICE_PART, DRAW_PART = 40_000, 40_000
+MOST_HELD_ARCS, MOST_ONCE = 4_000_000, 400_000
 SPACE = "▁"
 WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 U = np.uint64
@@ -165,22 +166,87 @@ class Lattice:
     follows: np.ndarray
 
 
+class Numbers(dict):
+    """Numbers of words; words without one get the next, and are listed."""
+
+    missing: list[str]
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.missing.append(word)
+        return n
+
+
+class Lattices:
+    """A lattice that words are appended to. Those met in an earlier batch too are held from batch to batch, up to
+    ``MOST_HELD_ARCS``; all others make room for the next batch's. A word's lattice is the same wherever it stands."""
+
+    def __init__(self):
+        self.number = Numbers()
+        self.once: set[str] = set()
+        self.arrays = {f.name: np.zeros(0, float if "log" in f.name or f.name == "cumulated" else np.int64) for f in fields(Lattice)}
+        self.used = self.held = (0, 0, 0)  # words, states, arcs
+
+    def add(self, words: list[str], pieces: Pieces) -> None:
+        """Append the words in parts small enough for a processor's cache."""
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        at = 0
+        while at < len(words):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LATTICE_PART, "right")))
+            part = _lattice(words[at:end], pieces)
+            own, states, arcs = self.used
+            part.first_state += states
+            part.follows[part.follows >= 0] += states
+            part.first += arcs
+            for name, kept in self.arrays.items():
+                new = getattr(part, name)
+                start = own if name == "first_state" else states if name in ("first", "count") else arcs
+                if start + len(new) > len(kept):
+                    self.arrays[name] = np.empty(max(start + len(new), len(kept) * 3 // 2), kept.dtype)
+                    self.arrays[name][:start] = kept[:start]
+                self.arrays[name][start : start + len(new)] = new
+            self.used = own + end - at, states + len(part.first), arcs + len(part.piece)
+            at = end
+
+    def lattice(self) -> Lattice:
+        return Lattice(**self.arrays)
+
+    def numbered(self, words: list[str], pieces: Pieces) -> tuple[np.ndarray, Lattice]:
+        """The number of each word of a batch, and the lattice. It stands until the next batch."""
+        self.used = self.held
+        held, words_held = self.number, self.held[0]
+        held.missing = missing = []
+        numbers = np.fromiter(map(held.__getitem__, words), np.int64, len(words))  # those not held count on from there
+        once = self.once if self.held[2] < MOST_HELD_ARCS else ()
+        again = [n for n, w in enumerate(missing) if w in once]
+        recurring = [missing[n] for n in again]
+        new = list(missing)
+        for w in missing:
+            del held[w]
+        if again:
+            is_new = np.ones(len(missing), bool)
+            is_new[again] = False
+            new = [missing[n] for n in np.flatnonzero(is_new).tolist()]
+            moved = np.arange(words_held + len(missing))
+            moved[words_held:] += np.where(is_new, len(again) + np.cumsum(is_new) - 1, np.cumsum(~is_new) - 1) - np.arange(len(missing))
+            numbers = moved[numbers]
+            held.update(zip(recurring, range(words_held, words_held + len(again)), strict=True))
+        self.add(recurring, pieces)
+        self.held = self.used
+        self.add(new, pieces)
+        if len(self.once) > MOST_ONCE:
+            self.once.clear()
+        self.once.difference_update(recurring)
+        self.once.update(new)
+        return numbers, self.lattice()
+
+
 def build_lattice(words: list[str], pieces: Pieces) -> Lattice:
-    """The lattice of all words, made of parts small enough for a processor's cache."""
-    parts, states, arcs = [], 0, 0
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
-    at = 0
-    while at < len(words):
-        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LATTICE_PART, "right")))
-        part = _lattice(words[at:end], pieces)
-        part.first_state += states
-        part.follows[part.follows >= 0] += states
-        part.first += arcs
-        parts.append(part)
-        states, arcs, at = states + len(part.first), arcs + len(part.piece), end
-    if not parts:
-        return Lattice(*(np.zeros(0, float if "log" in f.name or f.name == "cumulated" else np.int64) for f in fields(Lattice)))
-    return Lattice(*(np.concatenate([getattr(p, f.name) for p in parts]) for f in fields(Lattice)))
+    """The lattice of all words."""
+    out = Lattices()
+    out.add(words, pieces)
+    sizes = {"first_state": 0, "first": 1, "count": 1}
+    return Lattice(**{name: kept[: out.used[sizes.get(name, 2)]] for name, kept in out.arrays.items()})
 
 
 def _lattice(words: list[str], pieces: Pieces) -> Lattice:
@@ -388,14 +454,22 @@ def _rest(lattice: Lattice, path: Path, t: int, shut: tuple) -> float:
     return float(np.log(np.exp(lattice.log_p[left]).sum())) if left else -np.inf
 
 
-def sample_batch(texts: list[str], keys: np.ndarray, pieces: Pieces, k: int) -> Iterator[list[tuple]]:
-    """For each normalised text its samples: (ids' arcs as piece numbers, log p, value, log inclusion)."""
-    split = [[t] if pieces.whole and t else WORDS.findall(t) for t in texts]
+def split_words(text: str) -> list[str]:
+    """What WORDS finds; a plain split where each word has one mark at most."""
+    if SPACE * 2 in text or "\n" in text:
+        return WORDS.findall(text)
+    parts = text.replace(SPACE, "\n" + SPACE).split("\n")
+    return parts if parts[0] else parts[1:]
+
+
+def sample_batch(texts: list[str], keys: np.ndarray, pieces: Pieces, k: int, held: Lattices | None = None) -> Iterator[list[tuple]]:
+    """For each normalised text its samples: (ids' arcs as piece numbers, log p, value, log inclusion).
+
+    ``held`` has lattices of words met before; one batch at a time can go by it."""
+    split = [[t] if pieces.whole and t else split_words(t) for t in texts]
     # Equal words share a lattice.
     words = list(chain.from_iterable(split))
-    number = {w: n for n, w in enumerate(dict.fromkeys(words))}
-    flat = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-    lattice = build_lattice(list(number), pieces)
+    flat, lattice = (held or Lattices()).numbered(words, pieces)
     size = np.array([len(s) for s in split], np.int64)
     row = np.repeat(np.arange(len(texts)), size)
     place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
@@ -499,14 +573,14 @@ def sample_segmentations(
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = worker_cache("sampling")  # workers are used again for later tasks
         if model_path not in held:
-            held[model_path] = Pieces(model_path)
-        pieces = held[model_path]
+            held[model_path] = Pieces(model_path), Lattices()
+        pieces, lattices = held[model_path]
         for batch in batches:
             for part in slices(batch.column(1), BATCH_BYTES):
                 ids = batch.column(0)[part].to_pylist()
                 texts = [pieces.normalize(t or "") for t in batch.column(1)[part].to_pylist()]
                 keys = np.array([(1 << 63) + 1 if i is None else i & (2**64 - 1) for i in ids], U)
-                samples = list(sample_batch(texts, keys, pieces, k))
+                samples = list(sample_batch(texts, keys, pieces, k, lattices))
                 # All samples of a batch are spelled and decoded together.
                 flat, spells = spelled(np.concatenate([c[0] for own in samples for c in own]), pieces)
                 raw, widths = pieces.decoded(flat)
