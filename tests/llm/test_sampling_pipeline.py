@@ -183,6 +183,29 @@ def test_pipeline_stages_with_odd_tables(spark):
     assert {r["doc_id"] for r in cp.STAGES[-1][1](spark, df, "").collect()} == {i for i, _ in docs}
 
 
+def test_pipeline_stages_begin_with_unused_heap_given_back(spark, monkeypatch):
+    import corpus_pipeline as cp
+
+    jvm = spark.sparkContext._jvm
+    runtime = jvm.java.lang.Runtime.getRuntime()
+    for _ in range(12):
+        jvm.java.nio.ByteBuffer.allocate(50_000_000)  # garbage
+    grown = runtime.totalMemory()
+    cp.release_heaps(spark)
+    assert runtime.totalMemory() < grown
+
+    class Begun(Exception):
+        pass
+
+    def begun(spark):
+        raise Begun
+
+    monkeypatch.setattr(cp, "release_heaps", begun)
+    for _, stage in cp.STAGES:
+        with pytest.raises(Begun):
+            stage(spark, None, "")
+
+
 def test_lattices_of_recurring_words_are_built_once(monkeypatch):
     """Batches that share held lattices give what each gives alone, bit by bit."""
     pieces = Pieces(MODEL)

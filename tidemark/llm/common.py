@@ -61,6 +61,14 @@ def tidy(build: Callable, owner: str | None = None) -> Callable:
     return run
 
 
+def release_heaps(spark: SparkSession) -> None:
+    """Give the executors' unused heap back to the system: it grows with each stage, up to its limit, and would stand
+    beside the next stage's Python workers. Garbage holds native buffers and unloaded classes too."""
+    n = spark.sparkContext.defaultParallelism  # a task for each core, all dealt at once
+    collect = F.reflect(F.lit("java.lang.System"), F.lit("gc"))
+    spark.range(0, n, 1, n).select(collect.alias("collected")).write.format("noop").mode("overwrite").save()
+
+
 @contextmanager
 def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
     """The session's settings for the time of a block."""
