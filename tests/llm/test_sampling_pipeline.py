@@ -232,3 +232,34 @@ def test_lattices_of_recurring_words_are_built_once(monkeypatch):
 def test_words_are_split_as_by_the_pattern():
     for text in ("", "▁", "a", "▁a▁b", "a▁", "▁▁a▁b", "a▁▁", "▁a\n▁b", "x▁é\u2028▁y"):
         assert sampling.split_words(text) == sampling.WORDS.findall(text)
+
+
+def test_repeated_words_are_numbered_as_one(monkeypatch):
+    """Only the distinct words of a batch become strings; each place still has its own word."""
+    pieces = Pieces(MODEL)
+    seen = []
+    numbered = sampling.Lattices.numbered
+    monkeypatch.setattr(sampling.Lattices, "numbered", lambda self, words, p: seen.append(list(words)) or numbered(self, words, p))
+    texts = [pieces.normalize(t) for t in ("one two one\none", "", "two  one", "日本 two", "one")] + ["▁", "▁▁two▁"]
+    rows = list(sample_batch(texts, np.arange(7, dtype=np.uint64), pieces, 2))
+    assert len(seen) == 1 and len(seen[0]) == len(set(seen[0]))
+    assert set(seen[0]) == {w for t in texts for w in sampling.WORDS.findall(t)}
+    for text, row in zip(texts, rows, strict=True):
+        for chosen, *_ in row:
+            assert pieces.decode(sampling.spelled(chosen, pieces)[0]) == text
+
+
+def test_first_steps_tell_the_best_siblings(monkeypatch):
+    """However many steps are looked at first, the samples are the same bit by bit; long texts need only their first ones."""
+    pieces = Pieces(MODEL)
+    texts = [pieces.normalize(t) for t in ("unbelievable things " * 900, "a b", "x" * 2000, "the quick brown fox " * 30)]
+    keys = np.arange(4, dtype=np.uint64) * 5
+    out, steps = [], []
+    uniforms = sampling._uniform
+    for first in (1, 400, 1 << 40):
+        monkeypatch.setattr(sampling, "FIRST_STEPS", first)
+        drawn = [0]
+        monkeypatch.setattr(sampling, "_uniform", lambda k, c, drawn=drawn: drawn.__setitem__(0, drawn[0] + len(k)) or uniforms(k, c))
+        out.append([[(a.tolist(), *x) for a, *x in row] for row in sample_batch(texts, keys, pieces, 4)])
+        steps.append(drawn[0])
+    assert out[0] == out[1] == out[2] and steps[1] < steps[2]

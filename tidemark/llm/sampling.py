@@ -29,13 +29,14 @@ import re
 import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, fields
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import ship, tidy, worker_cache
+from .distinct_words import content, distinct
 from .packing import slices
 from .word_hash import mix
 
@@ -46,6 +47,8 @@ UNKNOWN_WEIGHT = -20.0
 BATCH_BYTES = 1 << 20
 LATTICE_PART, DRAW_PART = 40_000, 40_000
 MOST_HELD_ARCS, MOST_ONCE = 4_000_000, 400_000
+FIRST_STEPS = 400
+MOST_UNIFORM, LARGEST_GUMBEL = 1 - 2.0**-53, 38.0  # -log(-log u) is below 37 there
 SPACE = "▁"
 WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 U = np.uint64
@@ -92,9 +95,7 @@ class Pieces:
         raw = [t.encode() for t in self.text]
         for b, i in self.bytes.items():
             raw[i] = bytes([b])
-        self.sizes = np.array([len(r) for r in raw])
-        self.begin = np.cumsum(self.sizes) - self.sizes
-        self.raw = np.frombuffer(b"".join(raw), np.uint8)
+        self.raw = pa.array(raw, pa.large_binary())
 
     def normalize(self, text: str) -> str:
         return self.model.normalize(text) if text else ""
@@ -105,12 +106,9 @@ class Pieces:
 
     def decoded(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The bytes that ids spell, and how many each does."""
-        n, parts = self.sizes[ids], []
-        for at in range(0, len(ids), DRAW_PART):
-            own = n[at : at + DRAW_PART]
-            ends = np.cumsum(own)
-            parts.append(self.raw[np.repeat(self.begin[ids[at : at + DRAW_PART]] - (ends - own), own) + np.arange(ends[-1])].tobytes())
-        return b"".join(parts), n
+        _, ends, body = self.raw.take(pa.array(ids)).buffers()
+        widths = np.diff(np.frombuffer(ends, np.int64)[: len(ids) + 1]) if len(ids) else np.zeros(0, np.int64)
+        return body.to_pybytes() if body is not None else b"", widths
 
 
 def _roll(h: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -151,41 +149,30 @@ class Starts:
 
 @dataclass
 class Lattice:
-    """States are (word, place); each has choices with conditional log probabilities, cumulated.
+    """Arcs are choices at a place of a word, with conditional log probabilities, cumulated (the last one of a place
+    beyond 1); the choices of a place stand together. ``first`` has the first arc of each word, ``follows`` the first
+    one of the place an arc leads to, -1 at the word's end.
 
-    ``log_rest`` is the log probability of a state's other choices.
+    ``rest`` is the probability of a place's other choices.
     """
 
-    first_state: np.ndarray
     first: np.ndarray
-    count: np.ndarray
     cumulated: np.ndarray
     log_p: np.ndarray
-    log_rest: np.ndarray
+    rest: np.ndarray
     piece: np.ndarray
     follows: np.ndarray
 
 
-class Numbers(dict):
-    """Numbers of words; words without one get the next, and are listed."""
-
-    missing: list[str]
-
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
-        self.missing.append(word)
-        return n
-
-
 class Lattices:
     """A lattice that words are appended to. Those met in an earlier batch too are held from batch to batch, up to
     ``MOST_HELD_ARCS``; all others make room for the next batch's. A word's lattice is the same wherever it stands."""
 
     def __init__(self):
-        self.number = Numbers()
+        self.number: dict[str, int] = {}
         self.once: set[str] = set()
-        self.arrays = {f.name: np.zeros(0, float if "log" in f.name or f.name == "cumulated" else np.int64) for f in fields(Lattice)}
-        self.used = self.held = (0, 0, 0)  # words, states, arcs
+        self.arrays = {f.name: np.zeros(0, float if f.name in ("cumulated", "log_p", "rest") else np.int64) for f in fields(Lattice)}
+        self.used = self.held = (0, 0, 0)  # words, characters, arcs
 
     def add(self, words: list[str], pieces: Pieces) -> None:
         """Append the words in parts small enough for a processor's cache."""
@@ -194,43 +181,33 @@ class Lattices:
         while at < len(words):
             end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + LATTICE_PART, "right")))
             part = _lattice(words[at:end], pieces)
-            own, states, arcs = self.used
-            part.first_state += states
-            part.follows[part.follows >= 0] += states
+            own, characters, arcs = self.used
+            part.follows[part.follows >= 0] += arcs
             part.first += arcs
             for name, kept in self.arrays.items():
                 new = getattr(part, name)
-                start = own if name == "first_state" else states if name in ("first", "count") else arcs
+                start = own if name == "first" else arcs
                 if start + len(new) > len(kept):
                     self.arrays[name] = np.empty(max(start + len(new), len(kept) * 3 // 2), kept.dtype)
                     self.arrays[name][:start] = kept[:start]
                 self.arrays[name][start : start + len(new)] = new
-            self.used = own + end - at, states + len(part.first), arcs + len(part.piece)
+            self.used = own + end - at, characters + sum(map(len, words[at:end])), arcs + len(part.piece)
             at = end
 
     def lattice(self) -> Lattice:
         return Lattice(**self.arrays)
 
     def numbered(self, words: list[str], pieces: Pieces) -> tuple[np.ndarray, Lattice]:
-        """The number of each word of a batch, and the lattice. It stands until the next batch."""
+        """The number of each distinct word of a batch, and the lattice. It stands until the next batch."""
         self.used = self.held
-        held, words_held = self.number, self.held[0]
-        held.missing = missing = []
-        numbers = np.fromiter(map(held.__getitem__, words), np.int64, len(words))  # those not held count on from there
+        numbers = np.fromiter(map(self.number.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(numbers < 0)
         once = self.once if self.held[2] < MOST_HELD_ARCS else ()
-        again = [n for n, w in enumerate(missing) if w in once]
-        recurring = [missing[n] for n in again]
-        new = list(missing)
-        for w in missing:
-            del held[w]
-        if again:
-            is_new = np.ones(len(missing), bool)
-            is_new[again] = False
-            new = [missing[n] for n in np.flatnonzero(is_new).tolist()]
-            moved = np.arange(words_held + len(missing))
-            moved[words_held:] += np.where(is_new, len(again) + np.cumsum(is_new) - 1, np.cumsum(~is_new) - 1) - np.arange(len(missing))
-            numbers = moved[numbers]
-            held.update(zip(recurring, range(words_held, words_held + len(again)), strict=True))
+        is_new = np.fromiter((words[n] not in once for n in missing.tolist()), bool, len(missing))
+        places = np.concatenate([missing[~is_new], missing[is_new]])  # those held from now on come first
+        numbers[places] = self.held[0] + np.arange(len(places))
+        recurring, new = ([words[n] for n in missing[x].tolist()] for x in (~is_new, is_new))
+        self.number.update(zip(recurring, range(self.held[0], self.held[0] + len(recurring)), strict=True))
         self.add(recurring, pieces)
         self.held = self.used
         self.add(new, pieces)
@@ -245,8 +222,7 @@ def build_lattice(words: list[str], pieces: Pieces) -> Lattice:
     """The lattice of all words."""
     out = Lattices()
     out.add(words, pieces)
-    sizes = {"first_state": 0, "first": 1, "count": 1}
-    return Lattice(**{name: kept[: out.used[sizes.get(name, 2)]] for name, kept in out.arrays.items()})
+    return Lattice(**{name: kept[: out.used[0 if name == "first" else 2]] for name, kept in out.arrays.items()})
 
 
 def _lattice(words: list[str], pieces: Pieces) -> Lattice:
@@ -282,13 +258,14 @@ def _lattice(words: list[str], pieces: Pieces) -> Lattice:
             add(bare, 1, -1 - points[bare].astype(np.int64), cost)
         go = known[table.more[entry] & (left[at[known]] > n)]
         at, h = at[go], h[go]
-    # Choices of a state stand together, the shortest first.
+    # Choices of a state stand together, the longest first: it is the likeliest most often, so few are passed by in drawing.
     count = count[by_left]
-    first = np.cumsum(count) - count
+    last = np.cumsum(count) - 1
+    first = last + 1 - count
     total = int(count.sum())
     piece, target, value = np.empty(total, np.int64), np.empty(total, np.int64), np.empty(total)
     for where, want, ids, weight, number in found:
-        place = first[state[where]] + number
+        place = last[state[where]] - number
         piece[place] = ids
         value[place] = weight
         target[place] = np.where(left[where] == want, n_states, state[where + want])
@@ -308,20 +285,18 @@ def _lattice(words: list[str], pieces: Pieces) -> Lattice:
     cumulated = p.copy()
     states, c = np.flatnonzero(count > 1), 1
     while len(states):
-        last = first[states] + c
-        cumulated[last] += cumulated[last - 1]
+        place = first[states] + c
+        cumulated[place] += cumulated[place - 1]
         c += 1
         states = states[count[states] > c]
-    cumulated[first + count - 1] = 2.0  # rounding must not leave a gap at the end
+    cumulated[last] = 2.0  # rounding must not leave a gap at the end
     # The others of a choice of nearly all weight are added up: 1 - p would be rounding.
     large = p > 0.75
     rest = 1 - p
     if len(p):
         heavy = np.flatnonzero(large)
         rest[heavy] = np.repeat(np.add.reduceat(np.where(large, 0.0, p), first), count)[heavy]
-    with np.errstate(divide="ignore"):
-        log_rest = np.log(rest)
-    return Lattice(state[start], first, count, cumulated, log_p, log_rest, piece, np.where(target == n_states, -1, target))
+    return Lattice(first[state[start]], cumulated, log_p, rest, piece, np.append(first, -1)[target])
 
 
 def uniform(key: np.ndarray, counter: np.ndarray) -> np.ndarray:
@@ -334,41 +309,38 @@ def _uniform(mixed_key: np.ndarray, counter: np.ndarray) -> np.ndarray:
     return ((x >> U(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def draw(lattice: Lattice, state: np.ndarray, key: np.ndarray, counter: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Follow each word from its state to its end: arcs and states in word order, and arcs per word.
+def draw(lattice: Lattice, first: np.ndarray, key: np.ndarray, counter: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Follow each word from a place, whose first arc is given, to its end: arcs in word order, and arcs per word.
 
-    ``counter`` numbers the words of a row; a state of -1 is a word's end.
+    ``key`` is mixed already; ``counter`` numbers the words of a row; a first arc of -1 is a word's end.
     """
-    cuts = range(0, max(1, len(state)), DRAW_PART)
-    parts = [_draw(lattice, *(x[at : at + DRAW_PART] for x in (state, key, counter))) for at in cuts]
+    cuts = range(0, max(1, len(first)), DRAW_PART)
+    parts = [_draw(lattice, *(x[at : at + DRAW_PART] for x in (first, key, counter))) for at in cuts]
     return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
-def _draw(lattice: Lattice, state: np.ndarray, key: np.ndarray, counter: np.ndarray) -> tuple[np.ndarray, ...]:
-    n_words = len(state)
+def _draw(lattice: Lattice, first: np.ndarray, key: np.ndarray, counter: np.ndarray) -> tuple[np.ndarray, ...]:
     steps: list[tuple] = []
-    count = np.zeros(n_words, np.int64)
-    word = np.flatnonzero(state >= 0)
-    s, key, c = state[word], mix(key[word]), counter[word].astype(U) << U(20)
+    count = np.zeros(len(first), np.int64)
+    word = np.flatnonzero(first >= 0)
+    arc, key, c = first[word], key[word], counter[word].astype(U) << U(20)
     while len(word):
         u = _uniform(key, c)
-        arc = lattice.first[s]
         low = np.flatnonzero(lattice.cumulated[arc] <= u)
         while len(low):
-            arc[low] += 1
-            low = low[lattice.cumulated[arc[low]] <= u[low]]
-        steps.append((word, arc, s))
+            further = arc[low] + 1
+            arc[low] = further
+            low = low[lattice.cumulated[further] <= u[low]]
+        steps.append((word, arc))
         count[word] += 1
-        s = lattice.follows[arc]
-        go = np.flatnonzero(s >= 0)
-        word, s, key, c = word[go], s[go], key[go], c[go] + U(1)
+        arc = lattice.follows[arc]
+        go = np.flatnonzero(arc >= 0)
+        word, arc, key, c = word[go], arc[go], key[go], c[go] + U(1)
     start = np.cumsum(count) - count
-    arcs, states = np.zeros(count.sum(), np.int64), np.zeros(count.sum(), np.int64)
-    for k, (w, a, s) in enumerate(steps):
-        at = start[w] + k
-        arcs[at] = a
-        states[at] = s
-    return arcs, states, count
+    arcs = np.zeros(count.sum(), np.int64)
+    for k, (w, a) in enumerate(steps):
+        arcs[start[w] + k] = a
+    return arcs, count
 
 
 def truncated(bound: float, location: np.ndarray, noise: np.ndarray) -> np.ndarray:
@@ -380,7 +352,6 @@ def truncated(bound: float, location: np.ndarray, noise: np.ndarray) -> np.ndarr
 class Path:
     value: float
     arcs: np.ndarray
-    states: np.ndarray
     words: np.ndarray  # arcs up to the end of each word
 
 
@@ -404,117 +375,148 @@ class Search:
 
 
 def queue_siblings(
-    lattice: Lattice, searches: list[Search], keys: np.ndarray, paths: list[Path], since: list[int], shut: list[tuple], base: list[float]
-) -> None:
+    lattice: Lattice, searches: list[Search], keys: np.ndarray, paths: list[Path], since: list[int], options: list[list],
+    shut: list[tuple], base: list[float],
+) -> None:
     """For each row queue the siblings along its newest path from step ``since`` on; ``shut``: choices taken
-    before at that step; ``base``: the log probability of the steps before it.
+    before at that step, ``options``: those that were left; ``base``: the log probability of the steps before it.
 
-    Every step's set gets its Gumbel variable; of one path no more than the k + 1 best sets are ever opened or
-    give the threshold, so those are queued. Truncation at the path's value keeps their order, so it is left
-    to those.
+    Every step's set has its Gumbel variable; of one path no more than the k + 1 best sets are ever opened or
+    give the threshold, so those are queued. The log probability before a step bounds its set's, and a Gumbel
+    variable its noise, so the first steps tell where no later one can be among the best; rows for which they
+    don't are gone through further. Truncation at the path's value keeps the order of sets, so it is left to
+    the best ones.
     """
-    k, n = searches[0].k, len(searches[0].paths) + 1
-    arcs = [p.arcs[t:] for p, t in zip(paths, since, strict=True)]
-    length = np.array([len(a) for a in arcs])
-    start = np.cumsum(length) - length
-    flat = np.concatenate(arcs)
-    step = np.arange(len(flat)) - np.repeat(start - np.array(since), length)
-    log_p, rest = lattice.log_p[flat], lattice.log_rest[flat]
-    before = np.empty(len(flat))
-    for a, m, p, t, x, b in zip(start.tolist(), length.tolist(), paths, since, shut, base, strict=True):
-        own = log_p[a : a + m - 1]
-        before[a] = b
-        np.cumsum(own, out=before[a + 1 : a + m])
-        if b:
-            before[a + 1 : a + m] += b
-        if x:
-            rest[a] = _rest(lattice, p, t, x)
-    key = np.repeat(mix(keys), length)
-    noise = np.empty(len(flat))
-    for at in range(0, len(flat), DRAW_PART):
-        cut = slice(at, at + DRAW_PART)
-        u = _uniform(key[cut], (step[cut].astype(U) << U(8)) + U(n + (1 << 50)))
-        noise[cut] = np.log(-np.log(u))
-    place = before + rest
-    free = place - noise
-    for search, path, a, m, t, x in zip(searches, paths, start.tolist(), length.tolist(), since, shut, strict=True):
+    for search, path in zip(searches, paths, strict=True):
         search.paths.append(path)
-        top = np.argpartition(free[a : a + m], m - k - 1)[m - k - 1 :] if m > k + 1 else np.arange(m)
-        value = truncated(path.value, place[a + top], noise[a + top])
-        search.push(path, (top + t).tolist(), value.tolist(), before[a + top].tolist(), t, x)
+    k, n = searches[0].k, len(searches[0].paths)
+    mixed, todo, most = mix(keys), np.arange(len(paths)), FIRST_STEPS
+    while len(todo):
+        own = todo.tolist()
+        arcs = [paths[r].arcs[since[r] : since[r] + most] for r in own]
+        length = np.array([len(a) for a in arcs])
+        start = np.cumsum(length) - length
+        flat = np.concatenate(arcs)
+        step = np.arange(len(flat)) - np.repeat(start - np.array(since)[todo], length)
+        log_p = lattice.log_p[flat]
+        with np.errstate(divide="ignore"):
+            rest = np.log(lattice.rest[flat])
+        before = np.empty(len(flat))
+        for r, a, m in zip(own, start.tolist(), length.tolist(), strict=True):
+            before[a] = base[r]
+            np.cumsum(log_p[a : a + m - 1], out=before[a + 1 : a + m])
+            if base[r]:
+                before[a + 1 : a + m] += base[r]
+            if shut[r]:
+                rest[a] = _rest(lattice, options[r], int(paths[r].arcs[since[r]]))
+        key = np.repeat(mixed[todo], length)
+        noise = np.empty(len(flat))
+        for at in range(0, len(flat), DRAW_PART):
+            cut = slice(at, at + DRAW_PART)
+            u = _uniform(key[cut], (step[cut].astype(U) << U(8)) + U(n + (1 << 50)))
+            noise[cut] = np.log(-np.log(np.minimum(u, MOST_UNIFORM)))
+        place = before + rest
+        free = place - noise
+        open_ = []
+        for r, a, m in zip(own, start.tolist(), length.tolist(), strict=True):
+            path, t = paths[r], since[r]
+            top = np.argpartition(free[a : a + m], m - k - 1)[m - k - 1 :] if m > k + 1 else np.arange(m)
+            if t + m < len(path.arcs) and not (m > k and free[a + top].min() > before[a + m - 1] + LARGEST_GUMBEL):
+                open_.append(r)
+                continue
+            value = truncated(path.value, place[a + top], noise[a + top])
+            searches[r].push(path, (top + t).tolist(), value.tolist(), before[a + top].tolist(), t, shut[r])
+        todo, most = np.array(open_, np.int64), most * 8
+
+
+def _choices(lattice: Lattice, first: int, shut: Sequence[int]) -> list[int]:
+    last = first
+    while lattice.cumulated[last] <= 1.5:
+        last += 1
+    return [a for a in range(first, last + 1) if a not in shut]
+
+
+def _rest(lattice: Lattice, options: list[int], taken: int) -> float:
+    left = [a for a in options if a != taken]
+    return float(np.log(np.exp(lattice.log_p[left]).sum())) if left else -np.inf
 
 
-def _choices(lattice: Lattice, state: int, shut: Sequence[int]) -> list[int]:
-    first = int(lattice.first[state])
-    return [a for a in range(first, first + int(lattice.count[state])) if a not in shut]
+_MARK = SPACE.encode()
 
 
-def _rest(lattice: Lattice, path: Path, t: int, shut: tuple) -> float:
-    left = _choices(lattice, int(path.states[t]), (*shut, int(path.arcs[t])))
-    return float(np.log(np.exp(lattice.log_p[left]).sum())) if left else -np.inf
+def word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the words that WORDS finds begin in the bytes of texts: at a text's start and at the first of a run of marks."""
+    is_start = np.zeros(len(data), bool)
+    mark = np.flatnonzero(data == _MARK[0])
+    mark = mark[mark < len(data) - 2]
+    mark = mark[(data[mark + 1] == _MARK[1]) & (data[mark + 2] == _MARK[2])]
+    is_start[mark[np.diff(mark, prepend=-len(_MARK) - 1) != len(_MARK)]] = True
+    is_start[offsets[:-1][np.diff(offsets) > 0]] = True
+    return np.flatnonzero(is_start)
 
 
 def split_words(text: str) -> list[str]:
-    """What WORDS finds; a plain split where each word has one mark at most."""
-    if SPACE * 2 in text or "\n" in text:
-        return WORDS.findall(text)
-    parts = text.replace(SPACE, "\n" + SPACE).split("\n")
-    return parts if parts[0] else parts[1:]
+    """What WORDS finds."""
+    data, offsets = content([text])
+    which, words = distinct(data, word_starts(data, offsets))
+    return [words[n] for n in which.tolist()]
 
 
 def sample_batch(texts: list[str], keys: np.ndarray, pieces: Pieces, k: int, held: Lattices | None = None) -> Iterator[list[tuple]]:
     """For each normalised text its samples: (ids' arcs as piece numbers, log p, value, log inclusion).
 
     ``held`` has lattices of words met before; one batch at a time can go by it."""
-    split = [[t] if pieces.whole and t else split_words(t) for t in texts]
+    data, offsets = content(texts)
+    start = offsets[:-1][np.diff(offsets) > 0] if pieces.whole else word_starts(data, offsets)
+    size = np.diff(np.searchsorted(start, offsets))
     # Equal words share a lattice.
-    words = list(chain.from_iterable(split))
-    flat, lattice = (held or Lattices()).numbered(words, pieces)
-    size = np.array([len(s) for s in split], np.int64)
+    which, words = distinct(data, start)
+    numbers, lattice = (held or Lattices()).numbered(words, pieces)
+    flat = numbers[which]
     row = np.repeat(np.arange(len(texts)), size)
     place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
     searches = [Search(k) for _ in texts]
 
-    arcs, states, count = draw(lattice, lattice.first_state[flat], keys[row], place)
+    mixed = mix(keys)
+    arcs, count = draw(lattice, lattice.first[flat], mixed[row], place)
     tops = -np.log(-np.log(uniform(keys, np.full(len(keys), 2**60))))
-    paths = [Path(float(v), a, s, np.cumsum(c)) for v, (a, s, c) in zip(tops, _by_row(arcs, states, count, size), strict=True)]
+    paths = [Path(float(v), a, np.cumsum(c)) for v, (a, c) in zip(tops, _by_row(arcs, count, size), strict=True)]
     some = [r for r, path in enumerate(paths) if len(path.arcs)]
     for r in set(range(len(texts))) - set(some):
         searches[r].paths.append(paths[r])
     if some:
-        zeros = [0] * len(some)
-        queue_siblings(lattice, [searches[r] for r in some], keys[some], [paths[r] for r in some], zeros, [()] * len(some), zeros)
+        zeros, none = [0] * len(some), [()] * len(some)
+        queue_siblings(lattice, [searches[r] for r in some], keys[some], [paths[r] for r in some], zeros, none, none, zeros)
     begin = np.cumsum(size) - size
     for n in range(1, k):
-        opened = []  # row, value, the path left, step, shut choices, choice, its word, log probability before
+        opened = []  # row, value, the path left, step, shut choices, choice, its word, log probability before, choices left
         us = uniform(keys, np.full(len(keys), (n << 40) + 7)).tolist()
         for r, search in enumerate(searches):
             if search.queue and len(search.paths) == n:
                 v, p, t, others, base = heapq.heappop(search.queue)
                 path = search.paths[p]
-                options = _choices(lattice, int(path.states[t]), others)
+                word = int(np.searchsorted(path.words, t, "right"))
+                starts_word = t == (path.words[word - 1] if word else 0)
+                first = int(lattice.first[flat[begin[r] + word]] if starts_word else lattice.follows[path.arcs[t - 1]])
+                options = _choices(lattice, first, others)
                 weight = np.cumsum(np.exp(lattice.log_p[options]))
                 arc = options[min(len(options) - 1, int(np.searchsorted(weight, us[r] * weight[-1], "right")))]
-                word = int(np.searchsorted(path.words, t, "right"))
-                opened.append((r, -v, path, t, others, arc, word, base))
+                opened.append((r, -v, path, t, others, arc, word, base, options))
         if not opened:
             break
         rest = [flat[begin[o[0]] + o[6] : begin[o[0]] + size[o[0]]] for o in opened]
         lengths = np.array([len(x) for x in rest])
-        state = lattice.first_state[np.concatenate(rest)]
-        state[np.cumsum(lengths) - lengths] = lattice.follows[[o[5] for o in opened]]
-        owner = np.repeat(np.array([o[0] for o in opened]), lengths)
-        at = np.arange(len(state)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat([o[6] for o in opened], lengths)
-        arcs, states, count = draw(lattice, state, keys[owner] ^ U(n), at)
+        first_arc = lattice.first[np.concatenate(rest)]
+        first_arc[np.cumsum(lengths) - lengths] = lattice.follows[[o[5] for o in opened]]
+        at = np.arange(len(first_arc)) - np.repeat(np.cumsum(lengths) - lengths - np.array([o[6] for o in opened]), lengths)
+        own_keys = mix(keys[[o[0] for o in opened]] ^ U(n))
+        arcs, count = draw(lattice, first_arc, np.repeat(own_keys, lengths), at)
         new = []
-        for o, (a, s, c) in zip(opened, _by_row(arcs, states, count, lengths), strict=True):
-            _, value, path, t, _, arc, word, _ = o
-            own = np.concatenate([path.arcs[:t], [arc], a])
-            ends = np.concatenate([path.words[:word], t + 1 + np.cumsum(c)])
-            new.append(Path(value, own, np.concatenate([path.states[: t + 1], s]), ends))
-        queue_siblings(
-            lattice, [searches[o[0]] for o in opened], keys[[o[0] for o in opened]], new, [o[3] for o in opened], [o[4] for o in opened], [o[7] for o in opened]
-        )
+        for o, (a, c) in zip(opened, _by_row(arcs, count, lengths), strict=True):
+            _, value, path, t, _, arc, word, *_ = o
+            new.append(Path(value, np.concatenate([path.arcs[:t], [arc], a]), np.concatenate([path.words[:word], t + 1 + np.cumsum(c)])))
+        rows, _, _, since, shut, _, _, base, options = zip(*opened, strict=True)
+        queue_siblings(lattice, [searches[r] for r in rows], keys[list(rows)], new, since, options, shut, base)
     for search in searches:
         threshold = -search.queue[0][0] if search.queue and len(search.paths) == k else None
         out = []
@@ -530,11 +532,11 @@ def log_inclusion(x: float) -> float:
     return x if x < -30 else float(np.log(-np.expm1(-np.exp(min(x, 700.0)))))
 
 
-def _by_row(arcs: np.ndarray, states: np.ndarray, count: np.ndarray, words: np.ndarray) -> Iterator[tuple]:
-    ends = np.r_[0, np.cumsum(count)][np.r_[0, np.cumsum(words)]]
+def _by_row(arcs: np.ndarray, count: np.ndarray, words: np.ndarray) -> Iterator[tuple]:
     word_ends = np.r_[0, np.cumsum(words)]
+    ends = np.r_[0, np.cumsum(count)][word_ends]
     for r in range(len(words)):
-        yield arcs[ends[r] : ends[r + 1]], states[ends[r] : ends[r + 1]], count[word_ends[r] : word_ends[r + 1]]
+        yield arcs[ends[r] : ends[r + 1]], count[word_ends[r] : word_ends[r + 1]]
 
 
 def spelled(chosen: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
