@@ -3,10 +3,12 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from tidemark.llm.distinct_words import content
 from tidemark.llm.language_id import RIDGE, accept_languages, fit, identify, presence, train, vectors
-from tidemark.llm.packing import HierarchicalPacker, WordEncoder, balanced_groups, pack_documents
+from tidemark.llm.packing import HierarchicalPacker, WordEncoder, balanced_groups, pack_documents, split_words
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -30,6 +32,26 @@ def test_word_encoder_equals_tokenizer():
     assert encoder.encode([]) == []
 
 
+def test_words_of_a_batch_are_found_once_and_split_as_by_the_tokenizer(monkeypatch):
+    """Arrow's texts with nulls, cut out of a longer array; every white space and what only looks like it."""
+    blanks = [0x20, *range(0x09, 0x0E), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+    others = [0x1C, 0x1D, 0x1E, 0x1F, 0x180E, 0x200B, 0x2060, 0x2011, 0x3001, 0xFEFF, 0xA1, 0xC5, 0x1685]
+    texts = ["skipped", *(f"{chr(c)}no{chr(c)}{chr(c)}nö, no{chr(c)}" for c in blanks + others), None, "no", "no nö", "", "  ", "no"]
+    array = pa.array(texts)[1:]
+    encoder = WordEncoder(PATH)
+    learned = []
+    learn = encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda words: learned.append(list(words)) or learn(words))
+    for text, ids in zip(texts[1:], encoder.encode(array), strict=True):
+        assert ids.tolist() == direct(text), ascii(text)
+    (words,) = learned
+    assert len(words) == len(set(words)) and {"no", "nö,"} <= set(words)
+    body, start, n_words = split_words(*content(array))
+    found = [bytes(w).decode() for w in np.split(body, start[1:])]
+    assert sum(n_words) == len(found) and set(found) == set(words) and n_words[-6:].tolist() == [0, 1, 2, 0, 0, 1]
+    assert encoder.encode(pa.array([], pa.string())) == [] and [x.tolist() for x in encoder.encode(["", None])] == [[1], [1]]
+
+
 def test_packer_fills_every_sequence():
     rng = random.Random(1)
     packer = HierarchicalPacker(window_tokens=20000)

@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import ship, tidy, worker_cache
+from .distinct_words import content, distinct
 
 TIERS = (2048, 1024, 512, 256)
 END_ID = 1
@@ -85,33 +86,38 @@ class WordEncoder:
     def _learn(self, words: list[str]) -> None:
         """Words of letters only end in the only piece that ends a word: many are encoded as one text."""
         ended: list[tuple[str, str, str]] = []
-        plain: set[str] = set()
+        plain = {w for w in words if w.isalpha()}
         odd: list[str] = []
         for w in words:
-            if w.isalpha():
-                plain.add(w)
-            elif (core := w.rstrip(PUNCTUATION)).isalpha():
-                tail = w[len(core) :]
-                ended.append((w, core, tail))
-                if core not in self.number:
-                    plain.add(core)
+            if w in plain:
+                continue
+            core = w.rstrip(PUNCTUATION)
+            if core.isalpha():
+                ended.append((w, core, w[len(core) :]))
             else:
                 odd.append(w)
+        known = self.number
+        plain.update(c for _, c, _ in ended if c not in known)
         todo = list(plain)
         for at in range(0, len(todo), 64 * 64):
             parts = [todo[k : k + 64] for k in range(at, min(len(todo), at + 64 * 64), 64)]
             texts = self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)
+            good: list[str] = []
+            ids: list[np.ndarray] = []
             for part, e in zip(parts, texts, strict=True):
-                ids = np.array(e.ids, np.uint32)
-                stops = np.flatnonzero(self.ends_word[ids]) + 1
-                if len(stops) == len(part) and stops[-1] == len(ids):
-                    self._append(part, ids, np.diff(np.r_[0, stops]))
+                own = np.array(e.ids, np.uint32)
+                ends = self.ends_word[own]
+                if len(own) and ends[-1] and np.count_nonzero(ends) == len(part):
+                    good += part
+                    ids.append(own)
                 else:  # letters that normalise to more than letters
                     self._learn_each(part)
-        known = self.number
+            if good:
+                flat = np.concatenate(ids)
+                self._append(good, flat, np.diff(np.flatnonzero(self.ends_word[flat]), prepend=-1))
         self._learn_each([w for w in {*odd, *(t for *_, t in ended)} if w not in known])
         if ended:
-            pair = np.array([(known[c], known[t]) for _, c, t in ended]).ravel()
+            pair = np.fromiter((known[x] for _, c, t in ended for x in (c, t)), np.int64, 2 * len(ended))
             length = self.length[pair]
             self._append([w for w, *_ in ended], self._gather(pair, length), length.reshape(-1, 2).sum(axis=1))
 
@@ -119,29 +125,51 @@ class WordEncoder:
         stop = np.cumsum(length)
         return self.flat[np.repeat(self.first[at] - (stop - length), length) + np.arange(stop[-1] if len(stop) else 0)]
 
-    def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
-        """The ids of each text, followed by the end id."""
+    def encode(self, texts: pa.Array | Sequence[str]) -> list[np.ndarray]:
+        """The ids of each text, followed by the end id. A null is empty."""
+        if not len(texts):
+            return []
         if len(self.number) > self.words_held:
             self.clear()
-        words = [t.split() if not _ODD & set(t) else _split_odd(t) for t in texts]
-        self._learn(list(set().union(*words).difference(self.number)))
-        total = sum(map(len, words)) + len(texts)
-        ends = ([*w, "\n"] for w in words)
-        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(ends)), np.int64, total)
+        body, start, n_words = split_words(*content(texts))
+        which, words = distinct(body, start)
+        known = self.number
+        self._learn([w for w in words if w not in known])
+        numbers = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        at = np.zeros(len(which) + len(texts), np.int64)  # the end of a document has number 0
+        at[np.arange(len(which)) + np.repeat(np.arange(len(texts)), n_words)] = numbers[which]
         length = self.length[at]
         ids, stop = self._gather(at, length), np.cumsum(length)
-        last = np.cumsum([len(w) + 1 for w in words]) - 1
-        return np.split(ids, stop[last][:-1]) if texts else []
-
-
-# Python's split() takes these for white space, the tokenizer's pattern doesn't.
-_ODD = frozenset("\x1c\x1d\x1e\x1f")
-
-
-def _split_odd(text: str) -> list[str]:
-    import regex
-
-    return [w for w in regex.split(r"[\t\n\x0b\f\r\x20\x85\xa0  -     　]+", text) if w]
+        return np.split(ids, stop[np.cumsum(n_words + 1) - 1][:-1])
+
+
+# The tokenizer's white space: by bytes, and code points of more than one byte, which begin with these bytes.
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_WIDE = np.array([0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+_LEADS = np.zeros(256, bool)
+_LEADS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
+def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all words end to end, where each begins in them, and the number of words of each text."""
+    if not len(data):
+        return data, np.zeros(0, np.int64), np.zeros(len(offsets) - 1, np.int64)
+    is_word = ~_BLANK[data]
+    lead = np.flatnonzero(_LEADS[data])
+    if len(lead):
+        first, second, third = (data[np.minimum(lead + k, len(data) - 1)].astype(np.int64) & 0x3F for k in range(3))
+        two = data[lead] == 0xC2
+        blank = np.isin(np.where(two, second | 0x80, (first & 0x0F) << 12 | second << 6 | third), _WIDE)
+        for k, which in enumerate((blank, blank, blank & ~two)):
+            is_word[lead[which] + k] = False
+    begins = is_word.copy()
+    begins[1:] &= ~is_word[:-1]
+    heads = offsets[:-1][np.diff(offsets) > 0]
+    begins[heads] = is_word[heads]  # a text's first word begins even where the text before ends in one
+    start = np.flatnonzero(begins)
+    n_words = np.diff(np.searchsorted(start, offsets))
+    return data[is_word], np.cumsum(is_word, dtype=np.int64)[start] - 1, n_words
 
 
 class Piece:
@@ -316,7 +344,7 @@ def pack_documents(
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for part in slices(texts, 2 << 20):
-                encoded = encoder.encode([t or "" for t in texts[part].to_pylist()])
+                encoded = encoder.encode(texts[part])
                 for doc_id, e in zip(ids[part], encoded, strict=True):
                     packer.add((doc_id, len(e)), e)
                 yield from rows(packer.drain())
